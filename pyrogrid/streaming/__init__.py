@@ -1,0 +1 @@
+"""The operator inventory has no streaming work, so nothing is built here."""
