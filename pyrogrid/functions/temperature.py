@@ -50,7 +50,17 @@ LABELS = {"C": "°C", "F": "°F", "K": "K"}
 
 
 def as_text(value: Column, unit: str = "C") -> Column:
-    return F.format_string("%.1f " + LABELS[unit], value)
+    """One decimal, rounded on the binary value (293.15 K is just below the half).
+
+    The part after the point times 20 is exact for temperatures, and an odd whole number
+    there is a true half, which goes to the even digit.
+    """
+    whole = F.floor(value)
+    twentieths = (value - whole) * 20.0
+    below = F.floor((twentieths - 1) / 2)
+    half = twentieths == 2 * below + 1
+    tenths = F.when(half, below + below % 2).otherwise(F.floor((twentieths + 1) / 2))
+    return F.format_string("%.1f " + LABELS[unit], (whole * 10 + tenths) / 10.0)
 
 
 def calibrate(v: Column, offset_c: Column, t_min: Column, t_max: Column) -> Column:
