@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from ..staging import checkpoint
+from ..staging import checkpoint, keep
 from .segmentation import binarise, frame_levels
 from .tiles import TILE, attach, div, frame_keys, tiled
 
@@ -22,29 +22,29 @@ NO_BACKGROUND = 2 ** 30
 
 def sweep_down(d: np.ndarray) -> None:
     """Relax every row from the row above and from its left, top to bottom, in place."""
-    ramp = np.arange(d.shape[1], dtype=np.int64) * STRAIGHT
-    for y in range(d.shape[0]):
-        row = d[y]
+    ramp = np.arange(d.shape[-1], dtype=d.dtype) * STRAIGHT
+    for y in range(d.shape[-2]):
+        row = d[..., y, :]
         if y:
-            up = d[y - 1]
+            up = d[..., y - 1, :]
             np.minimum(row, up + STRAIGHT, out=row)
-            np.minimum(row[1:], up[:-1] + DIAGONAL, out=row[1:])
-            np.minimum(row[:-1], up[1:] + DIAGONAL, out=row[:-1])
-        row[:] = np.minimum.accumulate(row - ramp) + ramp
+            np.minimum(row[..., 1:], up[..., :-1] + DIAGONAL, out=row[..., 1:])
+            np.minimum(row[..., :-1], up[..., 1:] + DIAGONAL, out=row[..., :-1])
+        row[...] = np.minimum.accumulate(row - ramp, axis=-1) + ramp
 
 
-def chamfer(d: np.ndarray) -> np.ndarray:
-    """Shortest 3-4 path cost from the given start values, over a full rectangle."""
-    d = d.astype(np.int64)
+def chamfer(start: np.ndarray) -> np.ndarray:
+    """Shortest 3-4 path cost from start values over full rectangles (last two axes)."""
+    d = start.astype(np.int32)
     sweep_down(d)
-    sweep_down(d[::-1, ::-1])
-    return np.minimum(d, NO_BACKGROUND).astype(np.int32)
+    sweep_down(d[..., ::-1, ::-1])
+    return np.minimum(d, NO_BACKGROUND)
 
 
 def _solve_tile(pdf: pd.DataFrame) -> pd.DataFrame:
     y0, x0 = pdf["y"].min(), pdf["x"].min()
     iy, ix = (pdf["y"] - y0).to_numpy(), (pdf["x"] - x0).to_numpy()
-    start = np.full((iy.max() + 1, ix.max() + 1), NO_BACKGROUND, dtype=np.int64)
+    start = np.full((iy.max() + 1, ix.max() + 1), NO_BACKGROUND, dtype=np.int32)
     start[iy, ix] = np.where(pdf["fg"].to_numpy(dtype=bool), NO_BACKGROUND, 0)
     return pdf.assign(dist3=chamfer(start)[iy, ix])
 
@@ -54,7 +54,7 @@ def _solve_with_rim(pdf: pd.DataFrame, rim: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(moved=False)
     y0, x0 = pdf["y"].min() - 1, pdf["x"].min() - 1
     iy, ix = (pdf["y"] - y0).to_numpy(), (pdf["x"] - x0).to_numpy()
-    start = np.full((iy.max() + 2, ix.max() + 2), NO_BACKGROUND, dtype=np.int64)
+    start = np.full((iy.max() + 2, ix.max() + 2), NO_BACKGROUND, dtype=np.int32)
     start[iy, ix] = pdf["dist3"]
     start[(rim["y"] - y0).to_numpy(), (rim["x"] - x0).to_numpy()] = rim["dist3"]
     solved = chamfer(start)[iy, ix]
@@ -77,6 +77,11 @@ def _rims(pixels: DataFrame, tile: int) -> DataFrame:
             .drop("_ty", "_tx", "height", "width"))
 
 
+def wider_than(frames: DataFrame, tile: int) -> bool:
+    """Whether any row of a table with height and width exceeds a tile."""
+    return not frames.where((F.col("height") > tile) | (F.col("width") > tile)).isEmpty()
+
+
 def distance(pixels: DataFrame, tile: int = TILE, spans_tiles: bool | None = None) -> DataFrame:
     """Add ``dist3``, three times the distance of each ``fg`` pixel to the background.
 
@@ -90,7 +95,7 @@ def distance(pixels: DataFrame, tile: int = TILE, spans_tiles: bool | None = Non
     solved = pixels.groupBy(*unit).applyInPandas(_solve_tile, schema)
     many = (F.col("height") > tile) | (F.col("width") > tile)
     if spans_tiles is None:
-        spans_tiles = not pixels.where(many).isEmpty()
+        spans_tiles = wider_than(pixels, tile)
     if not spans_tiles:
         return solved
     single = solved.where(~many)
@@ -124,6 +129,8 @@ def body_mask(pixels: DataFrame, source: str = "v", otsu_min: int = 35, otsu_max
               factor: float = 0.05, tile: int = TILE,
               spans_tiles: bool | None = None) -> DataFrame:
     """Otsu, binarise, distance, adaptive erosion; keeps the distance before erosion."""
-    levels = frame_levels(pixels, source, otsu_min, otsu_max)
+    levels = keep(frame_levels(pixels, source, otsu_min, otsu_max))
+    if spans_tiles is None:
+        spans_tiles = wider_than(levels, tile)
     fg = binarise(pixels, levels, source, tile=tile)
     return erode_by_distance(distance(fg, tile, spans_tiles), factor, tile=tile)

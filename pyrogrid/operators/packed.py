@@ -1,13 +1,15 @@
 """Stencils on packed frames: one row per image, no pixel-level shuffle.
 
-Spark spreads the rows; each task only runs the two array steps that a whole frame
-needs at once (smoothing with top-hat, and the distance map). Everything between and
-after them - histogram, levels, statistics, thresholds - stays in Spark expressions.
+Spark spreads the rows; each task only runs the array steps that need a whole frame at
+once (smoothing with top-hat, the distance map) and counts grey values, which is the
+map side of every later aggregation. Levels, statistics, thresholds, components and
+region rules are Spark expressions over those counts and over the sparse outliers.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import odd_kernel_of
@@ -31,49 +33,99 @@ def slide(a: np.ndarray, radius: int, pick, fill: int, axis: int) -> np.ndarray:
 
 def blur_frame(a: np.ndarray) -> np.ndarray:
     out = a.copy()
-    if min(a.shape) > 2:
-        lines = a[:-2] + a[1:-1] + a[2:]
-        out[1:-1, 1:-1] = (lines[:, :-2] + lines[:, 1:-1] + lines[:, 2:]) // 9
+    if min(a.shape[-2:]) > 2:
+        lines = a[..., :-2, :] + a[..., 1:-1, :] + a[..., 2:, :]
+        out[..., 1:-1, 1:-1] = (lines[..., :-2] + lines[..., 1:-1] + lines[..., 2:]) // 9
     return out
 
 
 def top_hat_frame(a: np.ndarray, k: int) -> np.ndarray:
     r, o = k // 2, a
     for pick, fill in ((np.minimum, 255), (np.maximum, 0)):
-        o = slide(slide(o, r, pick, fill, 1), r, pick, fill, 0)
+        o = slide(slide(o, r, pick, fill, -1), r, pick, fill, -2)
     return np.maximum(a - o, 0)
 
 
-def _array(row, shape):
-    return np.asarray(row, dtype=np.int16).reshape(shape)
+def _same_size(batches):
+    """Rows of one frame size at a time, so that a step works on a stack of frames."""
+    for batch in batches:
+        for (h, w), rows in batch.groupby(["height", "width"]):
+            yield rows, lambda c, rows=rows, h=h, w=w: np.stack(
+                rows[c].to_list()).astype(np.int16).reshape(-1, h, w)
+
+
+def _flat(stack: np.ndarray) -> list:
+    return list(stack.reshape(len(stack), -1))
+
+
+def _counts(stack: np.ndarray, masks: np.ndarray | None = None) -> list:
+    if masks is None:
+        return [np.bincount(a.ravel(), minlength=256) for a in stack]
+    return [np.bincount(a[m], minlength=256) for a, m in zip(stack, masks)]
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def with_blur_and_top_hat(frames: DataFrame, tophat_factor: float = 0.05) -> DataFrame:
-    """Add packed ``blur`` and ``tophat``; the kernel follows each frame's own size."""
+    """Add packed ``blur`` and ``tophat``, and the counts of blurred grey values.
+
+    The kernel follows each frame's own size.
+    """
     def run(batches):
-        for batch in batches:
-            blurs, hats = [], []
-            for px, h, w in zip(batch["px"], batch["height"], batch["width"]):
-                blur = blur_frame(_array(px, (h, w)))
-                blurs.append(blur.ravel())
-                hats.append(top_hat_frame(blur, odd_kernel_of(h, w, tophat_factor)).ravel())
-            yield batch.assign(blur=blurs, tophat=hats)
+        for rows, stack in _same_size(batches):
+            blur = blur_frame(stack("px"))
+            k = odd_kernel_of(*blur.shape[1:], tophat_factor)
+            yield rows.assign(blur=_flat(blur), tophat=_flat(top_hat_frame(blur, k)),
+                              blur_counts=_counts(blur))
     source = frames.select("frame_id", "height", "width", F.col("px").cast("array<short>"))
-    return source.mapInPandas(
-        run, "frame_id string, height int, width int, px array<short>, "
-             "blur array<short>, tophat array<short>")
+    return source.mapInPandas(run, _fields(source) + ", blur array<short>, tophat array<short>, "
+                                                     "blur_counts array<long>")
 
 
-def with_distance(frames: DataFrame, source: str = "blur") -> DataFrame:
-    """Add packed ``dist3`` of the pixels above ``body_threshold``."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema.fields)
+def with_body(frames: DataFrame, erosion_factor: float) -> DataFrame:
+    """Add packed ``dist3``, ``mask`` and ``diff`` given each frame's ``body_threshold``.
+
+    The counts of differences and of blurred values inside the mask come along, so the
+    statistics never need the pixels.
+    """
+    def run(batches):
+        for rows, stack in _same_size(batches):
+            blur, hat = stack("blur"), stack("tophat")
+            level = rows["body_threshold"].to_numpy()[:, None, None]
+            dist3 = chamfer(np.where(blur > level, NO_BACKGROUND, 0))
+            deepest = dist3.max(axis=(1, 2))
+            limit = erosion_factor * (deepest / 3.0)
+            mask = (dist3 / 3.0 >= limit[:, None, None]) & (deepest > 0)[:, None, None]
+            yield rows.assign(
+                dist3=_flat(dist3), mask=_flat(mask), diff=_flat(np.where(mask, hat, 0)),
+                max_dist3=deepest, diff_counts=_counts(hat, mask),
+                body_counts=_counts(blur, mask))
+    return frames.mapInPandas(
+        run, _fields(frames) + ", dist3 array<int>, mask array<boolean>, diff array<short>, "
+                               "max_dist3 int, diff_counts array<long>, body_counts array<long>")
+
+
+def counts(frames: DataFrame, column: str) -> DataFrame:
+    """A packed count array as histogram rows."""
+    rows = frames.select("frame_id", "height", "width", F.posexplode(column).alias("v", "n"))
+    return rows.where("n > 0")
+
+
+def outlier_pixels(frames: DataFrame, extra: list[str]) -> DataFrame:
+    """Sparse pixels above ``diff_threshold`` and ``baseline``, both columns of the row."""
+    keep = ["frame_id", "height", "width", *extra]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for px, h, w, t in zip(batch[source], batch["height"], batch["width"],
-                                   batch["body_threshold"]):
-                start = np.where(_array(px, (h, w)) > t, NO_BACKGROUND, 0)
-                out.append(chamfer(start).ravel())
-            yield batch.assign(dist3=out)
-    return frames.mapInPandas(run, fields + ", dist3 array<int>")
+            for _, row in batch.iterrows():
+                diff, blur = np.asarray(row["diff"]), np.asarray(row["blur"])
+                at = np.flatnonzero((diff > row["diff_threshold"]) & (blur > row["baseline"]))
+                yield pd.DataFrame({
+                    **{c: row[c] for c in keep}, "y": at // row["width"], "x": at % row["width"],
+                    "v": np.asarray(row["px"])[at], "blur": blur[at],
+                    "dist3": np.asarray(row["dist3"])[at], "diff": diff[at]}, index=at)
+    source = frames.select(*keep, "px", "blur", "dist3", "diff", "diff_threshold", "baseline")
+    return source.mapInPandas(run, _fields(source.select(*keep)) +
+                              ", y int, x int, v int, blur int, dist3 int, diff int")

@@ -51,7 +51,11 @@ def body_level(otsu_level: Column, v_min: Column, v_max: Column,
 
 def frame_levels(pixels: DataFrame, source: str = "v", otsu_min: int = 35,
                  otsu_max: int = 50) -> DataFrame:
-    levels = otsu(histogram(pixels, source))
+    return levels_from_counts(histogram(pixels, source), otsu_min, otsu_max)
+
+
+def levels_from_counts(hist: DataFrame, otsu_min: int = 35, otsu_max: int = 50) -> DataFrame:
+    levels = otsu(hist)
     return levels.withColumn("body_threshold", body_level(
         F.col("otsu"), F.col("v_min"), F.col("v_max"), otsu_min, otsu_max))
 

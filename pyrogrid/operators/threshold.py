@@ -32,17 +32,26 @@ def _ratio(a, b):
     return F.col(a).cast("double") / F.col(b)
 
 
-def gauss_statistics(masked: DataFrame, diff: str = "diff", img: str = "v",
-                     sample: bool = False) -> DataFrame:
-    """centre, sigma, baseline per frame; population sigma unless ``sample``."""
+def moments_from_counts(diff_hist: DataFrame, img_hist: DataFrame) -> DataFrame:
+    """The same sums from histograms of the masked pixels."""
+    keys = frame_keys(diff_hist)
+    d, n = F.col("v").cast("long"), F.col("n")
+    img = img_hist.groupBy(*keys).agg(F.sum(d * n).alias("s_img"))
+    return diff_hist.groupBy(*keys).agg(
+        F.sum(n).alias("n"), F.sum(d * n).alias("s_diff"), F.sum(d * d * n).alias("ss_diff"),
+        *_sizes(diff_hist)).join(img, keys)
+
+
+def gauss_statistics(sums: DataFrame, sample: bool = False) -> DataFrame:
+    """centre, sigma, baseline per frame from its moments; population sigma unless ``sample``."""
     mu = _ratio("s_diff", "n")
     if sample:
         spread = (F.col("ss_diff") - F.col("s_diff").cast("double") * F.col("s_diff") / F.col("n"))
         variance = F.when(F.col("n") > 1, spread / (F.col("n") - 1))
     else:
         variance = _ratio("ss_diff", "n") - mu * mu
-    return moments(masked, diff, img).select(
-        *frame_keys(masked), "height", "width", F.col("n").alias("body_px"),
+    return sums.select(
+        *frame_keys(sums), "height", "width", F.col("n").alias("body_px"),
         mu.alias("centre"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sigma"),
         _ratio("s_img", "n").alias("baseline"))
 
@@ -66,14 +75,17 @@ def median(hist: DataFrame, lower: bool = False, value: str = "v") -> DataFrame:
 def mad_statistics(masked: DataFrame, diff: str = "diff", img: str = "v",
                    lower: bool = False) -> DataFrame:
     """Median, scaled median absolute deviation and median baseline per frame."""
-    keys = frame_keys(masked)
-    hist = histogram(masked, diff)
-    centre = median(hist, lower).select(
+    return mad_from_counts(histogram(masked, diff), histogram(masked, img), lower)
+
+
+def mad_from_counts(diff_hist: DataFrame, img_hist: DataFrame, lower: bool = False) -> DataFrame:
+    keys = frame_keys(diff_hist)
+    centre = median(diff_hist, lower).select(
         *keys, F.col("median").alias("centre"), F.col("n").alias("body_px"), "height", "width")
-    off = (hist.join(centre.select(*keys, "centre"), keys)
+    off = (diff_hist.join(centre.select(*keys, "centre"), keys)
            .withColumn("dev", F.abs(F.col("v") - F.col("centre"))))
     mad = median(off, lower, "dev").select(*keys, F.col("median").alias("mad"))
-    base = median(histogram(masked, img), lower).select(*keys, F.col("median").alias("baseline"))
+    base = median(img_hist, lower).select(*keys, F.col("median").alias("baseline"))
     return centre.join(mad, keys).join(base, keys).select(
         *keys, "height", "width", "body_px", "centre",
         (F.lit(MAD_SCALE) * F.col("mad")).alias("sigma"), "baseline",
@@ -99,7 +111,7 @@ def outlier_threshold(pixels: DataFrame, sigma_k: float = 3.0, use_mad: bool = F
     masked = pixels.where(mask)
     other = variant == "accelerator"
     stats = (mad_statistics(masked, diff, img, other) if use_mad
-             else gauss_statistics(masked, diff, img, other))
+             else gauss_statistics(moments(masked, diff, img), other))
     return cut(stats, sigma_k, clamp=not other)
 
 
@@ -147,7 +159,7 @@ def surface_statistics(pixels: DataFrame, sigma_k: float = 3.0, mask: str = "mas
     v = F.when(F.col(mask), F.col(source).cast("long"))
     sums = pixels.groupBy(*frame_keys(pixels)).agg(
         F.count(v).alias("body_px"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"),
-        F.max(v).alias("max_v"), F.count_if(F.col(hot)).alias("hotspot_px"))
+        F.max(F.when(F.col(mask), F.col(source))).alias("max_v"), F.count_if(F.col(hot)).alias("hotspot_px"))
     mean = _ratio("s", "body_px")
     sd = F.sqrt(F.greatest(_ratio("ss", "body_px") - mean * mean, F.lit(0.0)))
     return sums.where(F.col("body_px") > 0).select(

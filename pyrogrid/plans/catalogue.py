@@ -10,14 +10,15 @@ from ..functions import colour, geometry, identity, temperature as temp
 from ..operators import (
     components as comp, distance as dst, evaluation as ev, neighbourhood as nb, packed,
     regional as rg, regions as reg, segmentation as seg, threshold as thr, triage as tri)
+from ..operators.tiles import attach
 from ..params import Params, settings_over_defaults
 from ..sources.raster import assemble_frames, explode_frames
 from ..sources.sinks import audit_export_rows, audit_rows
 from . import oracle as sql
-from .detect import detect_frames, detect_hotspots
+from .detect import detect_frames
 from .inputs import (
-    RASTER, RASTER_NO_MARGIN, detected, embedding_pixels, events_raster, lineitem_raster,
-    masked, table)
+    RASTER, RASTER_NO_MARGIN, detected, embedding_frames, embedding_pixels, events_raster,
+    lineitem_raster, masked, table)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,9 +58,9 @@ def frame_layout(spark, d):
     return embedding_pixels(spark, d).select("frame_id", "y", "x", "v", "height", "width")
 
 
-@query("frame_round_trip", on_px("lineitem", "SELECT * FROM px"))
+@query("frame_round_trip", on_px("events", "SELECT * FROM px"))
 def frame_round_trip(spark, d):
-    packed_frames = assemble_frames(lineitem_raster(spark, d)).drop("status")
+    packed_frames = assemble_frames(events_raster(spark, d)).drop("status")
     return explode_frames(packed_frames).select("frame_id", "y", "x", "v", "height", "width")
 
 
@@ -77,7 +78,6 @@ def radiometric_to_grey(spark, d):
     px = lineitem_raster(spark, d).withColumn("raw", raw)
     top = px.groupBy("frame_id").agg(F.max("raw").alias("top"), F.max("height").alias("height"),
                                      F.max("width").alias("width"))
-    from ..operators.tiles import attach
     return attach(px, top).select(
         "frame_id", "y", "x", "raw",
         temp.radiometric_to_grey(F.col("raw"), F.col("top")).alias("v"))
@@ -219,11 +219,10 @@ def calibration_offset(spark, d):
         temp.calibrate(F.col("v"), (n - 4) * 1.5, F.lit(20.0), t_max).alias("v"))
 
 
-@query("calibration_range", """,
-""".join(["""
+@query("calibration_range", """
 SELECT c_custkey, CASE WHEN hi <= lo THEN lo + 1.0::DOUBLE ELSE hi END t_max,
  (CASE WHEN hi <= lo THEN lo + 1.0::DOUBLE ELSE hi END - lo) / 255.0::DOUBLE per_step
-FROM (SELECT c_custkey, c_nationkey::DOUBLE lo, c_acctbal / 100.0::DOUBLE hi FROM customer)"""]))
+FROM (SELECT c_custkey, c_nationkey::DOUBLE lo, c_acctbal / 100.0::DOUBLE hi FROM customer)""")
 def calibration_range(spark, d):
     lo, hi = F.col("c_nationkey").cast("double"), F.col("c_acctbal") / 100.0
     return table(spark, d, "customer").select(
@@ -327,10 +326,10 @@ def top_hat_ellipse(spark, d):
 
 
 @query("packed_blur_top_hat", sql.query(
-    [sql.PX["lineitem"], sql.IMG_BLUR, sql.hat(K)],
+    [sql.PX["embeddings"], sql.IMG_BLUR, sql.hat(3)],
     f"SELECT {PIXEL}, g AS blur, tophat FROM img JOIN hat USING ({PIXEL})"))
 def packed_blur_top_hat(spark, d):
-    frames = assemble_frames(lineitem_raster(spark, d))
+    frames = embedding_frames(spark, d)
     hats = packed.with_blur_and_top_hat(frames, RASTER.tophat_factor)
     return explode_frames(hats.drop("px"), "blur", "tophat").select(
         "frame_id", "y", "x", "blur", "tophat")
@@ -502,7 +501,7 @@ def _components(name, raster, k, connectivity, tile=512):
 
     @query(name, sql.query(steps, f"SELECT {PIXEL}, comp_id FROM lab"))
     def run(spark, d):
-        raw = detected(spark, d, raster).raw.drop("comp_id", "boundary", "ty", "tx")
+        raw = detected(spark, d, raster).raw.drop("comp_id", "boundary")
         return comp.components(raw, connectivity, tile).select("frame_id", "y", "x", "comp_id")
 
 
@@ -564,11 +563,11 @@ def bounding_box_filter(spark, d):
 
 
 @query("fill_holes", sql.query(sql.detection("lineitem", K, RASTER_NO_MARGIN, connectivity=8)[:14] + [
-    """box AS MATERIALIZED (SELECT frame_id, comp_id, min(y) y0, max(y) y1, min(x) x0, max(x) x1
+    """extent AS MATERIALIZED (SELECT frame_id, comp_id, min(y) y0, max(y) y1, min(x) x0, max(x) x1
  FROM hot GROUP BY ALL),
 outside AS MATERIALIZED (
  SELECT b.frame_id, b.comp_id, p.y, p.x, p.y = y0 OR p.y = y1 OR p.x = x0 OR p.x = x1 rim
- FROM box b JOIN px p ON p.frame_id = b.frame_id AND p.y BETWEEN y0 AND y1
+ FROM extent b JOIN px p ON p.frame_id = b.frame_id AND p.y BETWEEN y0 AND y1
   AND p.x BETWEEN x0 AND x1
  ANTI JOIN hot h ON h.frame_id = b.frame_id AND h.comp_id = b.comp_id AND h.y = p.y AND h.x = p.x),
 open_air AS (
@@ -583,7 +582,7 @@ UNION ALL SELECT frame_id, comp_id, y, x FROM outside ANTI JOIN open_air
  USING (frame_id, comp_id, y, x)"""))
 def fill_holes(spark, d):
     found = detected(spark, d, "lineitem", RASTER_NO_MARGIN)
-    raw = found.raw.drop("comp_id", "boundary", "ty", "tx", "run_id", "border_margin")
+    raw = found.raw.drop("comp_id", "boundary", "run_id")
     labelled, regions = reg.region_stats(raw, -1, 8)
     judged = reg.filter_regions(regions, found.frame_stats.drop("run_id"), RASTER_NO_MARGIN)
     return reg.fill_holes(reg.kept_pixels(labelled, judged), judged)
@@ -911,14 +910,15 @@ def sigma_sweep(spark, d):
     return _run_metrics(spark, d, "events", SWEEP)
 
 
-@query("compare_frames", sql.query([sql.PX["lineitem"]], """
+@query("compare_frames", sql.query([sql.PX["embeddings"]], """
 SELECT frame_id, count(*) shared_px, 0::BIGINT unshared_px, 0 largest_gap,
  0::BIGINT over_tolerance, true equal FROM px GROUP BY 1"""))
 def compare_frames(spark, d):
     """Window path against packed path."""
-    px = lineitem_raster(spark, d)
-    windows = nb.box_blur(px).select("frame_id", "y", "x", F.col("blur").alias("v"))
-    array = packed.with_blur_and_top_hat(assemble_frames(px)).select(
+    frames = embedding_frames(spark, d)
+    windows = nb.box_blur(explode_frames(frames)).select(
+        "frame_id", "y", "x", F.col("blur").alias("v"))
+    array = packed.with_blur_and_top_hat(frames).select(
         "frame_id", "height", "width", F.col("blur").alias("px"))
     return ev.compare_frames(windows, explode_frames(array), 0)
 
@@ -943,15 +943,16 @@ def _detection(name, raster, k, params, packed_path=False, mad=False):
         if not packed_path:
             found = detected(spark, d, raster, params)
         else:
-            from .inputs import RASTERS
-            found = detect_frames(assemble_frames(RASTERS[raster](spark, d)), params)
+            frames = embedding_frames(spark, d) if raster == "embeddings" \
+                else assemble_frames(events_raster(spark, d))
+            found = detect_frames(frames, params, limit=None)
         return found.frame_stats.select(*STAT_COLUMNS)
 
 
 _detection("detect_hotspots", "lineitem", K, RASTER_NO_MARGIN)
 _detection("detect_hotspots_events", "events", 3, RASTER)
 _detection("detect_hotspots_mad", "lineitem", K, replace(RASTER_NO_MARGIN, use_mad=True), mad=True)
-_detection("detect_frames", "lineitem", K, RASTER_NO_MARGIN, packed_path=True)
+_detection("detect_frames", "events", 3, RASTER_NO_MARGIN, packed_path=True)
 _detection("detect_frames_embeddings", "embeddings", 3, RASTER_NO_MARGIN, packed_path=True)
 
 

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import odd_kernel
 from ..operators import packed
-from ..operators.distance import distance, erode_by_distance
+from ..operators.distance import distance, erode_by_distance, wider_than
 from ..operators.neighbourhood import blur_and_top_hat
-from ..operators.regions import RULE_COLUMNS, filter_regions, kept_pixels, region_stats
-from ..operators.segmentation import binarise, frame_levels, normalise
-from ..operators.threshold import cut, gauss_statistics, mad_statistics, outliers
-from ..operators.tiles import TILE, frame_keys
+from ..operators.regions import filter_regions, kept_pixels, region_stats
+from ..operators.segmentation import binarise, frame_levels, levels_from_counts, normalise
+from ..operators.threshold import (
+    cut, gauss_statistics, mad_from_counts, mad_statistics, moments, moments_from_counts, outliers)
+from ..operators.tiles import TILE
 from ..params import Params, as_list, with_runs
 from ..sources.raster import explode_frames
 from ..staging import keep
@@ -49,24 +50,21 @@ def _union(parts):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _thresholds(masked: DataFrame, runs: list[Params]) -> DataFrame:
+def _thresholds(gauss_of, mad_of, runs: list[Params]) -> DataFrame:
     """Threshold, baseline and parameters per frame and run."""
     parts = []
     gauss = [p for p in runs if not p.use_mad]
     mad = [p for p in runs if p.use_mad]
     if gauss:
-        parts.append(with_runs(gauss_statistics(masked, "diff", "blur")
+        parts.append(with_runs(gauss_statistics(gauss_of())
                                .withColumn("mad_is_zero", F.lit(None).cast("boolean")), gauss))
     if mad:
-        parts.append(with_runs(mad_statistics(masked, "diff", "blur"), mad))
+        parts.append(with_runs(mad_of(), mad))
     return cut(_union(parts), "sigma_k")
 
 
-def _judge(staged, levels, runs, raw_of, tile, held) -> Detection:
-    masked = staged.where("mask")
-    thresholds = keep(_thresholds(masked, runs))
-    held.append(thresholds)
-    labelled, regions = region_stats(raw_of(thresholds), depth="dist3", value="v", tile=tile)
+def _judge(staged, levels, deepest, thresholds, raw, runs, tile, held) -> Detection:
+    labelled, regions = region_stats(raw, depth="dist3", value="v", tile=tile)
     judged = filter_regions(regions, thresholds)
     hot = kept_pixels(labelled, judged)
     keys = ["frame_id", "run_id"]
@@ -74,7 +72,6 @@ def _judge(staged, levels, runs, raw_of, tile, held) -> Detection:
     counts = judged.groupBy(*keys).agg(
         F.sum("area").alias("raw_px"),
         F.sum(F.when(F.col("reject_reason").isNull(), F.col("area"))).alias("hotspot_px"))
-    deepest = staged.groupBy("frame_id").agg(F.max("dist3").alias("max_dist3"))
     zero = F.lit(0).cast("long")
     stats = (with_runs(levels, runs).select(*keys, "height", "width", "tophat_factor", "otsu",
                                             "body_threshold")
@@ -90,7 +87,8 @@ def _judge(staged, levels, runs, raw_of, tile, held) -> Detection:
                      F.coalesce("hotspot_px", zero).alias("hotspot_px"),
                      F.when(F.col("body_px").isNull(), "empty_body_mask").otherwise("ok")
                      .alias("status")))
-    return Detection(staged, stats, judged, labelled, hot, held)
+    spot = [*keys, "y", "x", "v", "blur", "dist3", "diff", "height", "width", "boundary", "comp_id"]
+    return Detection(staged, stats, judged, labelled.select(*spot), hot.select(*spot), held)
 
 
 def _with_hats(pixels: DataFrame, factor: float, kernel: int | None, tile: int) -> DataFrame:
@@ -108,7 +106,7 @@ def _merge(found: list[Detection]) -> Detection:
     if len(found) == 1:
         return found[0]
     names = ("pixels", "frame_stats", "regions", "raw", "hot")
-    return Detection(*[_union([getattr(d, n) for d in found]) for n in names],
+    return Detection(*[_union([getattr(d, n).drop("ty", "tx") for d in found]) for n in names],
                      held=[df for d in found for df in d.held])
 
 
@@ -132,56 +130,54 @@ def detect_hotspots(pixels: DataFrame, params=Params(), tile: int = TILE,
         p = runs[0]
         hats = keep(_with_hats(pixels, p.tophat_factor, kernel, tile))
         levels = keep(frame_levels(hats, "blur", p.otsu_min, p.otsu_max))
-        deep = keep(distance(binarise(hats, levels, "blur", tile=tile), tile, spans_tiles))
+        spans = wider_than(levels, tile) if spans_tiles is None else spans_tiles
+        deep = keep(distance(binarise(hats, levels, "blur", tile=tile), tile, spans))
         staged = erode_by_distance(deep, p.dist_erosion_factor, tile=tile).withColumn(
             "diff", F.when(F.col("mask"), F.col("tophat")).otherwise(0)).drop("fg", "tophat")
 
-        def raw_of(thresholds, staged=staged):
-            # Thresholds are never negative, so pixels without difference cannot pass.
-            return outliers(staged.where("diff > 0"), thresholds, "diff", "blur", tile,
-                            carry=("border_margin",))
-        found.append(_judge(staged, levels, runs, raw_of, tile, [hats, levels, deep]))
+        masked = staged.where("mask")
+        thresholds = keep(_thresholds(lambda: moments(masked, "diff", "blur"),
+                                      lambda: mad_statistics(masked, "diff", "blur"), runs))
+        # Thresholds are never negative, so pixels without difference cannot pass.
+        raw = outliers(staged.where("diff > 0"), thresholds, "diff", "blur", tile,
+                       carry=("border_margin",))
+        deepest = staged.groupBy("frame_id").agg(F.max("dist3").alias("max_dist3"))
+        found.append(_judge(staged, levels, deepest, thresholds, raw, runs, tile,
+                            [hats, levels, deep, thresholds]))
     return _merge(found)
 
 
-def _mask_and_difference(deep: DataFrame, factor: float, *more: str) -> DataFrame:
-    cells = explode_frames(deep, "px", "blur", "tophat", "dist3")
-    mask = (F.col("max_dist3") > 0) & (
-        F.col("dist3") / 3.0 >= F.lit(float(factor)) * (F.col("max_dist3") / 3.0))
-    return cells.withColumn("mask", mask).withColumn(
-        "diff", F.when(F.col("mask"), F.col("tophat")).otherwise(0)) \
-        .select("frame_id", "y", "x", "v", "height", "width", "blur", "dist3", "mask", "diff",
-                *more)
-
-
 def detect_frames(frames: DataFrame, params=Params(), tile: int = TILE,
-                  limit: int = packed.MAX_PACKED_PIXELS) -> Detection:
+                  limit: int | None = packed.MAX_PACKED_PIXELS) -> Detection:
     """The same detection on packed frames. Only outlier pixels are ever shuffled.
 
-    Frames above ``limit`` pixels are exploded and take the tiled pixel path.
+    Frames above ``limit`` pixels are exploded and take the tiled pixel path; ``None``
+    states that there are none and saves the lookup.
     """
     good = frames.where((F.col("height") > 0) & (F.col("width") > 0))
     area = F.col("height").cast("long") * F.col("width")
     found = []
-    if not good.where(area > limit).isEmpty():
+    if limit is not None and not good.where(area > limit).isEmpty():
         big = explode_frames(good.where(area > limit).select("frame_id", "height", "width", "px"))
         found.append(detect_hotspots(big, params, tile))
-    small = good.where(area <= limit)
+    small = good if limit is None else good.where(area <= limit)
     for runs in _by_stage(params):
         p = runs[0]
         hats = keep(packed.with_blur_and_top_hat(small, p.tophat_factor))
-        grey = explode_frames(hats.select("frame_id", "height", "width", "blur"), "blur")
-        levels = keep(frame_levels(grey, "blur", p.otsu_min, p.otsu_max))
-        deep = packed.with_distance(hats.join(
-            levels.select("frame_id", "body_threshold"), "frame_id"))
-        deep = keep(deep.withColumn("max_dist3", F.array_max("dist3")))
-        staged = _mask_and_difference(deep, p.dist_erosion_factor)
-
-        def raw_of(thresholds, deep=deep, p=p):
-            extra = ("run_id", "diff_threshold", "baseline", "border_margin")
-            joined = deep.join(thresholds.select("frame_id", *extra), "frame_id")
-            cells = _mask_and_difference(joined, p.dist_erosion_factor, *extra)
-            return cells.where("diff > diff_threshold and blur > baseline") \
-                .drop("diff_threshold", "baseline")
-        found.append(_judge(staged, levels, runs, raw_of, tile, [hats, levels, deep]))
+        levels = keep(levels_from_counts(packed.counts(hats, "blur_counts"), p.otsu_min,
+                                         p.otsu_max))
+        deep = keep(packed.with_body(hats.join(
+            levels.select("frame_id", "body_threshold"), "frame_id"), p.dist_erosion_factor))
+        diff_hist, body_hist = (packed.counts(deep, c) for c in ("diff_counts", "body_counts"))
+        thresholds = keep(_thresholds(lambda: moments_from_counts(diff_hist, body_hist),
+                                      lambda: mad_from_counts(diff_hist, body_hist), runs))
+        extra = ["run_id", "border_margin"]
+        raw = packed.outlier_pixels(deep.join(thresholds.select(
+            "frame_id", *extra, "diff_threshold", "baseline"), "frame_id"), extra)
+        staged = explode_frames(deep.select(
+            "frame_id", "height", "width", "px", "blur", "dist3", "diff",
+            F.transform("mask", lambda m: m.cast("int")).alias("mask")),
+            "px", "blur", "dist3", "diff", "mask").withColumn("mask", F.col("mask") == 1)
+        found.append(_judge(staged, levels, deep.select("frame_id", "max_dist3"), thresholds, raw,
+                            runs, tile, [hats, levels, deep, thresholds]))
     return _merge(found)

@@ -42,13 +42,19 @@ def offsets(r: int) -> str:
             f"CROSS JOIN (SELECT unnest(range(-{r}, {r} + 1)) dx))")
 
 
+def spread(name: str, agg: str, table: str, column: str, out: str, cells: str) -> str:
+    """Aggregate over a symmetric set of offsets: send each value to every position it
+    reaches, aggregate per position, keep positions inside the frame."""
+    return f"""sent_{name} AS (
+ SELECT frame_id, y + dy y, x + dx x, {agg}({column})::INT {out}
+ FROM {table} CROSS JOIN {cells} o(dy, dx) GROUP BY ALL),
+{name} AS MATERIALIZED (
+ SELECT s.* FROM sent_{name} s SEMI JOIN {table} t USING (frame_id, y, x))"""
+
+
 def near(name: str, agg: str, table: str, column: str, out: str, r: int) -> str:
-    """Aggregate over the square around each pixel, by an equi join on every offset."""
-    return f"""{name} AS MATERIALIZED (
- SELECT p.frame_id, p.y, p.x, {agg}(q.{column})::INT {out}
- FROM {table} p CROSS JOIN {offsets(r)} o
- JOIN {table} q ON q.frame_id = p.frame_id AND q.y = p.y + o.dy AND q.x = p.x + o.dx
- GROUP BY ALL)"""
+    """Aggregate over the square around each pixel."""
+    return spread(name, agg, table, column, out, offsets(r))
 
 
 BLUR = near("box", "sum", "px", "v", "s", 1) + """,
@@ -213,9 +219,5 @@ def ellipse(k: int, raster: str) -> list[str]:
     cells = ", ".join(f"({dy}, {dx})" for dy, c in ellipse_chords(k).items()
                       for dx in range(-c, c + 1))
 
-    def step(name, agg, table, column, out):
-        return f"""{name} AS MATERIALIZED (SELECT p.frame_id, p.y, p.x, {agg}(q.{column})::INT {out}
- FROM {table} p CROSS JOIN (VALUES {cells}) o(dy, dx)
- JOIN {table} q ON q.frame_id = p.frame_id AND q.y = p.y + o.dy AND q.x = p.x + o.dx
- GROUP BY ALL)"""
-    return [PX[raster], step("ero", "min", "px", "v", "m"), step("opn", "max", "ero", "m", "o")]
+    return [PX[raster], spread("ero", "min", "px", "v", "m", f"(VALUES {cells})"),
+            spread("opn", "max", "ero", "m", "o", f"(VALUES {cells})")]
