@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..staging import checkpoint
+from ..staging import checkpoint, spread
 from .tiles import TILE, div, frame_keys, own_pixels, tiled, with_halo
 
 FORWARD = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, 0), (1, 1), (1, -1)]}
@@ -115,7 +115,8 @@ def components(mask: DataFrame, connectivity: int = 4, tile: int = TILE,
     keys = keys or frame_keys(mask)
     mask = tiled(mask, tile)
     schema = StructType([*mask.schema.fields, StructField("comp_id", LongType())])
-    labelled = checkpoint(mask.groupBy(*keys, "ty", "tx")
+    unit = [*keys, "ty", "tx"]
+    labelled = checkpoint(spread(mask, *unit).groupBy(*unit)
                           .applyInPandas(_label_tile(connectivity), schema))
     edges = _tile_edges(labelled, keys, connectivity, tile)
     if edges.isEmpty():
@@ -128,7 +129,6 @@ def components(mask: DataFrame, connectivity: int = 4, tile: int = TILE,
 
 def with_boundary(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """Flag pixels that lack one of their four neighbours (or lie on the frame edge)."""
-    from pyspark.sql import Window
     keys = frame_keys(mask)
     near = with_halo(mask, 1, tile)
 

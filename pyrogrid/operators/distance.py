@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from ..staging import checkpoint, keep
+from ..staging import checkpoint, keep, spread
 from .segmentation import binarise, frame_levels
 from .tiles import TILE, attach, div, frame_keys, tiled
 
@@ -92,7 +92,7 @@ def distance(pixels: DataFrame, tile: int = TILE, spans_tiles: bool | None = Non
     pixels = tiled(pixels, tile)
     unit = [*frame_keys(pixels), "ty", "tx"]
     schema = StructType([*pixels.schema.fields, StructField("dist3", IntegerType())])
-    solved = pixels.groupBy(*unit).applyInPandas(_solve_tile, schema)
+    solved = spread(pixels, *unit).groupBy(*unit).applyInPandas(_solve_tile, schema)
     many = (F.col("height") > tile) | (F.col("width") > tile)
     if spans_tiles is None:
         spans_tiles = wider_than(pixels, tile)
@@ -133,4 +133,4 @@ def body_mask(pixels: DataFrame, source: str = "v", otsu_min: int = 35, otsu_max
     if spans_tiles is None:
         spans_tiles = wider_than(levels, tile)
     fg = binarise(pixels, levels, source, tile=tile)
-    return erode_by_distance(distance(fg, tile, spans_tiles), factor, tile=tile)
+    return erode_by_distance(keep(distance(fg, tile, spans_tiles)), factor, tile=tile)

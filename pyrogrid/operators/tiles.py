@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-TILE = 512
+TILE = 1024
 
 
 def frame_keys(df: DataFrame) -> list[str]:

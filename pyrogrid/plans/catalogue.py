@@ -14,11 +14,12 @@ from ..operators.tiles import attach
 from ..params import Params, settings_over_defaults
 from ..sources.raster import assemble_frames, explode_frames
 from ..sources.sinks import audit_export_rows, audit_rows
+from ..staging import release_kept
 from . import oracle as sql
 from .detect import detect_frames
 from .inputs import (
-    RASTER, RASTER_NO_MARGIN, detected, embedding_frames, embedding_pixels, events_raster,
-    lineitem_raster, masked, table)
+    RASTER, RASTER_NO_MARGIN, detected, embedding_frames, embedding_pixels,
+    enlarged_frames, events_raster, lineitem_raster, masked, table)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +27,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, text: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark, folder):
+            # Stages held for an earlier query would only pile up in a long session.
+            release_kept()
+            return fn(spark, folder)
+        QUERIES[name] = run
         if text is not None:
             ORACLES[name] = text
         return fn
@@ -371,8 +376,8 @@ def _distance(name, raster, source, tile):
         return dst.distance(fg, tile).select("frame_id", "y", "x", "dist3")
 
 
-_distance("distance", "lineitem", lineitem_raster, 512)
-_distance("distance_events", "events", events_raster, 512)
+_distance("distance", "lineitem", lineitem_raster, dst.TILE)
+_distance("distance_events", "events", events_raster, dst.TILE)
 _distance("distance_across_tiles", "events", events_raster, 8)
 
 
@@ -496,7 +501,7 @@ def coverage_summary(spark, d):
 
 # --- components and regions ---------------------------------------------------------------------
 
-def _components(name, raster, k, connectivity, tile=512):
+def _components(name, raster, k, connectivity, tile=comp.TILE):
     steps = sql.detection(raster, k)[:10] + [sql.labels(connectivity)]
 
     @query(name, sql.query(steps, f"SELECT {PIXEL}, comp_id FROM lab"))
@@ -943,8 +948,8 @@ def _detection(name, raster, k, params, packed_path=False, mad=False):
         if not packed_path:
             found = detected(spark, d, raster, params)
         else:
-            frames = embedding_frames(spark, d) if raster == "embeddings" \
-                else assemble_frames(events_raster(spark, d))
+            frames = {"embeddings": embedding_frames, "enlarged": enlarged_frames}.get(
+                raster, lambda *a: assemble_frames(events_raster(*a)))(spark, d)
             found = detect_frames(frames, params, limit=None)
         return found.frame_stats.select(*STAT_COLUMNS)
 
@@ -954,6 +959,7 @@ _detection("detect_hotspots_events", "events", 3, RASTER)
 _detection("detect_hotspots_mad", "lineitem", K, replace(RASTER_NO_MARGIN, use_mad=True), mad=True)
 _detection("detect_frames", "events", 3, RASTER_NO_MARGIN, packed_path=True)
 _detection("detect_frames_embeddings", "embeddings", 3, RASTER_NO_MARGIN, packed_path=True)
+_detection("detect_frames_enlarged", "enlarged", 3, RASTER_NO_MARGIN, packed_path=True)
 
 
 @query("hotspot_mask", sql.query(sql.detection("lineitem", K, RASTER_NO_MARGIN)[:14],

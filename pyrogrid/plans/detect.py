@@ -18,7 +18,7 @@ from ..operators.threshold import (
 from ..operators.tiles import TILE
 from ..params import Params, as_list, with_runs
 from ..sources.raster import explode_frames
-from ..staging import keep
+from ..staging import keep, spread
 
 
 @dataclass
@@ -160,7 +160,8 @@ def detect_frames(frames: DataFrame, params=Params(), tile: int = TILE,
     if limit is not None and not good.where(area > limit).isEmpty():
         big = explode_frames(good.where(area > limit).select("frame_id", "height", "width", "px"))
         found.append(detect_hotspots(big, params, tile))
-    small = good if limit is None else good.where(area <= limit)
+    # One shuffle of the packed rows; both per-frame joins below then find them in place.
+    small = spread(good if limit is None else good.where(area <= limit), "frame_id")
     for runs in _by_stage(params):
         p = runs[0]
         hats = keep(packed.with_blur_and_top_hat(small, p.tophat_factor))

@@ -68,6 +68,17 @@ def embedding_pixels(spark, folder) -> DataFrame:
     return explode_frames(embedding_frames(spark, folder))
 
 
+def enlarged_frames(spark, folder, factor: int = 4) -> DataFrame:
+    """Embedding frames with every cell blown up to factor x factor pixels."""
+    def wide(line):
+        return F.flatten(F.transform(line, lambda v: F.array_repeat(v, factor)))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: wide(F.slice("px", y * 8 + 1, 8)))
+    return embedding_frames(spark, folder).select(
+        "frame_id", (F.col("height") * factor).alias("height"),
+        (F.col("width") * factor).alias("width"),
+        F.flatten(F.flatten(F.transform(rows, lambda r: F.array_repeat(r, factor)))).alias("px"))
+
+
 RASTERS = {"events": events_raster, "lineitem": lineitem_raster, "embeddings": embedding_pixels}
 
 

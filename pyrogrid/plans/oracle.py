@@ -35,6 +35,10 @@ px AS MATERIALIZED (
   8 height, 8 width
  FROM cells JOIN (SELECT frame_id, min(e) lo, max(e) hi FROM cells GROUP BY 1) USING (frame_id))""",
 }
+PX["enlarged"] = PX["embeddings"].replace("px AS MATERIALIZED", "small AS MATERIALIZED") + """,
+px AS MATERIALIZED (
+ SELECT frame_id, (y * 4 + dy)::INT y, (x * 4 + dx)::INT x, v, 32 height, 32 width
+ FROM small CROSS JOIN (SELECT unnest(range(4)) dy) CROSS JOIN (SELECT unnest(range(4)) dx))"""
 
 
 def offsets(r: int) -> str:

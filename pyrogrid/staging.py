@@ -22,6 +22,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partition for compute-heavy tasks. The number is explicit so that adaptive
+    execution does not merge partitions that are small in bytes but slow to process."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
+
+
+_KEPT: list[DataFrame] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Hold a stage that several later steps read; lost blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _KEPT[-1]
+
+
+def release_kept() -> None:
+    """Let go of every held stage. Results made from them stay valid and recompute."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
