@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType
 
 from ..staging import checkpoint, spread
 from .tiles import TILE, div, frame_keys, own_pixels, tiled, with_halo
@@ -52,12 +52,15 @@ def first_pixel_labels(y: np.ndarray, x: np.ndarray, connectivity: int) -> np.nd
     return labels
 
 
-def _label_tile(connectivity):
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        first = first_pixel_labels(y, x, connectivity)
-        return pdf.assign(
-            comp_id=y[first].astype(np.int64) * pdf["width"].to_numpy() + x[first])
+def _tile_labels(connectivity: int):
+    """Labels of whole tiles, many tiles per Arrow batch."""
+    @F.pandas_udf(ArrayType(LongType()))
+    def label(ys: pd.Series, xs: pd.Series, widths: pd.Series) -> pd.Series:
+        out = []
+        for y, x, width in zip(ys, xs, widths):
+            first = first_pixel_labels(y, x, connectivity)
+            out.append(y[first].astype(np.int64) * width + x[first])
+        return pd.Series(out)
     return label
 
 
@@ -114,10 +117,16 @@ def components(mask: DataFrame, connectivity: int = 4, tile: int = TILE,
     """Add ``comp_id`` to every pixel of a sparse mask."""
     keys = keys or frame_keys(mask)
     mask = tiled(mask, tile)
-    schema = StructType([*mask.schema.fields, StructField("comp_id", LongType())])
     unit = [*keys, "ty", "tx"]
-    labelled = checkpoint(spread(mask, *unit).groupBy(*unit)
-                          .applyInPandas(_label_tile(connectivity), schema))
+    rest = [c for c in mask.columns if c not in unit]
+    # One row per tile: its size is bounded by the tile, its label array by its pixels.
+    cells = (spread(mask, *unit).groupBy(*unit)
+             .agg(F.collect_list(F.struct(*rest)).alias("cells"), F.max("width").alias("w")))
+    ids = cells.withColumn("ids", _tile_labels(connectivity)("cells.y", "cells.x", "w"))
+    labelled = checkpoint(
+        ids.select(*unit, F.explode(F.arrays_zip("cells", "ids")).alias("p"))
+        .select(*[F.col(c) if c in unit else F.col(f"p.cells.{c}").alias(c) for c in mask.columns],
+                F.col("p.ids").alias("comp_id")))
     edges = _tile_edges(labelled, keys, connectivity, tile)
     if edges.isEmpty():
         return labelled
