@@ -5,20 +5,31 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by spark.checkpoint.dir.
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir.
 
-    Only a session that names none (tests, a single machine) gets a folder of its own.
+    Only a local master may go without one (tests, a single machine) and gets a folder of its
+    own; on a cluster such a folder would lie on one machine, so a missing name is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) \
             or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pyrogrid-checkpoint-"))
+        if not folder:
+            master = context.master or ""
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="pyrogrid-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the work folder."""
+    work_folder(df.sparkSession)
     return df.checkpoint()
 
 
