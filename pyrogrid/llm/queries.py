@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pyrogrid.llm import bpe, exact_dedup, language_id, multi_index, packing, sharding
+from pyrogrid.llm import (bpe, exact_dedup, language_id, multi_index, packing, page_diff, quotation,
+                          sharding)
 from pyrogrid.llm.common import table
 
 
@@ -37,17 +38,27 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.reply_order(table(spark, sf_dir, "conversations"))
+
+
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"))
 
 
+def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
+    "op6_quotation": op6_quotation,
     "op7_multi_index": op7_multi_index,
+    "op10_page_diff": op10_page_diff,
 }
 
 ORACLES: dict[str, str] = {
