@@ -9,24 +9,47 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyrogrid.llm import exact_dedup, packing
+from pyrogrid.llm import exact_dedup, language_id, ngram_join, packing, suffix_dedup
 from pyrogrid.llm.queries import tokenizer_file
 from pyrogrid.staging import work_folder
 
 
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification rejects (`und`: no text or no letter) go."""
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(model, F.col("text"))
+    return docs.where(found["lang_pred"] != language_id.UNDETERMINED)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by word 5-grams at 0.8 or more, the smallest doc_id stays."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 400 bytes that also start elsewhere go; n_chars follows the text, and
+    documents that lose all of it go."""
+    cut = suffix_dedup.drop_passages(docs)
+    return cut.where("text <> ''").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 2048 ids."""
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [
+    ("language ID", keep_identified),
     ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", drop_repeated_passages),
     ("packing", pack_sequences),
 ]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +70,26 @@ def components(edges: DataFrame) -> DataFrame:
             break
     return links.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("component")).union(
         links.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+
+
+class Bits:
+    """Bit map over 64-bit names, of a fixed size (a power of two), for use inside tasks.
+
+    Names that are not in the table pass by chance, more of them as the map fills.
+    """
+
+    def __init__(self, names: DataFrame, column: str, size: int = 1 << 26):
+        self.size = size
+        slot = F.pmod(F.col(column), F.lit(size))
+        words = (names.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("word"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits")))
+        # One row per block of the map, so that the driver gets few rows of bounded size.
+        blocks = (words.groupBy(F.floor(F.col("word") / 1024).alias("block"))
+                  .agg(F.collect_list("word").alias("word"), F.collect_list("bits").alias("bits")))
+        self.bits = np.zeros(size // 64, "int64")
+        for row in blocks.toLocalIterator():
+            self.bits[row["word"]] = row["bits"]
+
+    def has(self, names: np.ndarray) -> np.ndarray:
+        slots = names.view("int64") & (self.size - 1)
+        return (self.bits[slots >> 6].view("uint64") >> (slots & 63).view("uint64")) & np.uint64(1) > 0

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pyrogrid.llm.common import components
+from pyrogrid.llm.common import Bits, components
 from pyrogrid.staging import checkpoint
 
 WORDS = 5
@@ -205,19 +205,14 @@ def fragments(docs: DataFrame, needed: DataFrame, order: Order) -> DataFrame:
     A bit map of the ids' hashes, of a fixed size, is what reaches the tasks; documents that it
     lets through by chance are found by no pair.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    words = (needed.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 32))")).alias("bits")).toPandas())
-    bits = np.zeros(MAP_BITS // 32, "uint32")
-    bits[words["word"].to_numpy("int64")] = words["bits"].to_numpy("int64").astype("uint32")
+    name = F.xxhash64("doc_id").alias("name")
+    known = Bits(needed.select(name), "name", MAP_BITS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            slots = batch["slot"].to_numpy("int64")
-            wanted = (bits[slots >> 5] >> (slots & 31).astype("uint32")) & 1 > 0
             rows = []
-            for text in batch["text"][wanted]:
+            for text in batch["text"][known.has(batch["name"].to_numpy())]:
                 found = ngram_set(text)
                 node = set_key(found)
                 if not len(found) or node in seen:
@@ -233,7 +228,7 @@ def fragments(docs: DataFrame, needed: DataFrame, order: Order) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["node", "n", "fragment", "ngrams"])
 
-    return docs.where("doc_id is not null").select("text", slot.alias("slot")).mapInPandas(
+    return docs.where("doc_id is not null").select("text", name).mapInPandas(
         run, "node long, n long, fragment int, ngrams array<long>").dropDuplicates(["node", "fragment"])
 
 
