@@ -16,7 +16,6 @@ from ..staging import checkpoint, spread
 from .tiles import TILE, div, frame_keys, own_pixels, tiled, with_halo
 
 FORWARD = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, 0), (1, 1), (1, -1)]}
-MAX_ROUNDS = 200
 
 
 def first_pixel_labels(y: np.ndarray, x: np.ndarray, connectivity: int) -> np.ndarray:
@@ -94,7 +93,8 @@ def _merge(edges: DataFrame, keys) -> DataFrame:
     both = checkpoint(both)
     roots = checkpoint(both.select(*keys, F.col("a").alias("id")).distinct()
                        .withColumn("root", F.col("id")))
-    for _ in range(MAX_ROUNDS):
+    # Every round joins each label that still has an edge to another, so the loop ends.
+    while True:
         low = (both.groupBy(*keys, "a").agg(F.min("b").alias("b"))
                .select(*keys, F.col("a").alias("root"), F.least("a", "b").alias("next")))
         hop = low.select(*keys, F.col("root").alias("next"), F.col("next").alias("after"))
@@ -109,7 +109,6 @@ def _merge(edges: DataFrame, keys) -> DataFrame:
         both = checkpoint(both.where("a <> b").distinct())
         if both.isEmpty():
             return roots
-    raise RuntimeError("component labels did not settle")
 
 
 def components(mask: DataFrame, connectivity: int = 4, tile: int = TILE,

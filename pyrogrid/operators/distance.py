@@ -82,21 +82,18 @@ def wider_than(frames: DataFrame, tile: int) -> bool:
     return not frames.where((F.col("height") > tile) | (F.col("width") > tile)).isEmpty()
 
 
-def distance(pixels: DataFrame, tile: int = TILE, spans_tiles: bool | None = None) -> DataFrame:
+def distance(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """Add ``dist3``, three times the distance of each ``fg`` pixel to the background.
 
     Outside the frame is not background; a frame without background holds
-    ``NO_BACKGROUND``. ``spans_tiles`` says whether any frame is larger than a tile;
-    left out, it is looked up.
+    ``NO_BACKGROUND``. Whether tiles have to exchange rims is read from the data.
     """
     pixels = tiled(pixels, tile)
     unit = [*frame_keys(pixels), "ty", "tx"]
     schema = StructType([*pixels.schema.fields, StructField("dist3", IntegerType())])
     solved = spread(pixels, *unit).groupBy(*unit).applyInPandas(_solve_tile, schema)
     many = (F.col("height") > tile) | (F.col("width") > tile)
-    if spans_tiles is None:
-        spans_tiles = wider_than(pixels, tile)
-    if not spans_tiles:
+    if not wider_than(pixels, tile):
         return solved
     single = solved.where(~many)
     state_schema = StructType([*schema.fields, StructField("moved", BooleanType())])
@@ -126,11 +123,8 @@ def erode_by_distance(pixels: DataFrame, factor: float, out: str = "mask",
 
 
 def body_mask(pixels: DataFrame, source: str = "v", otsu_min: int = 35, otsu_max: int = 50,
-              factor: float = 0.05, tile: int = TILE,
-              spans_tiles: bool | None = None) -> DataFrame:
+              factor: float = 0.05, tile: int = TILE) -> DataFrame:
     """Otsu, binarise, distance, adaptive erosion; keeps the distance before erosion."""
     levels = keep(frame_levels(pixels, source, otsu_min, otsu_max))
-    if spans_tiles is None:
-        spans_tiles = wider_than(levels, tile)
     fg = binarise(pixels, levels, source, tile=tile)
-    return erode_by_distance(keep(distance(fg, tile, spans_tiles)), factor, tile=tile)
+    return erode_by_distance(keep(distance(fg, tile)), factor, tile=tile)

@@ -1,9 +1,8 @@
-"""Stencils on packed frames: one row per image, no pixel-level shuffle.
+"""Whole detection steps on packed frames: one row per image, no pixel-level shuffle.
 
-Spark spreads the rows; each task only runs the array steps that need a whole frame at
-once (smoothing with top-hat, the distance map) and counts grey values, which is the
-map side of every later aggregation. Levels, statistics, thresholds, components and
-region rules are Spark expressions over those counts and over the sparse outliers.
+Spark spreads the rows; one pass over a stack of frames does everything that needs only
+the frame itself: smoothing, top-hat, levels, distance, body, thresholds, outliers and
+their components. Only per-frame values and sparse outlier pixels leave it.
 """
 
 from __future__ import annotations
@@ -13,10 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import odd_kernel_of
+from ..params import Params
+from .components import first_pixel_labels
 from .distance import NO_BACKGROUND, chamfer
+from .threshold import HIGHEST, LOWEST, MAD_SCALE
 
-# Larger frames take the tiled pixel path instead.
-MAX_PACKED_PIXELS = 4096 * 4096
+# Pixels worked on at once; a larger frame is a stack of its own.
+STACK = 1 << 22
 
 
 def slide(a: np.ndarray, radius: int, pick, fill: int, axis: int) -> np.ndarray:
@@ -50,82 +52,151 @@ def _same_size(batches):
     """Rows of one frame size at a time, so that a step works on a stack of frames."""
     for batch in batches:
         for (h, w), rows in batch.groupby(["height", "width"]):
-            yield rows, lambda c, rows=rows, h=h, w=w: np.stack(
-                rows[c].to_list()).astype(np.int16).reshape(-1, h, w)
+            step = max(1, STACK // (h * w))
+            for start in range(0, len(rows), step):
+                part = rows.iloc[start:start + step]
+                yield part, np.stack(part["px"].to_list()).astype(np.int16).reshape(-1, h, w)
 
 
 def _flat(stack: np.ndarray) -> list:
     return list(stack.reshape(len(stack), -1))
 
 
-def _counts(stack: np.ndarray, masks: np.ndarray | None = None) -> list:
-    if masks is None:
-        return [np.bincount(a.ravel(), minlength=256) for a in stack]
-    return [np.bincount(a[m], minlength=256) for a, m in zip(stack, masks)]
+def _counts(stack: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Pixels per grey value of each frame, inside the mask if given."""
+    frame = np.repeat(np.arange(len(stack)), stack[0].size)
+    code = frame * 256 + stack.ravel()
+    if mask is not None:
+        code = code[mask.ravel()]
+    return np.bincount(code, minlength=256 * len(stack)).reshape(-1, 256)
 
 
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def with_blur_and_top_hat(frames: DataFrame, tophat_factor: float = 0.05) -> DataFrame:
-    """Add packed ``blur`` and ``tophat``, and the counts of blurred grey values.
-
-    The kernel follows each frame's own size.
-    """
+def otsu_levels(counts: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Otsu level and body threshold of each row of grey value counts."""
+    v = np.arange(256)
+    back, total = counts.cumsum(1), counts.sum(1, keepdims=True)
+    s_back, s_total = (counts * v).cumsum(1), (counts * v).sum(1, keepdims=True)
+    front = total - back
+    split = (back > 0) & (front > 0)
+    gap = (s_back / np.where(split, back, 1)) - ((s_total - s_back) / np.where(split, front, 1))
+    variance = np.where(split, back.astype(float) * front * (gap * gap), 0.0)
+    otsu = np.where(variance.max(1) > 0, variance.argmax(1), 0)
+    low, high = (counts > 0).argmax(1), 255 - (counts[:, ::-1] > 0).argmax(1)
+    level = np.where(high - low < 30, np.floor(low + 0.3 * (high - low)), otsu // 2)
+    return otsu, np.minimum(np.maximum(level, p.otsu_min), p.otsu_max).astype(int)
+
+
+def weighted_median(values: np.ndarray, counts: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    upto, at = counts[order].cumsum(), values[order]
+    n = upto[-1]
+    low, high = (at[np.searchsorted(upto, k, side="right")] for k in ((n - 1) // 2, n // 2))
+    return float(low) if low == high else 0.5 * low + 0.5 * high
+
+
+def frame_threshold(diff: np.ndarray, img: np.ndarray, p: Params) -> tuple:
+    """body_px, centre, sigma, baseline, mad_is_zero, diff_threshold from the counts of one
+    frame's body; all None without a body."""
+    n, v = int(diff.sum()), np.arange(256)
+    if not n:
+        return (None,) * 6
+    if p.use_mad:
+        centre = weighted_median(v, diff)
+        mad = weighted_median(np.abs(v - centre), diff)
+        sigma, base, zero = MAD_SCALE * mad, weighted_median(v, img), mad == 0
+    else:
+        centre = int((diff * v).sum()) / n
+        variance = int((diff * v * v).sum()) / n - centre * centre
+        sigma, base, zero = float(np.sqrt(max(variance, 0.0))), int((img * v).sum()) / n, None
+    level = min(max(centre + p.sigma_k * sigma, LOWEST), HIGHEST)
+    return n, centre, sigma, base, zero, level
+
+
+def bodies(px: np.ndarray, p: Params) -> dict:
+    """Image stages of a stack of frames of one size."""
+    blur = blur_frame(px)
+    hat = top_hat_frame(blur, odd_kernel_of(*px.shape[1:], p.tophat_factor))
+    otsu, level = otsu_levels(_counts(blur), p)
+    dist3 = chamfer(np.where(blur > level[:, None, None], NO_BACKGROUND, 0))
+    deepest = dist3.max(axis=(1, 2))
+    limit = p.dist_erosion_factor * (deepest / 3.0)
+    mask = (dist3 / 3.0 >= limit[:, None, None]) & (deepest > 0)[:, None, None]
+    return {"blur": blur, "tophat": hat, "otsu": otsu, "body_threshold": level, "dist3": dist3,
+            "max_dist3": deepest, "mask": mask, "diff": np.where(mask, hat, 0)}
+
+
+def spots(px: np.ndarray, stage: dict, level: np.ndarray, base: np.ndarray) -> dict:
+    """Outlier pixels of a stack with their component and whether they lie on its edge."""
+    n, h, w = px.shape
+    found = (stage["diff"] > level[:, None, None]) & (stage["blur"] > base[:, None, None])
+    at, y, x = np.nonzero(found)
+    # A free line between frames keeps their components apart.
+    label = first_pixel_labels(at * (h + 1) + y, x, 4) if len(at) else at
+    ringed = np.pad(found, ((0, 0), (1, 1), (1, 1)))
+    inner = (ringed[at, y, x + 1] & ringed[at, y + 2, x + 1]
+             & ringed[at, y + 1, x] & ringed[at, y + 1, x + 2])
+    return {"at": at, "y": y, "x": x, "v": px[at, y, x], "blur": stage["blur"][at, y, x],
+            "dist3": stage["dist3"][at, y, x], "diff": stage["diff"][at, y, x],
+            "comp_id": y[label].astype(np.int64) * w + x[label], "boundary": ~inner}
+
+
+MEASURES = ("otsu int, body_threshold int, max_dist3 int, body_px long, centre double, "
+            "sigma double, baseline double, mad_is_zero boolean, diff_threshold double")
+SPOTS = "y int, x int, v int, blur int, dist3 int, diff int, comp_id long, boundary boolean"
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def detected(frames: DataFrame, runs: list[Params]) -> DataFrame:
+    """Rows (frame_id, height, width, run) of two kinds, for runs with the same image stages:
+    one per frame and run with its measures, and one per outlier pixel (``y`` is set)."""
     def run(batches):
-        for rows, stack in _same_size(batches):
-            blur = blur_frame(stack("px"))
-            k = odd_kernel_of(*blur.shape[1:], tophat_factor)
-            yield rows.assign(blur=_flat(blur), tophat=_flat(top_hat_frame(blur, k)),
-                              blur_counts=_counts(blur))
+        for rows, px in _same_size(batches):
+            stage = bodies(px, runs[0])
+            diff, img = _counts(stage["tophat"], stage["mask"]), _counts(stage["blur"], stage["mask"])
+            ids = rows[["frame_id", "height", "width"]].reset_index(drop=True)
+            for number, p in enumerate(runs):
+                cuts = pd.DataFrame([frame_threshold(d, i, p) for d, i in zip(diff, img)],
+                                    columns=_names(MEASURES)[3:])
+                known = cuts["body_px"].notna().to_numpy()
+                yield pd.concat([ids.assign(run=number, otsu=stage["otsu"],
+                                            body_threshold=stage["body_threshold"],
+                                            max_dist3=stage["max_dist3"]), cuts,
+                                 pd.DataFrame(None, ids.index, _names(SPOTS))], axis=1)
+                level, base = (np.where(known, cuts[c].astype(float), np.inf)
+                               for c in ("diff_threshold", "baseline"))
+                pixels = spots(px, stage, level, base)
+                at = pixels.pop("at")
+                yield ids.iloc[at].reset_index(drop=True).assign(
+                    run=number, **dict.fromkeys(_names(MEASURES)), **pixels)
     source = frames.select("frame_id", "height", "width", F.col("px").cast("array<short>"))
-    return source.mapInPandas(run, _fields(source) + ", blur array<short>, tophat array<short>, "
-                                                     "blur_counts array<long>")
+    return source.mapInPandas(run, f"{_fields(source.drop('px'))}, run int, {MEASURES}, {SPOTS}")
 
 
-def with_body(frames: DataFrame, erosion_factor: float) -> DataFrame:
-    """Add packed ``dist3``, ``mask`` and ``diff`` given each frame's ``body_threshold``.
-
-    The counts of differences and of blurred values inside the mask come along, so the
-    statistics never need the pixels.
-    """
+def staged(frames: DataFrame, p: Params) -> DataFrame:
+    """Packed ``blur``, ``dist3``, ``diff`` and ``mask`` of every frame."""
     def run(batches):
-        for rows, stack in _same_size(batches):
-            blur, hat = stack("blur"), stack("tophat")
-            level = rows["body_threshold"].to_numpy()[:, None, None]
-            dist3 = chamfer(np.where(blur > level, NO_BACKGROUND, 0))
-            deepest = dist3.max(axis=(1, 2))
-            limit = erosion_factor * (deepest / 3.0)
-            mask = (dist3 / 3.0 >= limit[:, None, None]) & (deepest > 0)[:, None, None]
-            yield rows.assign(
-                dist3=_flat(dist3), mask=_flat(mask), diff=_flat(np.where(mask, hat, 0)),
-                max_dist3=deepest, diff_counts=_counts(hat, mask),
-                body_counts=_counts(blur, mask))
-    return frames.mapInPandas(
-        run, _fields(frames) + ", dist3 array<int>, mask array<boolean>, diff array<short>, "
-                               "max_dist3 int, diff_counts array<long>, body_counts array<long>")
-
-
-def counts(frames: DataFrame, column: str) -> DataFrame:
-    """A packed count array as histogram rows."""
-    rows = frames.select("frame_id", "height", "width", F.posexplode(column).alias("v", "n"))
-    return rows.where("n > 0")
-
-
-def outlier_pixels(frames: DataFrame, extra: list[str]) -> DataFrame:
-    """Sparse pixels above ``diff_threshold`` and ``baseline``, both columns of the row."""
-    keep = ["frame_id", "height", "width", *extra]
+        for rows, px in _same_size(batches):
+            stage = bodies(px, p)
+            yield rows.assign(**{c: _flat(stage[c]) for c in ("blur", "dist3", "diff")},
+                              mask=_flat(stage["mask"].astype(np.int16)))
+    source = frames.select("frame_id", "height", "width", F.col("px").cast("array<short>"))
+    return source.mapInPandas(run, _fields(source) + ", blur array<short>, dist3 array<int>, "
+                                                     "diff array<short>, mask array<short>")
 
+
+def with_blur_and_top_hat(frames: DataFrame, tophat_factor: float = 0.05) -> DataFrame:
+    """Add packed ``blur`` and ``tophat``. The kernel follows each frame's own size."""
     def run(batches):
-        for batch in batches:
-            for _, row in batch.iterrows():
-                diff, blur = np.asarray(row["diff"]), np.asarray(row["blur"])
-                at = np.flatnonzero((diff > row["diff_threshold"]) & (blur > row["baseline"]))
-                yield pd.DataFrame({
-                    **{c: row[c] for c in keep}, "y": at // row["width"], "x": at % row["width"],
-                    "v": np.asarray(row["px"])[at], "blur": blur[at],
-                    "dist3": np.asarray(row["dist3"])[at], "diff": diff[at]}, index=at)
-    source = frames.select(*keep, "px", "blur", "dist3", "diff", "diff_threshold", "baseline")
-    return source.mapInPandas(run, _fields(source.select(*keep)) +
-                              ", y int, x int, v int, blur int, dist3 int, diff int")
+        for rows, px in _same_size(batches):
+            blur = blur_frame(px)
+            k = odd_kernel_of(*blur.shape[1:], tophat_factor)
+            yield rows.assign(blur=_flat(blur), tophat=_flat(top_hat_frame(blur, k)))
+    source = frames.select("frame_id", "height", "width", F.col("px").cast("array<short>"))
+    return source.mapInPandas(run, _fields(source) + ", blur array<short>, tophat array<short>")

@@ -55,6 +55,14 @@ def with_runs(per_frame: DataFrame, params) -> DataFrame:
             .drop("_run"))
 
 
+def with_run_of(per_frame: DataFrame, params, number: str = "run") -> DataFrame:
+    """Adds the parameters of the run whose place in ``params`` stands in a column."""
+    runs = F.array(*[
+        F.struct(*[F.lit(value).alias(name) for name, value in asdict(p).items()])
+        for p in as_list(params)])
+    return per_frame.select("*", *[runs[F.col(number)][f.name].alias(f.name) for f in fields(Params)])
+
+
 def settings_over_defaults(settings: DataFrame, defaults: Params = Params()) -> DataFrame:
     """Fill keys a stored settings row lacks (or holds as NULL) from the defaults."""
     keep = [F.col(c) for c in settings.columns if c not in asdict(defaults)]

@@ -950,7 +950,7 @@ def _detection(name, raster, k, params, packed_path=False, mad=False):
         else:
             frames = {"embeddings": embedding_frames, "enlarged": enlarged_frames}.get(
                 raster, lambda *a: assemble_frames(events_raster(*a)))(spark, d)
-            found = detect_frames(frames, params, limit=None)
+            found = detect_frames(frames, params)
         return found.frame_stats.select(*STAT_COLUMNS)
 
 

@@ -9,14 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import odd_kernel
 from ..operators import packed
-from ..operators.distance import distance, erode_by_distance, wider_than
+from ..operators.distance import distance, erode_by_distance
 from ..operators.neighbourhood import blur_and_top_hat
-from ..operators.regions import filter_regions, kept_pixels, region_stats
-from ..operators.segmentation import binarise, frame_levels, levels_from_counts, normalise
-from ..operators.threshold import (
-    cut, gauss_statistics, mad_from_counts, mad_statistics, moments, moments_from_counts, outliers)
+from ..operators.regions import filter_regions, kept_pixels, measure, region_stats
+from ..operators.segmentation import binarise, frame_levels, normalise
+from ..operators.threshold import cut, gauss_statistics, mad_statistics, moments, outliers
 from ..operators.tiles import TILE
-from ..params import Params, as_list, with_runs
+from ..params import Params, as_list, with_run_of, with_runs
 from ..sources.raster import explode_frames
 from ..staging import keep, spread
 
@@ -24,26 +23,40 @@ from ..staging import keep, spread
 @dataclass
 class Detection:
     """Results of one detection; ``release`` frees the held stage tables."""
-    pixels: DataFrame        # every pixel: v, blur, dist3, mask, diff
+    pixels: DataFrame        # every pixel: v, blur, dist3, mask, diff (and run_id, see below)
     frame_stats: DataFrame   # one row per frame and run
     regions: DataFrame       # every raw component with its reject reason
     raw: DataFrame           # raw outlier pixels with comp_id
     hot: DataFrame           # pixels of kept components
+    runs: list = field(default_factory=list)
     held: list = field(default_factory=list)
 
+    # Runs with the same image stages share one copy of ``pixels``. Where runs differ in them,
+    # every run has its own copy, told apart by ``run_id``.
+
     def release(self):
         for df in self.held:
             df.unpersist()
 
     def difference(self, tile: int = TILE) -> DataFrame:
-        """Difference image stretched to 0..255 per frame."""
+        """Difference image stretched to 0..255 per frame (and run, where runs differ)."""
         return normalise(self.pixels, "diff", "diff_norm", tile)
 
     def flagged(self) -> DataFrame:
-        """Every pixel with a ``hot`` column (single run)."""
-        marks = self.hot.select("frame_id", "y", "x", F.lit(True).alias("hot"))
-        return self.pixels.join(marks, ["frame_id", "y", "x"], "left") \
-            .withColumn("hot", F.coalesce("hot", F.lit(False)))
+        """Every pixel with a ``hot`` column, once per run if there are several."""
+        keys, pixels = ["frame_id", "y", "x"], self.pixels
+        if len(self.runs) > 1:
+            keys = ["frame_id", "run_id", "y", "x"]
+            pixels = per_run(pixels, self.runs)
+        marks = self.hot.select(*keys, F.lit(True).alias("hot"))
+        return pixels.join(marks, keys, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def per_run(pixels: DataFrame, runs: list[str]) -> DataFrame:
+    """A copy of the pixels for each run, unless they have one already."""
+    if "run_id" in pixels.columns:
+        return pixels
+    return pixels.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
 
 
 def _union(parts):
@@ -63,8 +76,7 @@ def _thresholds(gauss_of, mad_of, runs: list[Params]) -> DataFrame:
     return cut(_union(parts), "sigma_k")
 
 
-def _judge(staged, levels, deepest, thresholds, raw, runs, tile, held) -> Detection:
-    labelled, regions = region_stats(raw, depth="dist3", value="v", tile=tile)
+def _judge(staged, levels, deepest, thresholds, labelled, regions, runs, held) -> Detection:
     judged = filter_regions(regions, thresholds)
     hot = kept_pixels(labelled, judged)
     keys = ["frame_id", "run_id"]
@@ -88,7 +100,8 @@ def _judge(staged, levels, deepest, thresholds, raw, runs, tile, held) -> Detect
                      F.when(F.col("body_px").isNull(), "empty_body_mask").otherwise("ok")
                      .alias("status")))
     spot = [*keys, "y", "x", "v", "blur", "dist3", "diff", "height", "width", "boundary", "comp_id"]
-    return Detection(staged, stats, judged, labelled.select(*spot), hot.select(*spot), held)
+    return Detection(staged, stats, judged, labelled.select(*spot), hot.select(*spot),
+                     [p.run_id for p in runs], held)
 
 
 def _with_hats(pixels: DataFrame, factor: float, kernel: int | None, tile: int) -> DataFrame:
@@ -105,9 +118,10 @@ def _with_hats(pixels: DataFrame, factor: float, kernel: int | None, tile: int)
 def _merge(found: list[Detection]) -> Detection:
     if len(found) == 1:
         return found[0]
-    names = ("pixels", "frame_stats", "regions", "raw", "hot")
-    return Detection(*[_union([getattr(d, n).drop("ty", "tx") for d in found]) for n in names],
-                     held=[df for d in found for df in d.held])
+    names = ("frame_stats", "regions", "raw", "hot")
+    pixels = _union([per_run(d.pixels.drop("ty", "tx"), d.runs) for d in found])
+    return Detection(pixels, *[_union([getattr(d, n).drop("ty", "tx") for d in found]) for n in names],
+                     runs=[r for d in found for r in d.runs], held=[df for d in found for df in d.held])
 
 
 def _by_stage(params) -> list[list[Params]]:
@@ -118,20 +132,19 @@ def _by_stage(params) -> list[list[Params]]:
 
 
 def detect_hotspots(pixels: DataFrame, params=Params(), tile: int = TILE,
-                    kernel: int | None = None, spans_tiles: bool | None = None) -> Detection:
+                    kernel: int | None = None) -> Detection:
     """Blur, body mask, masked top-hat, threshold and geometric filter on dense pixels.
 
     ``params`` is one run or several; runs that differ only in later steps share the
     image stages. With several stage settings, ``pixels`` of the result holds one copy
-    per setting.
+    per run.
     """
     found = []
     for runs in _by_stage(params):
         p = runs[0]
         hats = keep(_with_hats(pixels, p.tophat_factor, kernel, tile))
         levels = keep(frame_levels(hats, "blur", p.otsu_min, p.otsu_max))
-        spans = wider_than(levels, tile) if spans_tiles is None else spans_tiles
-        deep = keep(distance(binarise(hats, levels, "blur", tile=tile), tile, spans))
+        deep = keep(distance(binarise(hats, levels, "blur", tile=tile), tile))
         staged = erode_by_distance(deep, p.dist_erosion_factor, tile=tile).withColumn(
             "diff", F.when(F.col("mask"), F.col("tophat")).otherwise(0)).drop("fg", "tophat")
 
@@ -142,43 +155,44 @@ def detect_hotspots(pixels: DataFrame, params=Params(), tile: int = TILE,
         raw = outliers(staged.where("diff > 0"), thresholds, "diff", "blur", tile,
                        carry=("border_margin",))
         deepest = staged.groupBy("frame_id").agg(F.max("dist3").alias("max_dist3"))
-        found.append(_judge(staged, levels, deepest, thresholds, raw, runs, tile,
+        labelled, regions = region_stats(raw, depth="dist3", value="v", tile=tile)
+        found.append(_judge(staged, levels, deepest, thresholds, labelled, regions, runs,
                             [hats, levels, deep, thresholds]))
     return _merge(found)
 
 
-def detect_frames(frames: DataFrame, params=Params(), tile: int = TILE,
-                  limit: int | None = packed.MAX_PACKED_PIXELS) -> Detection:
-    """The same detection on packed frames. Only outlier pixels are ever shuffled.
+def detect_frames(frames: DataFrame, params=Params(), tile: int = TILE) -> Detection:
+    """The same detection on packed frames, of any size that one row can hold.
 
-    Frames above ``limit`` pixels are exploded and take the tiled pixel path; ``None``
-    states that there are none and saves the lookup.
+    Everything that needs only a frame happens in one pass over the rows; the rows are spread
+    once, and only outlier pixels and per-frame values are shuffled afterwards. Rows without
+    pixels are reported with the status ``empty_frame``.
     """
-    good = frames.where((F.col("height") > 0) & (F.col("width") > 0))
-    area = F.col("height").cast("long") * F.col("width")
+    has_pixels = (F.col("height") > 0) & (F.col("width") > 0)
+    small = spread(frames.where(has_pixels), "frame_id")
+    nothing = frames.where(~F.coalesce(has_pixels, F.lit(False)))
     found = []
-    if limit is not None and not good.where(area > limit).isEmpty():
-        big = explode_frames(good.where(area > limit).select("frame_id", "height", "width", "px"))
-        found.append(detect_hotspots(big, params, tile))
-    # One shuffle of the packed rows; both per-frame joins below then find them in place.
-    small = spread(good if limit is None else good.where(area <= limit), "frame_id")
     for runs in _by_stage(params):
-        p = runs[0]
-        hats = keep(packed.with_blur_and_top_hat(small, p.tophat_factor))
-        levels = keep(levels_from_counts(packed.counts(hats, "blur_counts"), p.otsu_min,
-                                         p.otsu_max))
-        deep = keep(packed.with_body(hats.join(
-            levels.select("frame_id", "body_threshold"), "frame_id"), p.dist_erosion_factor))
-        diff_hist, body_hist = (packed.counts(deep, c) for c in ("diff_counts", "body_counts"))
-        thresholds = keep(_thresholds(lambda: moments_from_counts(diff_hist, body_hist),
-                                      lambda: mad_from_counts(diff_hist, body_hist), runs))
-        extra = ["run_id", "border_margin"]
-        raw = packed.outlier_pixels(deep.join(thresholds.select(
-            "frame_id", *extra, "diff_threshold", "baseline"), "frame_id"), extra)
-        staged = explode_frames(deep.select(
-            "frame_id", "height", "width", "px", "blur", "dist3", "diff",
-            F.transform("mask", lambda m: m.cast("int")).alias("mask")),
-            "px", "blur", "dist3", "diff", "mask").withColumn("mask", F.col("mask") == 1)
-        found.append(_judge(staged, levels, deep.select("frame_id", "max_dist3"), thresholds, raw,
-                            runs, tile, [hats, levels, deep, thresholds]))
+        passed = keep(packed.detected(small, runs))
+        per_run = passed.where(F.col("y").isNull()).drop(*packed._names(packed.SPOTS))
+        names = F.array(*[F.lit(p.run_id) for p in runs])
+        keys = ["frame_id", "run_id"]
+        measured = with_run_of(per_run, runs).drop("run")
+        spot = [*keys, "y", "x", "v", "blur", "dist3", "diff", "height", "width", "boundary", "comp_id"]
+        margins = F.array(*[F.lit(p.border_margin) for p in runs])
+        labelled = passed.where(F.col("y").isNotNull()).withColumns({
+            "run_id": names[F.col("run")], "border_margin": margins[F.col("run")]}).select(
+            *spot, "border_margin")
+        regions = measure(labelled, depth="dist3", value="v")
+        thresholds = measured.where(F.col("body_px").isNotNull())
+        dense = explode_frames(packed.staged(small, runs[0]), "px", "blur", "dist3", "diff", "mask") \
+            .withColumn("mask", F.col("mask") == 1)
+        levels = measured.where(F.col("run_id") == runs[0].run_id).select(
+            "frame_id", "height", "width", "otsu", "body_threshold")
+        deepest = measured.where(F.col("run_id") == runs[0].run_id).select("frame_id", "max_dist3")
+        part = _judge(dense, levels, deepest, thresholds, labelled, regions, runs, [passed])
+        missing = with_runs(nothing.select("frame_id", "height", "width"), runs).select(
+            *keys, "height", "width", F.lit("empty_frame").alias("status"))
+        part.frame_stats = part.frame_stats.unionByName(missing, allowMissingColumns=True)
+        found.append(part)
     return _merge(found)

@@ -74,8 +74,7 @@ def test_mixed_sizes_tiles_and_empty_frame(spark):
     frames = {"parity": parity, "dark": np.zeros((40, 50), int)}
     px = pixels(spark, frames)
     packed = assemble_frames(px)
-    for found in (detect_hotspots(px, tile=128), detect_frames(packed),
-                  detect_frames(packed, limit=50 * 50, tile=128)):
+    for found in (detect_hotspots(px, tile=128), detect_frames(packed)):
         got = {r.frame_id: r for r in found.frame_stats.collect()}
         p = got["parity"]
         assert (p.body_px, p.kernel, round(p.diff_threshold, 6), p.hotspot_px) == (
@@ -108,6 +107,51 @@ def test_runs_with_different_stages(spark):
     assert got["a"][0] == 21 and got["b"][0] == 9
 
 
+def test_joint_runs_equal_single_runs(spark):
+    """Runs whose body, kernel or levels differ must not see each other's pixels."""
+    img, truth = scenario("ulcer")
+    truth_px = pixels(spark, {"f": np.asarray(truth, int)}).where("v > 0").select("frame_id", "y", "x")
+    truth_px = truth_px.union(truth_px.limit(5))
+    runs = [Params(run_id="a", dist_erosion_factor=0.05), Params(run_id="b", dist_erosion_factor=0.9),
+            Params(run_id="c", tophat_factor=0.02, sigma_k=2.0), Params(run_id="d", otsu_min=60, otsu_max=90),
+            Params(run_id="e", sigma_k=4.0)]
+    for detect, source in ((detect_frames, assemble_frames(pixels(spark, {"f": img}))),
+                           (detect_hotspots, pixels(spark, {"f": img}))):
+        def rates(found):
+            rows = ev.confusion_metrics(found.hot, truth_px, found.frame_stats, found.pixels.where("mask"))
+            return {r.run_id: (r.tp, r.fp, r.fn, r.tn) for r in rows.collect()}
+
+        joint, single = detect(source, runs), {}
+        for p in runs:
+            single |= rates(detect(source, p))
+        assert rates(joint) == single
+        flagged = joint.flagged()
+        assert flagged.groupBy("frame_id", "run_id", "y", "x").count().where("count > 1").isEmpty()
+        hot = {r.run_id: r.n for r in flagged.groupBy("run_id").agg(F.count_if("hot").alias("n")).collect()}
+        assert hot == {r.run_id: r.hotspot_px for r in joint.frame_stats.collect()}
+        assert set(joint.difference().select("run_id").distinct().toPandas()["run_id"]) == set("abcde")
+
+
+def test_packed_pass_equals_pixel_path(spark):
+    rng = np.random.default_rng(5)
+    frames = {str(i): rng.integers(0, 256, (17 + i % 3, 23)) // (1 + i % 4) for i in range(9)}
+    px = pixels(spark, frames)
+    runs = [Params(run_id="g", sigma_k=0.5, border_margin=0, lower_cutoff_y=1.0),
+            Params(run_id="m", sigma_k=1.0, use_mad=True, border_margin=-1)]
+    left, right = detect_hotspots(px, runs, tile=8), detect_frames(assemble_frames(px), runs)
+    for name in ("frame_stats", "regions", "raw", "hot"):
+        a, b = getattr(left, name), getattr(right, name)
+        columns = [c for c in a.columns if c not in ("ty", "tx")]
+        assert sorted(map(str, a.select(columns).collect())) == sorted(map(str, b.select(columns).collect())), name
+
+
+def test_rows_without_pixels_are_reported(spark):
+    frames = spark.createDataFrame([("none", 0, 0, []), ("null", None, None, None), ("ok", 3, 3, [9] * 9)],
+                                   "frame_id string, height int, width int, px array<smallint>")
+    got = {r.frame_id: r.status for r in detect_frames(frames).frame_stats.collect()}
+    assert got["none"] == got["null"] == "empty_frame" and got["ok"] != "empty_frame"
+
+
 def test_equal_masks(spark):
     mask = spark.range(100).select(
         F.lit("f").alias("frame_id"), (F.col("id") / 10 + 10).cast("int").alias("y"),

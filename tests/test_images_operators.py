@@ -7,14 +7,18 @@ from pyrogrid.operators import (
     components as comp, distance as dst, neighbourhood as nb, packed, regional as rg,
     regions as reg, segmentation as seg, threshold as thr)
 
-VECTORS = [((1, 3, 2, 4, 3), 1), ((10, 20, 30, 40, 50, 40, 30, 20, 10), 2), ((5, 5, 5, 5, 5), 3),
-           (tuple(range(1, 10)), 4), (tuple(range(9, 0, -1)), 1), ((1, 100, 2, 100, 3, 100, 4), 2),
-           ((255, 0, 255, 0, 255), 1)]
+def lines():
+    """A flat line, a single peak, a radius beyond the line, and random lines."""
+    rng = np.random.default_rng(31)
+    peak = np.full(12, 40)
+    peak[6] = 222
+    return [(np.full(6, 17), 2), (peak, 3), (np.array([8, 90]), 5),
+            *[(rng.integers(0, 256, n), r) for n, r in ((11, 1), (14, 2), (20, 4))]]
 
 
 def test_window_vectors(spark):
-    for radius in {r for _, r in VECTORS}:
-        frames = {str(i): np.array([v]) for i, (v, r) in enumerate(VECTORS) if r == radius}
+    for radius in {r for _, r in lines()}:
+        frames = {str(i): np.array([v]) for i, (v, r) in enumerate(lines()) if r == radius}
         df = nb.dilate(nb.erode(pixels(spark, frames), 2 * radius + 1, tile=4),
                        2 * radius + 1, tile=4)
         for name, a in frames.items():
