@@ -10,7 +10,9 @@ Pieces then find their place by their rank among the pieces of their length.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,14 @@ from pyrogrid.staging import checkpoint
 WIDTH = 2048
 END_ID = 1
 # Entries kept per worker; when full the cache starts anew.
-CACHE = 400_000
+CACHE = 600_000
+# Letters alone are one match of the pattern; so are letters before a single mark.
+WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKED_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]")
+# How byte-level vocabularies write the 256 bytes: printable Latin-1 characters stand for
+# themselves, the others in order for the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 class PieceIds(dict):
@@ -38,18 +47,42 @@ class PieceIds(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.merges = tokenizer.model
+        self.starts: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
+        """Ids of a piece; the merges of a single word need no pre-tokenizer."""
+        if WORD.fullmatch(text, 1 if text[0] == " " else 0):
+            signs = text.encode().decode("latin-1").translate(BYTE_SIGNS)
+            return array("I", [t.id for t in self.merges.tokenize(signs)]).tobytes()
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes | None:
-        found = None if not word or word[-1].isspace() else self.ids(" " + word)
+        if not word or word[-1].isspace():
+            return None
+        line, newline, rest = word.rpartition("\n")
+        if newline and line and not line[-1].isspace() and not rest[0].isspace():
+            # A single line break between other characters is a match of its own.
+            return self[line] + self.bare("\n") + self.bare(rest)
+        found = self[word[:-1]] + self.bare(word[-1]) if MARKED_WORD.fullmatch(word) else self.ids(" " + word)
         if len(word) <= 40:
             if len(self) >= CACHE:
                 self.clear()
             self[word] = found
         return found
 
+    def bare(self, text: str) -> bytes:
+        """Ids of a piece without a blank before it."""
+        found = self.starts.get(text)
+        if found is None:
+            marked = MARKED_WORD.fullmatch(text)
+            found = self.bare(text[:-1]) + self.bare(text[-1]) if marked else self.ids(text)
+            if len(text) <= 40:
+                if len(self.starts) >= CACHE // 4:
+                    self.starts.clear()
+                self.starts[text] = found
+        return found
+
     def text_ids(self, text: str | None) -> bytes:
         """Ids of a whole text; null as empty."""
         if not text:
@@ -57,7 +90,7 @@ class PieceIds(dict):
         words = text.split(" ")
         parts = [self[w] for w in words[1:]]
         if None not in parts and words[0] and not words[0][-1].isspace():
-            return self.ids(words[0]) + b"".join(parts)
+            return self.bare(words[0]) + b"".join(parts)
         pieces, held = [], words[0]
         for word in words[1:]:
             if held and not held[-1].isspace():
