@@ -17,6 +17,7 @@ first, never the result. N-grams and sets are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,29 +105,36 @@ def bucket(ngrams: np.ndarray) -> np.ndarray:
 
 def document_keys(docs: DataFrame) -> DataFrame:
     """In one pass over the texts: rows (doc_id, n, node) per document, and per task the bucket
-    counts as rows (block, part, at, counts)."""
+    counts as rows (block, part, counts), compressed."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(BUCKETS, "int64")
+        counts, held, size = np.zeros(BUCKETS, "int64"), [], 0
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 found = ngram_set(text)
-                np.add.at(counts, bucket(found), 1)
+                held.append(bucket(found))
+                size += len(found)
+                if size > BUCKETS:
+                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, size = [], 0
                 rows.append((len(found), set_key(found)))
             out = pd.DataFrame(rows, columns=["n", "node"])
-            yield out.assign(doc_id=batch["doc_id"].array, block=None, part=None, at=None, counts=None)[columns]
+            yield out.assign(doc_id=batch["doc_id"].array, block=None, part=None, counts=None)[columns]
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
         part = TaskContext.get().partitionId()
-        size = BUCKETS // BLOCKS
-        for block in range(BLOCKS):
-            own = counts[block * size:(block + 1) * size]
-            at = np.flatnonzero(own)
-            if len(at):
-                yield pd.DataFrame([(None, None, None, block, part, at, own[at])], columns=columns)
-
-    columns = ["doc_id", "n", "node", "block", "part", "at", "counts"]
+        for block, own in enumerate(np.split(counts, BLOCKS)):
+            if own.any():
+                yield pd.DataFrame([(None, None, None, block, part, packed_counts(own))], columns=columns)
+
+    columns = ["doc_id", "n", "node", "block", "part", "counts"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInPandas(
-        run, f"doc_id {kind}, n long, node long, block int, part int, at array<int>, counts array<long>")
+        run, f"doc_id {kind}, n long, node long, block int, part int, counts binary")
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
 
 
 class Order:
@@ -155,23 +163,18 @@ class Order:
 
 def bucket_order(keyed: DataFrame) -> Order:
     """Sums the tasks' counts, in two steps so that no group grows with the number of tasks."""
-    size = BUCKETS // BLOCKS
-
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, "int64")
-        for at, counts in zip(group["at"], group["counts"]):
-            total[np.asarray(at)] += np.asarray(counts)
-        at = np.flatnonzero(total)
-        return pd.DataFrame([(group["block"].iloc[0], at, total[at])], columns=["block", "at", "counts"])
+        total = sum(np.frombuffer(zlib.decompress(c), "int64") for c in group["counts"])
+        return pd.DataFrame([(group["block"].iloc[0], packed_counts(total))], columns=["block", "counts"])
 
-    kind = "block int, at array<int>, counts array<long>"
+    kind = "block int, counts binary"
     parts = keyed.where("block is not null").withColumn("part", F.pmod("part", F.lit(64)))
     sums = (parts.groupBy("block", "part").applyInPandas(add, kind)
             .groupBy("block").applyInPandas(add, kind).toPandas())
-    counts = np.zeros(BUCKETS, "int64")
-    for block, at, own in sums.itertuples(index=False):
-        counts[block * size + np.asarray(at)] = own
-    return Order(counts)
+    counts = np.zeros((BLOCKS, BUCKETS // BLOCKS), "int64")
+    for block, own in sums.itertuples(index=False):
+        counts[block] = np.frombuffer(zlib.decompress(own), "int64")
+    return Order(counts.ravel())
 
 
 def prefix_rows(docs: DataFrame, order: Order) -> DataFrame:
@@ -229,18 +232,43 @@ def fragments(docs: DataFrame, needed: DataFrame, order: Order) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["node", "n", "fragment", "ngrams"])
 
     return docs.where("doc_id is not null").select("text", name).mapInPandas(
-        run, "node long, n long, fragment int, ngrams array<long>").dropDuplicates(["node", "fragment"])
+        run, "node long, n long, fragment int, ngrams array<long>")
+
+
+def enough_in_common(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a list with one row per n-gram that both prefixes hold, without
+    those that hold too few in common to be similar.
+
+    Of at least o common n-grams the k-th in order has at most k - 1 + n - o before it, so each
+    prefix of p holds the first p - n + o of them.
+    """
+    first = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
+    second = sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
+    total = F.col("n_a") + F.col("n_b")
+    least = F.ceil(total * NUMERATOR / (NUMERATOR + DENOMINATOR) - 1e-9)
+
+    def held(n):
+        return least - F.ceil(F.col(n) * NUMERATOR / DENOMINATOR - 1e-9) + 1
 
+    return (shared.groupBy("a", "b").agg(F.count("*").alias("common")).join(first, "a").join(second, "b")
+            .where((F.col("n_a") * NUMERATOR <= F.col("n_b") * DENOMINATOR)
+                   & (F.col("n_b") * NUMERATOR <= F.col("n_a") * DENOMINATOR)
+                   & (F.col("common") >= F.least(held("n_a"), held("n_b")))).select("a", "b"))
 
-def similar(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+
+def similar(pairs: DataFrame, rows: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
     """The pairs (a, b) with enough similarity: overlaps per fragment, summed per pair."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = classes.join(nodes, "node").select(F.col("class_id").alias("doc_id"))
+    parts = checkpoint(fragments(rows, needed, order))
     first = parts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment",
                          F.col("ngrams").alias("ngrams_a"))
     second = parts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment",
                           F.col("ngrams").alias("ngrams_b"))
     overlap = F.size(F.array_intersect("ngrams_a", "ngrams_b"))
+    # A set that two tasks have read is there twice; its fragments count once.
     counted = (pairs.join(second, "b").join(first, ["a", "fragment"])
-               .select("a", "b", "n_a", "n_b", overlap.alias("part"))
+               .select("a", "b", "fragment", "n_a", "n_b", overlap.alias("part")).distinct()
                .groupBy("a", "b").agg(F.sum("part").alias("both"), F.max("n_a").alias("n_a"),
                                       F.max("n_b").alias("n_b")))
     return counted.where(F.col("both") * DENOMINATOR >= NUMERATOR * (F.col("n_a") + F.col("n_b") - F.col("both"))
@@ -268,30 +296,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Parts of a frequent n-gram meet through their first members.
     heads = shared.where("split").select("ngram", F.col("low").alias("node")).distinct()
     tops = heads.groupBy("ngram").agg(F.min("node").alias("low"))
-    stars = (shared.select(F.col("low").alias("a"), F.col("node").alias("b"))
-             .union(heads.join(tops, "ngram").select(F.col("low").alias("a"), F.col("node").alias("b")))
-             .where("a < b").distinct())
-    stars = checkpoint(stars)
-    nodes = shared.select("node").distinct()
-    classes = keys.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
-    needed = checkpoint(classes.join(nodes, "node"))
-    parts = checkpoint(fragments(rows, needed.select(F.col("class_id").alias("doc_id")), order))
-    links = checkpoint(similar(within_size(stars, needed), parts))
+    classes = checkpoint(keys.where("n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("class_id"), F.first("n").alias("n")))
+    stars = checkpoint(enough_in_common(
+        shared.select(F.col("low").alias("a"), F.col("node").alias("b"))
+        .union(heads.join(tops, "ngram").select(F.col("low").alias("a"), F.col("node").alias("b")))
+        .where("a < b"), classes))
+    links = checkpoint(similar(stars, rows, classes, order))
     labels = checkpoint(components(links))
     # What one member of each group left open: pairs across components.
     marked = (shared.select("ngram", "node").distinct()
               .join(labels.withColumnRenamed("id", "node"), "node", "left")
               .select("ngram", "node", F.coalesce("component", "node").alias("component")))
     mixed = marked.groupBy("ngram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_rows = checkpoint(marked.join(mixed.select("ngram"), "ngram").join(needed.select("node", "n"), "node"))
+    open_rows = checkpoint(marked.join(mixed.select("ngram"), "ngram").join(classes.select("node", "n"), "node"))
     left, right = open_rows.alias("l"), open_rows.alias("r")
     rest = (left.join(right, (F.col("l.ngram") == F.col("r.ngram")) & (F.col("l.node") < F.col("r.node"))
                       & (F.col("l.component") != F.col("r.component"))
                       & (F.col("l.n") * NUMERATOR <= F.col("r.n") * DENOMINATOR)
                       & (F.col("r.n") * NUMERATOR <= F.col("l.n") * DENOMINATOR))
-            .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    more = checkpoint(similar(checkpoint(rest), parts))
+            .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
+    rest = checkpoint(enough_in_common(rest, classes).join(stars, ["a", "b"], "left_anti"))
+    more = checkpoint(similar(rest, rows, classes, order))
     every = links.union(more)
     final = components(every)
     ends = every.select(F.col("a").alias("node")).union(every.select(F.col("b").alias("node")))
@@ -308,15 +334,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def within_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow enough similarity."""
-    first = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    second = sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    return (pairs.join(first, "a").join(second, "b")
-            .where((F.col("n_a") * NUMERATOR <= F.col("n_b") * DENOMINATOR)
-                   & (F.col("n_b") * NUMERATOR <= F.col("n_a") * DENOMINATOR)).select("a", "b"))
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the smallest doc_id, with all its columns; documents
     without an id stay."""
