@@ -1,21 +1,20 @@
 """Repeated passages across all texts by distributed prefix doubling.
 
-A byte goes when it lies in a string of `length` bytes that also starts elsewhere. Prefix
-doubling names the strings that start at a position, doubles their length round by round by
-pairing a position's rank with the rank at an offset, and drops positions whose rank is unique.
-Two things make it fit for large tables:
+Prefix doubling ranks positions by a short string that starts there, pairs the rank of a position
+with the rank at an offset to rank twice the length, and goes on with growing offsets until a
+rank is unique or the length is past the threshold. Three things make it fit for large tables:
 
 * Only sampled positions take part. In every string of `length` bytes the first WINDOW places
   have one with the smallest hash; equal strings have it at the same place. This anchor stands
   for all strings that chose it, a run of starting places. About 2 / WINDOW of the positions are
   anchors.
-* Ranks are 64-bit names of contents, so a round is one aggregation over rank pairs. What is
-  not unique reaches the next round as a bit map of fixed size; positions that pass it by chance
-  are dropped one step later. A full map costs time, never results.
-
-Beyond the last offset, the strings of an anchor are settled together: if everything its strings
-cover occurs twice, all are repeated; only where occurrences differ at the edge, they are
-compared start by start.
+* Ranks are 64-bit names of contents. The first pair, at offset `half`, covers what every string
+  of an anchor has in common; each later round ranks the pair of the last rank and the name of
+  more text, for anchors, then for stretches of STEP starting places, then for single ones. A
+  round is one aggregation over rank pairs; whatever is unique drops out, and what is settled by
+  an equal partner needs no finer round.
+* What a round leaves reaches the next as a bit map of fixed size; positions that pass it by
+  chance are dropped one step later. A full map costs time, never results.
 """
 
 from __future__ import annotations
@@ -35,6 +34,8 @@ from pyrogrid.staging import checkpoint
 LENGTH = 400
 WINDOW = 128
 GRAM = 16
+# Starting places that are compared together in the last but one round.
+STEP = 16
 MAP_BITS = 1 << 26
 # Longest stretch of a text that is hashed at once; stretches overlap by what a string needs.
 STRETCH = 1 << 22
@@ -101,13 +102,16 @@ class Doubling:
         self.core = length - window + 1
         self.half = (self.core + 1) // 2
 
-    def scan(self, emit, schema: str) -> DataFrame:
-        """Rows that emit(key, hashes, offset, place, first, last) gives, once per text and task."""
+    def scan(self, emit, schema: str, keys: Bits | None = None) -> DataFrame:
+        """Rows that emit(key, hashes, offset, place, first, last) gives, once per text and task,
+        for all texts or those whose key may be in a map."""
         length, window = self.length, self.window
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen: set[int] = set()
             for batch in batches:
+                if keys is not None:
+                    batch = batch[keys.has(batch["key"].to_numpy())]
                 parts, size = [], 0
                 for key, text in zip(batch["key"], batch["text"]):
                     if key in seen:
@@ -124,99 +128,119 @@ class Doubling:
 
         return self.texts.mapInPandas(run, schema)
 
-    def first_ranks(self) -> DataFrame:
-        half = self.half
-
-        def emit(key, hashes, offset, place, first, last):
-            return pd.DataFrame({"rank": _signed(hashes.names(place, place + half))})
-
-        return self.scan(emit, "rank long")
-
-    def rank_pairs(self, known: Bits) -> DataFrame:
+    def pairs(self) -> DataFrame:
         half, core = self.half, self.core
 
         def emit(key, hashes, offset, place, first, last):
-            rank = hashes.names(place, place + half)
-            place, rank = place[known.has(rank)], rank[known.has(rank)]
-            return pd.DataFrame({"rank": _signed(rank),
-                                 "next": _signed(hashes.names(place + core - half, place + core))})
+            return pd.DataFrame({"pair": _signed(pair_names(hashes, place, half, core))})
 
-        return self.scan(emit, "rank long, next long")
+        return self.scan(emit, "pair long")
 
     def covers(self, known: Bits) -> DataFrame:
-        """(pair, cover, key, low, high): anchors left, with the name of all that their strings
+        """(rank, cover, key, low, high): anchors left, with the name of all that their strings
         cover and the run of starting places."""
         half, core, length = self.half, self.core, self.length
 
         def emit(key, hashes, offset, place, first, last):
-            pair = pair_name(hashes.names(place, place + half),
-                             hashes.names(place + core - half, place + core))
+            pair = pair_names(hashes, place, half, core)
             own = known.has(pair)
             place, first, last = place[own], first[own], last[own]
             # The anchor's place within is part of the name.
             cover = mix(hashes.names(first, last + length) + (place - first).astype("uint64"))
-            return pd.DataFrame({"pair": _signed(pair[own]), "cover": _signed(cover), "key": key,
+            return pd.DataFrame({"rank": _signed(pair[own]), "cover": _signed(cover), "key": key,
                                  "low": first + offset, "high": last + offset})
 
-        return self.scan(emit, "pair long, cover long, key long, low long, high long")
+        return self.scan(emit, RUNS)
 
-    def strings(self, wanted: Bits) -> DataFrame:
-        """(name, key, start) of every string of the anchors whose (key, low) is wanted."""
+    def stretches(self, wanted: Bits, keys: Bits) -> DataFrame:
+        """The same for stretches of at most STEP starting places of the wanted runs; the rank
+        names what all strings of a stretch have in common."""
         length = self.length
 
         def emit(key, hashes, offset, place, first, last):
             own = wanted.has(run_name(np.int64(key), first + offset))
-            first, last = first[own], last[own]
-            sizes = last - first + 1
-            start = np.repeat(first, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place, low, high = cut_runs(place[own], first[own], last[own])
+            # Bounds before a run's own ends cut them, so that the rank does not depend on those.
+            top = place - (place - high) // STEP * STEP
+            common = mix(hashes.names(top, top - STEP + 1 + length) + (place - top).astype("uint64"))
+            cover = mix(hashes.names(low, high + length) + (place - low).astype("uint64"))
+            return pd.DataFrame({"rank": _signed(common), "cover": _signed(cover), "key": key,
+                                 "low": low + offset, "high": high + offset})
+
+        return self.scan(emit, RUNS, keys)
+
+    def strings(self, wanted: Bits, keys: Bits) -> DataFrame:
+        """(name, key, start) of every string of the stretches wanted."""
+        length = self.length
+
+        def emit(key, hashes, offset, place, first, last):
+            place, low, high = cut_runs(place, first, last)
+            own = wanted.has(run_name(np.int64(key), low + offset))
+            low, sizes = low[own], (high - low + 1)[own]
+            start = np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             return pd.DataFrame({"name": _signed(hashes.names(start, start + length)), "key": key,
                                  "start": start + offset})
 
-        return self.scan(emit, "name long, key long, start long")
+        return self.scan(emit, "name long, key long, start long", keys)
+
+
+RUNS = "rank long, cover long, key long, low long, high long"
+
+
+def cut_runs(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut at multiples of STEP before their anchor, so that equal strings lie in stretches
+    with equal bounds unless a run ends there: (place, low, high) of each stretch."""
+    near, far = (place - last) // STEP, (place - first) // STEP
+    pieces = far - near + 1
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces) + np.repeat(near, pieces)
+    place, first, last = (np.repeat(x, pieces) for x in (place, first, last))
+    return place, np.maximum(place - (nth + 1) * STEP + 1, first), np.minimum(place - nth * STEP, last)
 
 
-def pair_name(rank: np.ndarray, following: np.ndarray) -> np.ndarray:
-    return mix(rank * _MULTIPLIER + following)
+def pair_names(hashes: Hashes, place: np.ndarray, half: int, core: int) -> np.ndarray:
+    """Rank of the pair: string of half a core at the anchor, and the one that ends the core."""
+    return mix(hashes.names(place, place + half) * _MULTIPLIER
+               + hashes.names(place + core - half, place + core))
 
 
 def run_name(key, low: np.ndarray) -> np.ndarray:
     return mix(np.asarray(key).view("uint64") * _MULTIPLIER + low.astype("uint64"))
 
 
-def repeated_starts(texts: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """(key, low, high): runs of starting places whose strings occur elsewhere, over the distinct
-    texts (key, text); copies of a text do not count here."""
-    rounds = Doubling(texts, length, window)
+def often(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
 
-    def often(rows: DataFrame, *columns: str) -> DataFrame:
-        return rows.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
 
-    known = Bits(often(rounds.first_ranks(), "rank"), "rank", MAP_BITS)
-    pairs = often(rounds.rank_pairs(known), "rank", "next")
+def settle(runs: DataFrame) -> tuple[DataFrame, Bits, Bits]:
+    """Of runs with rank and cover: those whose cover occurs again, and maps of the runs (one for
+    each cover) and their texts that share a rank with another cover."""
+    covers = checkpoint(runs.groupBy("rank", "cover").agg(
+        F.count("*").alias("n"), F.min(F.struct("key", "low")).alias("run")))
+    mixed = covers.groupBy("rank").agg(F.count("*").alias("kinds")).where("kinds > 1").select("rank")
+    whole = runs.join(covers.where("n > 1").select("rank", "cover"), ["rank", "cover"]).select("key", "low", "high")
+    open_runs = covers.join(mixed, "rank").select("run.key", "run.low")
 
-    def name(batches):
-        for batch in batches:
-            yield pd.DataFrame({"pair": _signed(pair_name(batch["rank"].to_numpy().view("uint64"),
-                                                          batch["next"].to_numpy().view("uint64")))})
-
-    known = Bits(pairs.mapInPandas(name, "pair long"), "pair", MAP_BITS)
-    left = checkpoint(rounds.covers(known))
-    # Equal covers are settled; every other one is compared start by start where a pair has several.
-    covers = left.groupBy("pair", "cover").agg(F.count("*").alias("n"), F.min(F.struct("key", "low")).alias("run"))
-    covers = checkpoint(covers)
-    mixed = covers.groupBy("pair").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    whole = left.join(covers.where("n > 1").select("pair", "cover"), ["pair", "cover"]).select("key", "low", "high")
-    single = covers.join(mixed.select("pair"), "pair").select("run.key", "run.low", (F.col("n") == 1).alias("open"))
-
-    def run_names(batches):
+    def names(batches):
         for batch in batches:
-            yield pd.DataFrame({"run": _signed(run_name(batch["key"].to_numpy(), batch["low"].to_numpy()))})
+            key = batch["key"].to_numpy()
+            yield pd.DataFrame({"run": _signed(run_name(key, batch["low"].to_numpy())), "key": key})
+
+    named = checkpoint(open_runs.mapInPandas(names, "run long, key long"))
+    return whole, Bits(named, "run", MAP_BITS), Bits(named, "key", MAP_BITS)
 
-    wanted = Bits(single.select("key", "low").mapInPandas(run_names, "run long"), "run", MAP_BITS)
-    strings = checkpoint(rounds.strings(wanted))
-    twice = often(strings, "name").select("name")
-    starts = strings.join(twice, "name").select("key", F.col("start").alias("low"), F.col("start").alias("high"))
-    return whole.union(starts)
+
+def repeated_starts(texts: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """(key, low, high): runs of starting places whose strings occur elsewhere, over the distinct
+    texts (key, text); copies of a text do not count here."""
+    rounds = Doubling(texts, length, window)
+    known = Bits(often(rounds.pairs(), "pair"), "pair", MAP_BITS)
+    by_anchor, wanted, keys = settle(checkpoint(rounds.covers(known)))
+    by_stretch, wanted, keys = settle(checkpoint(rounds.stretches(wanted, keys)))
+    strings = rounds.strings(wanted, keys)
+    # The strings are read twice, which costs less than keeping them.
+    starts = strings.join(often(strings, "name").select("name"), "name").select(
+        "key", F.col("start").alias("low"), F.col("start").alias("high"))
+    return by_anchor.union(by_stretch).union(starts)
 
 
 def merged(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
