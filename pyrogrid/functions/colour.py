@@ -16,12 +16,15 @@ def grey_palette(spark) -> DataFrame:
         F.lit("grey").alias("palette"), v.alias("v"), v.alias("b"), v.alias("g"), v.alias("r"))
 
 
-def overlay(pixels: DataFrame, palette: DataFrame, hot: str = "hot") -> DataFrame:
-    """Colour each pixel by the palette and blend the highlight over hot pixels.
+def overlay(pixels: DataFrame, palettes: DataFrame, hot: str = "hot",
+            palette: str = "grey") -> DataFrame:
+    """Colour each pixel by the named palette and blend the highlight over hot pixels.
 
-    A palette is 256 rows by definition, so it is broadcast.
+    ``palettes`` may hold several palettes; a grey value that the named one lacks stays grey.
     """
-    coloured = pixels.join(F.broadcast(palette.select("v", "b", "g", "r")), "v")
+    colours = palettes.where(F.col("palette") == palette).select("v", "b", "g", "r")
+    coloured = pixels.join(colours, "v", "left").withColumns(
+        {n: F.coalesce(n, "v") for n in "bgr"})
 
     def blend(name, top):
         mixed = F.bround(F.col(name) * F.lit(IMAGE_WEIGHT) + F.lit(HIGHLIGHT_WEIGHT) * F.lit(float(top)), 0).cast("int")

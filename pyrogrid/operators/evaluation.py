@@ -29,7 +29,7 @@ def confusion_metrics(predicted: DataFrame, truth: DataFrame, frames: DataFrame,
     """
     keys = frame_keys(frames)
     pixel = ["frame_id", "y", "x"]
-    truth = truth.select(*pixel)
+    truth = truth.select(*pixel).distinct()
     per_truth = ["frame_id"]
     if body is not None:
         per_truth = [k for k in frame_keys(body) if k in keys]

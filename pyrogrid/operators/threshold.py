@@ -155,17 +155,24 @@ def intensity_histogram(masked: DataFrame, bins: int = 128, t_min: float = 20.0,
 
 def surface_statistics(pixels: DataFrame, sigma_k: float = 3.0, mask: str = "mask",
                        hot: str = "hot", source: str = "v") -> DataFrame:
-    """Mean, spread and display threshold of the body, and the share of hot pixels."""
+    """Mean, spread and display threshold of the body, and the share of hot pixels.
+
+    A frame without a body keeps its row: no means, no share, status ``empty_body_mask``.
+    """
     v = F.when(F.col(mask), F.col(source).cast("long"))
     sums = pixels.groupBy(*frame_keys(pixels)).agg(
         F.count(v).alias("body_px"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"),
         F.max(F.when(F.col(mask), F.col(source))).alias("max_v"), F.count_if(F.col(hot)).alias("hotspot_px"))
-    mean = _ratio("s", "body_px")
-    sd = F.sqrt(F.greatest(_ratio("ss", "body_px") - mean * mean, F.lit(0.0)))
-    return sums.where(F.col("body_px") > 0).select(
+    some = F.col("body_px") > 0
+    mean = F.when(some, _ratio("s", "body_px"))
+    spread = F.when(some, _ratio("ss", "body_px")) - mean * mean
+    # greatest() skips nulls, so the guard stays outside.
+    sd = F.when(some, F.sqrt(F.greatest(spread, F.lit(0.0))))
+    return sums.select(
         *frame_keys(pixels), "body_px", mean.alias("mean_v"), sd.alias("std_v"),
-        (mean + F.lit(float(sigma_k)) * sd).alias("intensity_threshold"), "max_v",
-        "hotspot_px", (F.col("hotspot_px") / F.col("body_px") * 100.0).alias("hotspot_percent"))
+        (mean + F.lit(float(sigma_k)) * sd).alias("intensity_threshold"), "max_v", "hotspot_px",
+        F.when(some, F.col("hotspot_px") / F.col("body_px") * 100.0).alias("hotspot_percent"),
+        F.when(some, "ok").otherwise("empty_body_mask").alias("body_status"))
 
 
 def coverage(pixels: DataFrame, mask: str = "mask", hot: str = "hot") -> DataFrame:

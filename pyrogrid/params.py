@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -77,9 +78,15 @@ def settings_over_defaults(settings: DataFrame, defaults: Params = Params()) ->
 
 
 def read_settings(spark, path: str, defaults: Params = Params()) -> DataFrame:
-    """Stored JSON settings over the defaults; unreadable records give the defaults."""
+    """Stored JSON settings over the defaults; a missing file and unreadable records give the
+    defaults."""
     kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
     schema = ", ".join(f"{k} {kinds[type(v)]}" for k, v in asdict(defaults).items())
-    stored = spark.read.schema(schema).option("mode", "PERMISSIVE") \
-        .option("multiLine", True).json(path)
+    try:
+        stored = spark.read.schema(schema).option("mode", "PERMISSIVE") \
+            .option("multiLine", True).json(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return settings_over_defaults(spark.range(1).select(), defaults)
     return settings_over_defaults(stored, defaults)

@@ -16,7 +16,7 @@ from ..sources.raster import assemble_frames, explode_frames
 from ..sources.sinks import audit_export_rows, audit_rows
 from ..staging import release_kept
 from . import oracle as sql
-from .detect import detect_frames
+from .detect import detect_frames, detect_hotspots
 from .inputs import (
     RASTER, RASTER_NO_MARGIN, detected, embedding_frames, embedding_pixels,
     enlarged_frames, events_raster, lineitem_raster, masked, table)
@@ -467,14 +467,31 @@ SURFACE = """surface AS (
   count(*) FILTER (WHERE hot) hotspot_px, max(height) height, max(width) width
  FROM flagged GROUP BY 1),
 stats AS (SELECT frame_id, body_px, s / body_px mean_v,
- sqrt(greatest(ss / body_px - (s / body_px) * (s / body_px), 0.0::DOUBLE)) std_v, max_v,
- hotspot_px, hotspot_px / body_px::DOUBLE * 100.0::DOUBLE hotspot_percent, height, width
- FROM surface WHERE body_px > 0)"""
+ CASE WHEN body_px > 0 THEN sqrt(greatest(ss / body_px - (s / body_px) * (s / body_px),
+  0.0::DOUBLE)) END std_v, max_v, hotspot_px,
+ CASE WHEN body_px > 0 THEN hotspot_px / body_px::DOUBLE * 100.0::DOUBLE END hotspot_percent,
+ CASE WHEN body_px > 0 THEN 'ok' ELSE 'empty_body_mask' END body_status, height, width
+ FROM surface)"""
+
+
+DIM = sql.PX["lineitem"].replace("px AS MATERIALIZED", "bright AS MATERIALIZED") + """,
+px AS MATERIALIZED (SELECT frame_id, y, x, CASE WHEN frame_id IN ('2', '5') THEN 0 ELSE v END::INT v,
+ height, width FROM bright)"""
+
+
+@query("surface_empty_body", sql.query([DIM, *sql.detection("lineitem", K)[1:], SURFACE], """
+SELECT frame_id, body_px, mean_v, std_v, mean_v + 1.0::DOUBLE * std_v intensity_threshold,
+ max_v, hotspot_px, hotspot_percent, body_status FROM stats"""))
+def surface_empty_body(spark, d):
+    """Two frames without a body keep their rows."""
+    v = F.when(F.col("frame_id").isin("2", "5"), 0).otherwise(F.col("v"))
+    found = detect_hotspots(lineitem_raster(spark, d).withColumn("v", v), RASTER)
+    return thr.surface_statistics(found.flagged(), RASTER.sigma_k)
 
 
 @query("surface_statistics", sql.query([*sql.detection("lineitem", K), SURFACE], """
 SELECT frame_id, body_px, mean_v, std_v, mean_v + 1.0::DOUBLE * std_v intensity_threshold,
- max_v, hotspot_px, hotspot_percent FROM stats"""))
+ max_v, hotspot_px, hotspot_percent, body_status FROM stats"""))
 def surface_statistics(spark, d):
     return thr.surface_statistics(detected(spark, d, "lineitem").flagged(), RASTER.sigma_k)
 
@@ -915,17 +932,80 @@ def sigma_sweep(spark, d):
     return _run_metrics(spark, d, "events", SWEEP)
 
 
-@query("compare_frames", sql.query([sql.PX["embeddings"]], """
-SELECT frame_id, count(*) shared_px, 0::BIGINT unshared_px, 0 largest_gap,
- 0::BIGINT over_tolerance, true equal FROM px GROUP BY 1"""))
+STAGES = {"deep": replace(RASTER_NO_MARGIN, run_id="deep", dist_erosion_factor=0.4),
+          "wide": replace(RASTER_NO_MARGIN, run_id="wide", tophat_factor=0.14),
+          "level": replace(RASTER_NO_MARGIN, run_id="level", otsu_min=60, otsu_max=120)}
+STAGE_KERNELS = {"deep": K, "wide": 7, "level": K}
+
+
+def stage_sql(run: str, k: int) -> str:
+    """One whole detection as a subquery of its own."""
+    p = STAGES[run]
+    steps = [*sql.detection("lineitem", k, p)[:14], rates_sql("hot", f"'{run}' run_id,")]
+    return f"SELECT * FROM ({sql.query(steps, 'SELECT * FROM rates_hot')}) {run}"
+
+
+@query("stage_sweep", "\nUNION ALL ".join(stage_sql(r, k) for r, k in STAGE_KERNELS.items()))
+def stage_sweep(spark, d):
+    """Runs that differ in body, kernel and levels, together."""
+    found = detected(spark, d, "lineitem", list(STAGES.values()))
+    return ev.confusion_metrics(found.hot, _truth(found.pixels), found.frame_stats,
+                                found.pixels.where("mask"))
+
+
+@query("flagged_runs", sql.query(
+    [*sql.detection("lineitem", K, RASTER_NO_MARGIN)[:8],
+     *[s for i, (k, mad) in enumerate(METHODS.values())
+       for s in run_steps(k, mad, f"_{i}", RASTER_NO_MARGIN)]],
+    "\nUNION ALL ".join(f"""SELECT s.frame_id, '{run}' run_id, count(*) px,
+ count(*) FILTER (WHERE h.y IS NOT NULL) hot_px FROM staged s LEFT JOIN hot_{i} h
+ ON h.frame_id = s.frame_id AND h.y = s.y AND h.x = s.x GROUP BY 1""" for i, run in enumerate(METHODS))))
+def flagged_runs(spark, d):
+    params = [replace(RASTER_NO_MARGIN, run_id=run, sigma_k=k, use_mad=mad)
+              for run, (k, mad) in METHODS.items()]
+    return detected(spark, d, "lineitem", params).flagged().groupBy("frame_id", "run_id").agg(
+        F.count("*").alias("px"), F.count_if("hot").alias("hot_px"))
+
+
+RATES = ("tp", "fp", "fn", "tn", "sensitivity", "specificity", "precision", "recall", "dice", "iou")
+
+
+@query("method_comparison_wide", f"""
+SELECT frame_id, {', '.join(f"max({c}) FILTER (WHERE run_id = '{m}') {m}_{c}"
+                            for m in METHODS for c in RATES)}
+FROM ({runs_sql("lineitem", K, METHODS)}) both_methods GROUP BY 1""")
+def method_comparison_wide(spark, d):
+    """One row per frame with both methods side by side."""
+    rows = _run_metrics(spark, d, "lineitem", METHODS)
+    return rows.groupBy("frame_id").agg(*[
+        F.max(F.when(F.col("run_id") == m, F.col(c))).alias(f"{m}_{c}") for m in METHODS for c in RATES])
+
+
+@query("compare_frames", sql.query([sql.PX["embeddings"], sql.BLUR, """
+cut AS (SELECT frame_id, y, x, blur FROM blurred WHERE (y * 8 + x + length(frame_id)) % 11 <> 0)"""], """
+SELECT px.frame_id, count(blur) shared_px, count(*) - count(blur) unshared_px,
+ max(abs(px.v - blur)) largest_gap, count(*) FILTER (WHERE abs(px.v - blur) > 40) over_tolerance,
+ count(*) = count(blur) AND count(*) FILTER (WHERE abs(px.v - blur) > 40) = 0 equal
+FROM px LEFT JOIN cut USING (frame_id, y, x) GROUP BY 1"""))
 def compare_frames(spark, d):
-    """Window path against packed path."""
+    """Grey values against smoothed ones (packed path), some of which are missing."""
+    frames = embedding_frames(spark, d)
+    smooth = explode_frames(packed.with_blur_and_top_hat(frames).select(
+        "frame_id", "height", "width", F.col("blur").alias("px")))
+    holes = (F.col("y") * 8 + F.col("x") + F.length("frame_id")) % 11 == 0
+    return ev.compare_frames(explode_frames(frames), smooth.where(~holes), 40)
+
+
+@query("compare_paths", sql.query([sql.PX["embeddings"], sql.BLUR], """
+SELECT frame_id, y, x, blur AS window_blur, blur AS packed_blur FROM blurred"""))
+def compare_paths(spark, d):
+    """Smoothing by windows and on packed frames, side by side."""
     frames = embedding_frames(spark, d)
-    windows = nb.box_blur(explode_frames(frames)).select(
-        "frame_id", "y", "x", F.col("blur").alias("v"))
+    windows = nb.box_blur(explode_frames(frames)).select(*PIXEL.split(", "), F.col("blur").alias("window_blur"))
     array = packed.with_blur_and_top_hat(frames).select(
         "frame_id", "height", "width", F.col("blur").alias("px"))
-    return ev.compare_frames(windows, explode_frames(array), 0)
+    return windows.join(explode_frames(array).select(*PIXEL.split(", "), F.col("v").alias("packed_blur")),
+                        PIXEL.split(", "))
 
 
 # --- whole detection ----------------------------------------------------------------------------------

@@ -29,27 +29,17 @@ def hundredths(c):
 def events_raster(spark, folder) -> DataFrame:
     """Frame per event type, days by hours."""
     events = table(spark, folder, "events").select("ts", "event_type", "value")
-    frames = events.select(F.col("event_type").alias("frame_id")).distinct().select(
-        "frame_id", F.lit(30).alias("height"), F.lit(24).alias("width"))
     return rasterize(events, F.col("event_type"), F.dayofmonth("ts") - 1, F.hour("ts"),
-                     hundredths("value"), frames, 200)
-
-
-def lineitem_frames(spark, folder) -> DataFrame:
-    """One frame per line number; as many rows as suppliers."""
-    rows = table(spark, folder, "supplier").agg((F.max("s_suppkey") + 1).cast("int"))
-    return table(spark, folder, "lineitem").select(
-        F.col("l_linenumber").cast("string").alias("frame_id")).distinct().select(
-        "frame_id", rows.scalar().alias("height"), F.lit(50).alias("width"))
+                     hundredths("value"), 31, 24)
 
 
 def lineitem_raster(spark, folder) -> DataFrame:
     """Frame per line number, suppliers by quantity."""
     items = table(spark, folder, "lineitem").select(
         "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = table(spark, folder, "supplier").agg((F.max("s_suppkey") + 1).cast("int"))
     return rasterize(items, F.col("l_linenumber").cast("string"), F.col("l_suppkey"),
-                     F.col("l_quantity") - 1, hundredths("l_extendedprice"),
-                     lineitem_frames(spark, folder), 300000)
+                     F.col("l_quantity") - 1, hundredths("l_extendedprice"), rows.scalar(), 50)
 
 
 def embedding_frames(spark, folder) -> DataFrame:

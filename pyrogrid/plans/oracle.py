@@ -5,27 +5,28 @@ Each function gives one named step; a query lists the steps it needs.
 
 from __future__ import annotations
 
-from ..operators.neighbourhood import ellipse_chords
 from ..params import Params
 from .inputs import RASTER
 
 PX = {
-    "events": """px AS MATERIALIZED (
- SELECT f.frame_id, gy.y::INT y, gx.x::INT x, least(255, coalesce(c.w, 0) // 200)::INT v,
-  30 height, 24 width
- FROM (SELECT DISTINCT event_type frame_id FROM events) f
- CROSS JOIN (SELECT unnest(range(30)) y) gy CROSS JOIN (SELECT unnest(range(24)) x) gx
- LEFT JOIN (SELECT event_type frame_id, date_part('day', ts) - 1 y, date_part('hour', ts) x,
-  sum(CAST(round(value * 100) AS BIGINT)) w FROM events GROUP BY ALL) c USING (frame_id, y, x))""",
-    "lineitem": """px AS MATERIALIZED (
- SELECT f.frame_id, gy.y::INT y, gx.x::INT x, least(255, coalesce(c.w, 0) // 300000)::INT v,
-  f.height, 50 width
- FROM (SELECT DISTINCT l_linenumber::VARCHAR frame_id,
-  (SELECT max(s_suppkey) + 1 FROM supplier)::INT height FROM lineitem) f
+    "events": """cell AS (SELECT event_type frame_id, date_part('day', ts) - 1 y,
+  date_part('hour', ts) x, sum(CAST(round(value * 100) AS BIGINT)) w FROM events GROUP BY ALL),
+px AS MATERIALIZED (
+ SELECT f.frame_id, gy.y::INT y, gx.x::INT x, CASE WHEN top > 0
+  THEN floor(greatest(coalesce(c.w, 0), 0) * 255 / top::DOUBLE) ELSE 0 END::INT v, 31 height, 24 width
+ FROM (SELECT frame_id, greatest(max(w), 0) top FROM cell GROUP BY 1) f
+ CROSS JOIN (SELECT unnest(range(31)) y) gy CROSS JOIN (SELECT unnest(range(24)) x) gx
+ LEFT JOIN cell c USING (frame_id, y, x))""",
+    "lineitem": """cell AS (SELECT l_linenumber::VARCHAR frame_id, l_suppkey y,
+  l_quantity::BIGINT - 1 x, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) w
+ FROM lineitem GROUP BY ALL),
+px AS MATERIALIZED (
+ SELECT f.frame_id, gy.y::INT y, gx.x::INT x, CASE WHEN top > 0
+  THEN floor(greatest(coalesce(c.w, 0), 0) * 255 / top::DOUBLE) ELSE 0 END::INT v, height, 50 width
+ FROM (SELECT frame_id, greatest(max(w), 0) top,
+  (SELECT max(s_suppkey) + 1 FROM supplier)::INT height FROM cell GROUP BY 1) f
  CROSS JOIN (SELECT s_suppkey y FROM supplier) gy CROSS JOIN (SELECT unnest(range(50)) x) gx
- LEFT JOIN (SELECT l_linenumber::VARCHAR frame_id, l_suppkey y, l_quantity::BIGINT - 1 x,
-  sum(CAST(round(l_extendedprice * 100) AS BIGINT)) w FROM lineitem GROUP BY ALL) c
-  USING (frame_id, y, x))""",
+ LEFT JOIN cell c USING (frame_id, y, x))""",
     "embeddings": """cells AS (
  SELECT vec_id::VARCHAR frame_id, unnest(range(64)) pos, unnest(embedding)::DOUBLE e
  FROM embeddings),
@@ -219,9 +220,9 @@ def query(steps: list[str], select: str) -> str:
 
 
 def ellipse(k: int, raster: str) -> list[str]:
-    """Top-hat with an elliptic element as explicit offsets."""
-    cells = ", ".join(f"({dy}, {dx})" for dy, c in ellipse_chords(k).items()
-                      for dx in range(-c, c + 1))
-
-    return [PX[raster], spread("ero", "min", "px", "v", "m", f"(VALUES {cells})"),
-            spread("opn", "max", "ero", "m", "o", f"(VALUES {cells})")]
+    """Top-hat with an elliptic element: the offsets whose row is no wider than its chord."""
+    r = k // 2
+    cells = (f"(SELECT dy, dx FROM {offsets(r)} WHERE abs(dx) <= "
+             f"round_even({r} * sqrt(({r} * {r} - dy * dy) / {r * r}.0::DOUBLE), 0))")
+    return [PX[raster], spread("ero", "min", "px", "v", "m", cells),
+            spread("opn", "max", "ero", "m", "o", cells)]

@@ -29,12 +29,13 @@ def _to_grey(batches):
 
 
 def read_images(spark: SparkSession, path: str, extensions=BATCH) -> DataFrame:
-    """8-bit grey frames. Files that cannot be decoded stay as rows with a status."""
+    """8-bit grey frames, named by the full address of their file. Files that cannot be decoded
+    stay as rows with a status."""
     names = "*.{" + ",".join(_any_case(e) for e in extensions) + "}"
     files = (spark.read.format("image").option("dropInvalid", False)
              .option("pathGlobFilter", names).load(path).select("image.*"))
     bad = (F.col("height") <= 0) | F.col("height").isNull()
     tagged = files.select(
-        F.element_at(F.split("origin", "/"), -1).alias("frame_id"), "height", "width",
+        F.col("origin").alias("frame_id"), "height", "width",
         "nChannels", "data", F.when(bad, "decode_error").otherwise("ok").alias("status"))
     return tagged.mapInPandas(_to_grey, FRAMES)

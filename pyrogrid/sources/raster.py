@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.tiles import TILE, div
+from ..operators.tiles import TILE, attach, div
 
 
 def grid(frames: DataFrame, tile: int = TILE) -> DataFrame:
@@ -23,22 +23,32 @@ def grid(frames: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def rasterize(df: DataFrame, frame: Column, y: Column, x: Column, weight: Column,
-              frames: DataFrame, divisor: int, tile: int = TILE) -> DataFrame:
-    """Sum integer weights per cell, divide, clip to 0..255; cells without rows are 0.
+              height, width, tile: int = TILE) -> DataFrame:
+    """Sum integer weights per cell and scale each frame by its own largest cell.
 
-    The empty grid joins the data as zero weights, so filling and summing are one
-    aggregation with map-side partial sums.
+    v is the weight as a share of the frame's largest, in 0..255; cells without rows and
+    cells of negative weight are 0. ``height`` and ``width`` are numbers or columns; rows
+    outside the grid (or without a frame, row or column) are left out. Frames are those of
+    the rows inside. The source is read once, and partial sums run before the shuffle.
     """
-    cells = df.select(frame.alias("frame_id"), y.cast("int").alias("y"),
-                      x.cast("int").alias("x"), weight.cast("long").alias("w"))
-    blank = grid(frames, tile).withColumn("w", F.lit(0).cast("long"))
-    return (blank.unionByName(cells, allowMissingColumns=True)
+    def size(n):
+        return n if isinstance(n, Column) else F.lit(n)
+
+    cells = (df.select(frame.alias("frame_id"), y.cast("int").alias("y"),
+                       x.cast("int").alias("x"), weight.cast("long").alias("w"))
+             .groupBy("frame_id", "y", "x").agg(F.greatest(F.sum("w"), F.lit(0)).alias("w"))
+             .withColumns({"height": size(height).cast("int"), "width": size(width).cast("int")})
+             .where("frame_id is not null and y >= 0 and y < height and x >= 0 and x < width"))
+    frames = cells.groupBy("frame_id").agg(
+        F.max("w").alias("top"), F.max("height").alias("height"), F.max("width").alias("width"))
+    full = (grid(frames, tile).withColumn("w", F.lit(0).cast("long"))
+            .unionByName(cells.select("frame_id", "y", "x", "height", "width", "w"))
             .groupBy("frame_id", "y", "x")
             .agg(F.sum("w").alias("w"), F.max("height").alias("height"),
-                 F.max("width").alias("width"))
-            .select("frame_id", "y", "x",
-                    F.least(F.lit(255), F.floor(F.col("w") / F.lit(divisor))).cast("int").alias("v"),
-                    "height", "width"))
+                 F.max("width").alias("width")))
+    v = F.when(F.col("top") > 0, F.floor(F.col("w") * 255 / F.col("top"))).otherwise(0)
+    return attach(full, frames, tile).select("frame_id", "y", "x", v.cast("int").alias("v"),
+                                             "height", "width")
 
 
 def explode_frames(frames: DataFrame, *arrays: str) -> DataFrame:

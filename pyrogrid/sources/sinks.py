@@ -53,17 +53,16 @@ def write_steps(steps: dict[str, DataFrame], path: str) -> None:
 
 def benchmark_document(metrics: DataFrame, comparison: DataFrame, sweep: DataFrame,
                        dataset: DataFrame) -> DataFrame:
-    """Result sections as tagged nested rows: scenario results, method comparison,
-    sensitivity to k, dataset evaluation."""
+    """Result sections as rows with nested results: scenario results, method comparison,
+    sensitivity to k, dataset evaluation. Each section has its own struct column."""
     parts = []
     for name, df in {"scenario_results": metrics, "method_comparison": comparison,
                      "sensitivity_k": sweep, "dataset": dataset}.items():
         parts.append(df.select(F.lit(name).alias("section"), F.col("frame_id"),
-                               F.to_json(F.struct(*[c for c in df.columns if c != "frame_id"]))
-                               .alias("result")))
+                               F.struct(*[c for c in df.columns if c != "frame_id"]).alias(name)))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 

@@ -25,7 +25,7 @@ def test_text_follows_binary_value(spark):
 
 def test_pseudonym(spark):
     people = [("Max Mustermann", "01.01.2000"), ("max mustermann", "01.01.2000"),
-              ("  Max Mustermann\t", " 01.01.2000\n"), ("Max Mustermann", "02.01.2000")]
+              ("  Max Mustermann\t", "\u2003\u00a001.01.2000\x1f\n"), ("Max Mustermann", "02.01.2000")]
     df = spark.createDataFrame(people, "name string, dob string")
     got = [r.p for r in df.select(
         identity.pseudonym(F.col("name"), F.col("dob"), "test_salt").alias("p")).collect()]
@@ -64,6 +64,11 @@ def test_overlay(spark):
     px = spark.createDataFrame([(100, True), (100, False)], "v int, hot boolean")
     got = {r.hot: (r.b, r.g, r.r) for r in colour.overlay(px, colour.grey_palette(spark)).collect()}
     assert got == {True: (90, 30, 208), False: (100, 100, 100)}
+    two = colour.grey_palette(spark).union(spark.createDataFrame(
+        [("hot", 100, 1, 2, 3)], "palette string, v int, b int, g int, r int"))
+    cold = px.where("not hot").union(spark.createDataFrame([(7, False)], px.schema))
+    got = {r.v: (r.b, r.g, r.r) for r in colour.overlay(cold, two, palette="hot").collect()}
+    assert got == {100: (1, 2, 3), 7: (7, 7, 7)}
 
 
 def test_settings(spark, tmp_path):
@@ -74,3 +79,5 @@ def test_settings(spark, tmp_path):
     bad = tmp_path / "bad.json"
     bad.write_text("not json at all")
     assert read_settings(spark, str(bad)).first().sigma_k == Params().sigma_k
+    missing = read_settings(spark, str(tmp_path / "none.json")).collect()
+    assert [r.sigma_k for r in missing] == [Params().sigma_k]
