@@ -116,9 +116,9 @@ def frame_threshold(diff: np.ndarray, img: np.ndarray, p: Params) -> tuple:
     return n, centre, sigma, base, zero, level
 
 
-def bodies(px: np.ndarray, p: Params) -> dict:
+def bodies(px: np.ndarray, p: Params, smooth: bool = True) -> dict:
     """Image stages of a stack of frames of one size."""
-    blur = blur_frame(px)
+    blur = blur_frame(px) if smooth else px
     hat = top_hat_frame(blur, odd_kernel_of(*px.shape[1:], p.tophat_factor))
     otsu, level = otsu_levels(_counts(blur), p)
     dist3 = chamfer(np.where(blur > level[:, None, None], NO_BACKGROUND, 0))
@@ -191,6 +191,16 @@ def staged(frames: DataFrame, p: Params) -> DataFrame:
                                                      "diff array<short>, mask array<short>")
 
 
+def raw_bodies(frames: DataFrame, p: Params) -> DataFrame:
+    """Pixels of the body of every frame, taken from the image as it is."""
+    def run(batches):
+        for rows, px in _same_size(batches):
+            inside = bodies(px, p, smooth=False)["mask"].sum(axis=(1, 2))
+            yield rows[["frame_id", "height", "width"]].assign(body_px=inside)
+    source = frames.select("frame_id", "height", "width", F.col("px").cast("array<short>"))
+    return source.mapInPandas(run, f"{_fields(source.drop('px'))}, body_px long")
+
+
 def with_blur_and_top_hat(frames: DataFrame, tophat_factor: float = 0.05) -> DataFrame:
     """Add packed ``blur`` and ``tophat``. The kernel follows each frame's own size."""
     def run(batches):

@@ -15,7 +15,7 @@ from ..params import Params, settings_over_defaults
 from ..sources.raster import assemble_frames, explode_frames
 from ..sources.sinks import audit_export_rows, audit_rows
 from ..staging import release_kept
-from . import oracle as sql
+from . import batch, oracle as sql
 from .detect import detect_frames, detect_hotspots
 from .inputs import (
     RASTER, RASTER_NO_MARGIN, detected, embedding_frames, embedding_pixels,
@@ -1056,3 +1056,70 @@ FROM staged JOIN (SELECT frame_id, min(diff) lo, max(diff) hi FROM staged GROUP
  USING (frame_id)"""))
 def difference_image(spark, d):
     return detected(spark, d, "lineitem").difference().select("frame_id", "y", "x", "diff_norm")
+
+
+# --- runs over many frames --------------------------------------------------------------------
+
+READ_FAILED = "frame_id::INT % 50 = 7"
+
+
+def read_frames(spark, d):
+    """Enlarged frames as if read from files, some of which could not be decoded."""
+    failed = F.col("frame_id").cast("int") % 50 == 7
+    return enlarged_frames(spark, d).select(
+        "frame_id", F.when(failed, 0).otherwise(F.col("height")).alias("height"),
+        F.when(failed, 0).otherwise(F.col("width")).alias("width"),
+        F.when(failed, F.array().cast("array<smallint>")).otherwise(F.col("px")).alias("px"),
+        F.when(failed, "decode_error").otherwise("ok").alias("status"))
+
+
+@query("evaluate_frames", f"""
+SELECT frame_id, CASE WHEN NOT bad THEN width END width, CASE WHEN NOT bad THEN height END height,
+ CASE WHEN NOT bad THEN body_px END body_px, CASE WHEN NOT bad THEN hotspot_px END hotspot_px,
+ CASE WHEN NOT bad THEN CASE WHEN body_px > 0
+  THEN round_even(hotspot_px / body_px::DOUBLE * 100.0::DOUBLE, 2) ELSE 0.0::DOUBLE END END coverage_percent,
+ CASE WHEN bad THEN 'decode_error' WHEN body_px > 0 THEN 'ok' ELSE 'empty_body_mask' END status
+FROM (SELECT *, {READ_FAILED} bad FROM ({sql.query(sql.segmented("enlarged", RASTER_NO_MARGIN), """
+ SELECT frame_id, count(*) FILTER (WHERE mask) body_px, max(height) height, max(width) width
+ FROM body GROUP BY 1""")}) raw_body
+JOIN ({sql.query(sql.detection("enlarged", 3, RASTER_NO_MARGIN)[:13], """
+ SELECT l.frame_id, coalesce(n, 0)::BIGINT hotspot_px FROM level l LEFT JOIN (SELECT frame_id,
+  sum(area) n FROM judged WHERE reject_reason IS NULL GROUP BY 1) USING (frame_id)""")}) spots
+ USING (frame_id))""")
+def evaluate_frames(spark, d):
+    return batch.evaluate_frames(read_frames(spark, d), RASTER_NO_MARGIN)
+
+
+def _batch_sql(population: str) -> str:
+    steps = [s.replace("mask", population) for s in TRIAGE]
+    return sql.query(sql.detection("enlarged", 3, RASTER_NO_MARGIN) + [
+        "all_flagged AS (SELECT *, diff > 0 nonzero FROM flagged)",
+        *[s.replace("flagged", "all_flagged") for s in steps]], f"""
+SELECT frame_id, CASE WHEN NOT bad THEN printf('%d px', hotspot_px) END hotspots,
+ CASE WHEN NOT bad THEN printf('%.1f °C', delta / 255.0::DOUBLE * 20.0::DOUBLE) END delta,
+ CASE WHEN NOT bad THEN printf('%.1f °C', max_zone_delta / 255.0::DOUBLE * 20.0::DOUBLE) END zone_delta,
+ CASE WHEN bad THEN 'decode_error' WHEN empty THEN 'empty_body_mask' ELSE status END status
+FROM (SELECT *, {READ_FAILED} bad FROM triaged JOIN (SELECT frame_id, NOT bool_or(mask) empty
+ FROM flagged GROUP BY 1) USING (frame_id))""")
+
+
+@query("batch_frames", _batch_sql("mask"))
+def batch_frames(spark, d):
+    return batch.batch_frames(read_frames(spark, d), RASTER_NO_MARGIN)
+
+
+@query("batch_frames_nonzero", _batch_sql("nonzero"))
+def batch_frames_nonzero(spark, d):
+    """Side and zone means over the pixels with a difference."""
+    return batch.batch_frames(read_frames(spark, d), RASTER_NO_MARGIN, population="nonzero_diff")
+
+
+@query("step_pixels", sql.query([*sql.detection("lineitem", K, RASTER_NO_MARGIN), """stretched AS (
+ SELECT *, CASE WHEN hi = lo THEN 0 ELSE floor((diff - lo) * 255.0::DOUBLE / (hi - lo)) END::INT norm
+ FROM flagged JOIN (SELECT frame_id, min(diff) lo, max(diff) hi FROM flagged GROUP BY 1) USING (frame_id))"""],
+ " UNION ALL ".join(f"SELECT {PIXEL}, height, width, '{n}' step, {c}::INT v FROM stretched" for n, c in {
+     "original": "v", "mask": "CASE WHEN mask THEN 255 ELSE 0 END",
+     "hotspots": "CASE WHEN hot THEN 255 ELSE 0 END", "difference": "norm"}.items())))
+def step_pixels(spark, d):
+    """What the step images of a run hold."""
+    return batch.step_pixels(detected(spark, d, "lineitem", RASTER_NO_MARGIN))
