@@ -11,7 +11,12 @@ only pairs of classes in different components are still compared. The result has
 all pairs without listing the pairs of a large group.
 
 The order comes from counts of all n-grams in `BUCKETS` hash buckets. It decides what is compared
-first, never the result. N-grams and sets are told apart by 64-bit hashes.
+first, never the result. N-grams of buckets far above the mean are frequent and come last. Sets
+that share frequent n-grams alone can only be similar if both consist mostly of such, so they
+meet through them only then; the members of a large group that differ more meet through what
+they share beside.
+
+N-grams and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,11 +38,13 @@ from pyrogrid.staging import checkpoint
 WORDS = 5
 # Similarity as a share: 100 * intersection >= 80 * union.
 NUMERATOR, DENOMINATOR = 80, 100
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
 BLOCKS = 256
-FRAGMENTS = 16
+FRAGMENTS = 4
 # Rows of one n-gram that stay together; more frequent ones are split.
 GROUP = 1024
+# Rows above four times the mean from which a bucket's n-grams count as frequent.
+FREQUENT = 16
 # Bits of the map that tells which documents to read again; a full map costs time only.
 MAP_BITS = 1 << 25
 
@@ -100,14 +107,14 @@ def set_key(ngrams: np.ndarray) -> int:
 
 
 def bucket(ngrams: np.ndarray) -> np.ndarray:
-    return (ngrams >> np.uint64(44)).astype("int64")
+    return (ngrams >> np.uint64(64 - 22)).astype("int64")
 
 
 def document_keys(docs: DataFrame) -> DataFrame:
     """In one pass over the texts: rows (doc_id, n, node) per document, and per task the bucket
     counts as rows (block, part, counts), compressed."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, held, size = np.zeros(BUCKETS, "int64"), [], 0
+        counts, held, size = np.zeros(BUCKETS, "int32"), [], 0
         for batch in batches:
             rows = []
             for text in batch["text"]:
@@ -115,13 +122,13 @@ def document_keys(docs: DataFrame) -> DataFrame:
                 held.append(bucket(found))
                 size += len(found)
                 if size > BUCKETS:
-                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS).astype("int32")
                     held, size = [], 0
                 rows.append((len(found), set_key(found)))
             out = pd.DataFrame(rows, columns=["n", "node"])
             yield out.assign(doc_id=batch["doc_id"].array, block=None, part=None, counts=None)[columns]
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+            counts += np.bincount(np.concatenate(held), minlength=BUCKETS).astype("int32")
         part = TaskContext.get().partitionId()
         for block, own in enumerate(np.split(counts, BLOCKS)):
             if own.any():
@@ -134,7 +141,7 @@ def document_keys(docs: DataFrame) -> DataFrame:
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.tobytes(), 1)
+    return zlib.compress(counts.astype("int64").tobytes(), 1)
 
 
 class Order:
@@ -150,7 +157,8 @@ class Order:
         self.fragment[by_count] = np.minimum((mass - 1).clip(0) * FRAGMENTS // total, FRAGMENTS - 1)
         # A bucket far above the mean holds a frequent n-gram; its rows are split in so many parts.
         far = counts - 4 * total // BUCKETS
-        self.parts = np.where(far > GROUP, -(-far // GROUP), 1).astype("int32")
+        self.parts = np.where(far > GROUP, -(-far // GROUP), 1).clip(max=60000).astype("uint16")
+        self.frequent = far > FREQUENT
 
     def prefix(self, ngrams: np.ndarray) -> np.ndarray:
         """First n-grams of which one is shared with every set of enough similarity."""
@@ -178,28 +186,37 @@ def bucket_order(keyed: DataFrame) -> Order:
 
 
 def prefix_rows(docs: DataFrame, order: Order) -> DataFrame:
-    """(ngram, part, split, node): the prefix of every class, once per task and class."""
+    """(ngram, part, split, frequent, pos, node, n, h): the prefix of every class, once per task
+    and class; n is the size of the set and h the number of frequent n-grams in it. Frequent n-grams
+    are left out where a set has too few of them for any overlap that consists of them alone."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            grams, nodes = [], []
+            grams, rows = [], []
             for text in batch["text"]:
                 found = ngram_set(text)
                 node = set_key(found)
                 if len(found) and node not in seen:
                     seen.add(node)
-                    grams.append(order.prefix(found))
-                    nodes.append(node)
+                    h = int(order.frequent[bucket(found)].sum())
+                    first = order.prefix(found)
+                    # Frequent ones come last in the order, so the others keep their places.
+                    if h * DENOMINATOR < len(found) * NUMERATOR:
+                        first = first[~order.frequent[bucket(first)]]
+                    grams.append(first)
+                    rows.append((node, len(found), h))
             if grams:
-                sizes = [len(g) for g in grams]
+                pos = np.concatenate([np.arange(len(g)) for g in grams])
                 flat = np.concatenate(grams)
-                node = np.repeat(np.asarray(nodes, "int64"), sizes)
+                own = np.repeat(np.asarray(rows, "int64"), [len(g) for g in grams], axis=0)
                 split = order.parts[bucket(flat)]
-                part = mix(node.view("uint64")) % split.astype("uint64")
+                part = mix(own[:, 0].copy().view("uint64")) % split.astype("uint64")
                 yield pd.DataFrame({"ngram": flat.view("int64"), "part": part.astype("int32"),
-                                    "split": split > 1, "node": node})
+                                    "split": split > 1, "frequent": order.frequent[bucket(flat)], "pos": pos,
+                                    "node": own[:, 0], "n": own[:, 1], "h": own[:, 2]})
 
-    return docs.select("text").mapInPandas(run, "ngram long, part int, split boolean, node long")
+    return docs.select("text").mapInPandas(
+        run, "ngram long, part int, split boolean, frequent boolean, pos int, node long, n int, h int")
 
 
 def fragments(docs: DataFrame, needed: DataFrame, order: Order) -> DataFrame:
@@ -235,25 +252,59 @@ def fragments(docs: DataFrame, needed: DataFrame, order: Order) -> DataFrame:
         run, "node long, n long, fragment int, ngrams array<long>")
 
 
-def enough_in_common(shared: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a list with one row per n-gram that both prefixes hold, without
-    those that hold too few in common to be similar.
+def may_meet(x: str, y: str):
+    """Whether rows x and y of one n-gram may be a pair: sizes that allow enough similarity, and
+    for a frequent n-gram enough frequent ones on both sides for an overlap of nothing else."""
+    def c(side, name):
+        return F.col(f"{side}.{name}").cast("long")
+    sizes = (c(x, "n") * NUMERATOR <= c(y, "n") * DENOMINATOR) & (c(y, "n") * NUMERATOR <= c(x, "n") * DENOMINATOR)
+    alone = (F.least(c(x, "h"), c(y, "h")) * (NUMERATOR + DENOMINATOR) >= (c(x, "n") + c(y, "n")) * NUMERATOR)
+    return sizes & (~F.col(f"{y}.frequent") | alone)
+
+
+def paired(x: str, y: str):
+    """Columns of a pair's row: a < b, their sizes and numbers of frequent n-grams."""
+    first = F.col(f"{x}.node") < F.col(f"{y}.node")
+    return [F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(name)
+            for p, q, end in ((x, y, "a"), (y, x, "b"))
+            for c, name in (("node", end), ("n", f"n_{end}"), ("h", f"h_{end}"))]
+
+
+def least_overlap(n_x, n_y):
+    """Common n-grams that sets of these sizes need to be similar."""
+    whole = NUMERATOR + DENOMINATOR
+    return F.floor(((n_x + n_y).cast("long") * NUMERATOR + whole - 1) / whole)
+
 
-    Of at least o common n-grams the k-th in order has at most k - 1 + n - o before it, so each
-    prefix of p holds the first p - n + o of them.
+def early(x: str, y: str):
+    """Whether rows x and y of one n-gram come where the first common one of a similar pair does:
+    of at least o common n-grams the first has at most n - o of a set before it."""
+    least = least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"))
+    return (F.col(f"{x}.pos") <= F.col(f"{x}.n") - least) & (F.col(f"{y}.pos") <= F.col(f"{y}.n") - least)
+
+
+def enough_in_common(pairs: DataFrame, share: int = 1) -> DataFrame:
+    """(a, b) of the pairs whose prefixes have so many n-grams in `common` that they can be
+    similar. A larger `share` asks for so much less.
+
+    The k-th common n-gram has at most k - 1 + n - o of a set before it, so each prefix of p holds
+    the first p - n + o. Frequent n-grams come last and are at most the smaller h of them; where
+    those may be missing from the rows, the others are still o - h.
     """
-    first = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    second = sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    total = F.col("n_a") + F.col("n_b")
-    least = F.ceil(total * NUMERATOR / (NUMERATOR + DENOMINATOR) - 1e-9)
+    least = least_overlap(F.col("n_a"), F.col("n_b"))
 
     def held(n):
-        return least - F.ceil(F.col(n) * NUMERATOR / DENOMINATOR - 1e-9) + 1
+        return least - F.floor((F.col(n).cast("long") * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR) + 1
 
-    return (shared.groupBy("a", "b").agg(F.count("*").alias("common")).join(first, "a").join(second, "b")
-            .where((F.col("n_a") * NUMERATOR <= F.col("n_b") * DENOMINATOR)
-                   & (F.col("n_b") * NUMERATOR <= F.col("n_a") * DENOMINATOR)
-                   & (F.col("common") >= F.least(held("n_a"), held("n_b")))).select("a", "b"))
+    h = F.least("h_a", "h_b")
+    need = F.least(held("n_a"), held("n_b"), F.when(h < least, least - h))
+    return pairs.where(F.col("common") * share >= need).select("a", "b")
+
+
+def counted(met: DataFrame) -> DataFrame:
+    """Pairs with the number of their rows as `common`."""
+    return met.groupBy("a", "b").agg(F.count("*").alias("common"),
+                                     *[F.max(c).alias(c) for c in ("n_a", "n_b", "h_a", "h_b")])
 
 
 def similar(pairs: DataFrame, rows: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
@@ -267,11 +318,11 @@ def similar(pairs: DataFrame, rows: DataFrame, classes: DataFrame, order: Order)
                           F.col("ngrams").alias("ngrams_b"))
     overlap = F.size(F.array_intersect("ngrams_a", "ngrams_b"))
     # A set that two tasks have read is there twice; its fragments count once.
-    counted = (pairs.join(second, "b").join(first, ["a", "fragment"])
+    overlaps = (pairs.join(second, "b").join(first, ["a", "fragment"])
                .select("a", "b", "fragment", "n_a", "n_b", overlap.alias("part")).distinct()
                .groupBy("a", "b").agg(F.sum("part").alias("both"), F.max("n_a").alias("n_a"),
-                                      F.max("n_b").alias("n_b")))
-    return counted.where(F.col("both") * DENOMINATOR >= NUMERATOR * (F.col("n_a") + F.col("n_b") - F.col("both"))
+                                       F.max("n_b").alias("n_b")))
+    return overlaps.where(F.col("both") * DENOMINATOR >= NUMERATOR * (F.col("n_a") + F.col("n_b") - F.col("both"))
                          ).select("a", "b")
 
 
@@ -289,34 +340,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = keyed.where("block is null").select("doc_id", "n", "node")
     order = bucket_order(keyed)
     group = Window.partitionBy("ngram", "part")
+    # The member with most frequent n-grams is the one nearest to all others of a large group.
+    head = F.max(F.struct("h", "node", "n", "frequent")).over(group)
     shared = checkpoint(
-        prefix_rows(rows, order)
+        prefix_rows(rows, order).withColumn("head", head)
         .withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
-        .where("low < high or split").select("ngram", "node", "low", "split"))
-    # Parts of a frequent n-gram meet through their first members.
-    heads = shared.where("split").select("ngram", F.col("low").alias("node")).distinct()
-    tops = heads.groupBy("ngram").agg(F.min("node").alias("low"))
+        .where("low < high or split").drop("part", "low", "high"))
     classes = checkpoint(keys.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("class_id"), F.first("n").alias("n")))
-    stars = checkpoint(enough_in_common(
-        shared.select(F.col("low").alias("a"), F.col("node").alias("b"))
-        .union(heads.join(tops, "ngram").select(F.col("low").alias("a"), F.col("node").alias("b")))
-        .where("a < b"), classes))
+    # Parts of a frequent n-gram meet through their heads.
+    heads = shared.where("split").select("ngram", "head").distinct()
+    tops = heads.groupBy("ngram").agg(F.max("head").alias("top"))
+    met = (shared.select(F.struct("h", "node", "n", "frequent").alias("x"), F.col("head").alias("y"))
+           .union(heads.join(tops, "ngram").select(F.col("head").alias("x"), F.col("top").alias("y"))))
+    stars = checkpoint(enough_in_common(counted(
+        met.where((F.col("x.node") != F.col("y.node")) & may_meet("x", "y")).select(*paired("x", "y"))), 4))
     links = checkpoint(similar(stars, rows, classes, order))
     labels = checkpoint(components(links))
     # What one member of each group left open: pairs across components.
-    marked = (shared.select("ngram", "node").distinct()
+    marked = (shared.select("ngram", "node", "n", "h", "frequent", "pos").distinct()
               .join(labels.withColumnRenamed("id", "node"), "node", "left")
-              .select("ngram", "node", F.coalesce("component", "node").alias("component")))
+              .withColumn("component", F.coalesce("component", "node")))
     mixed = marked.groupBy("ngram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_rows = checkpoint(marked.join(mixed.select("ngram"), "ngram").join(classes.select("node", "n"), "node"))
-    left, right = open_rows.alias("l"), open_rows.alias("r")
-    rest = (left.join(right, (F.col("l.ngram") == F.col("r.ngram")) & (F.col("l.node") < F.col("r.node"))
-                      & (F.col("l.component") != F.col("r.component"))
-                      & (F.col("l.n") * NUMERATOR <= F.col("r.n") * DENOMINATOR)
-                      & (F.col("r.n") * NUMERATOR <= F.col("l.n") * DENOMINATOR))
-            .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
-    rest = checkpoint(enough_in_common(rest, classes).join(stars, ["a", "b"], "left_anti"))
+    open_rows = checkpoint(marked.join(mixed.select("ngram"), "ngram"))
+    # Pairs meet early in both orders; then all that their prefixes have in common counts.
+    met = open_rows.alias("x").join(open_rows.alias("y"), (F.col("x.ngram") == F.col("y.ngram"))
+                                    & (F.col("x.node") < F.col("y.node"))
+                                    & (F.col("x.component") != F.col("y.component"))
+                                    & may_meet("x", "y") & early("x", "y"))
+    prefixes = open_rows.groupBy("node").agg(F.collect_set("ngram").alias("ngrams"))
+    common = F.size(F.array_intersect("ngrams_a", "ngrams_b"))
+    rest = (counted(met.select(*paired("x", "y"))).drop("common")
+            .join(stars, ["a", "b"], "left_anti")
+            .join(prefixes.select(F.col("node").alias("a"), F.col("ngrams").alias("ngrams_a")), "a")
+            .join(prefixes.select(F.col("node").alias("b"), F.col("ngrams").alias("ngrams_b")), "b")
+            .withColumn("common", common).drop("ngrams_a", "ngrams_b"))
+    rest = checkpoint(enough_in_common(rest))
     more = checkpoint(similar(rest, rows, classes, order))
     every = links.union(more)
     final = components(every)

@@ -84,10 +84,33 @@ def test_split_of_frequent_ngrams_loses_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     first = {r["doc_id"]: r["component_id"] for r in nj.near_duplicates(df).collect()}
     monkeypatch.setattr(nj, "GROUP", 5)
+    monkeypatch.setattr(nj, "FREQUENT", 8)
     again = {r["doc_id"]: r["component_id"] for r in nj.near_duplicates(df).collect()}
     assert first == again == {i: c for i, (_, c) in brute(rows).items()}
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 20])
+def test_large_group_of_near_copies(spark, monkeypatch, frequent):
+    """Members of all distances, most of them not similar to each other; some share changes."""
+    monkeypatch.setattr(nj, "FREQUENT", frequent)
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(90)]
+    texts = []
+    for n in range(150):
+        copy = list(base)
+        for k in rnd.sample(range(90), rnd.randint(0, 7)):
+            copy[k] = rnd.choice([f"u{n}_{k}", f"s{rnd.randint(0, 3)}_{k}"])
+        texts.append(" ".join(copy[:rnd.choice([90, 90, 86, 75])]))
+    for n in range(0, 60, 3):
+        near = texts[n].split()
+        near[rnd.randrange(70)] = "again"
+        texts.append(" ".join(near))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = {r["doc_id"]: r["component_id"] for r in nj.near_duplicates(df).collect()}
+    assert out == {i: c for i, (_, c) in brute(rows).items()}
+
+
 def test_edge_tables(spark):
     schema = "doc_id long, text string"
     assert nj.near_duplicates(spark.createDataFrame([], schema)).collect() == []
