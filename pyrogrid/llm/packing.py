@@ -26,7 +26,7 @@ from pyrogrid.staging import checkpoint
 WIDTH = 2048
 END_ID = 1
 # Entries kept per worker; when full the cache starts anew.
-CACHE = 600_000
+CACHE = 1_000_000
 # Letters alone are one match of the pattern; so are letters before a single mark.
 WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKED_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]")
