@@ -2,10 +2,11 @@
 
 Vectors are cut into two halves, each quantised with its own small codebook; a pair of centroids
 is a cell. A query walks the cells in the order of their summed distance with a heap. It first
-takes the nearest cells that hold `FIRST` entries; these give its k-th distance so far. Then it
-walks on as long as entries of the next cell may be nearer than that, judged by the spread of
-the residuals, so the number of cells follows the data instead of a fixed limit. All entries of
-visited cells are reranked with exact distances.
+takes the nearest cells that hold `FIRST` entries; these give its k-th distance so far. Of all
+other cells it leaves out only those that can't hold anything nearer: every cell knows how near
+and how far its entries lie from its two centroids, which bounds their distance from the query
+from below. All entries of visited cells are reranked with exact distances, so the result is the
+exact one and the number of cells follows the data instead of a fixed limit.
 
 Codebooks are fitted on at most `FIT_ROWS` vectors (those with the smallest hashes); every vector
 is indexed. Equal vectors are one entry with its k + 1 smallest ids, which is all a result can
@@ -26,9 +27,9 @@ from pyrogrid.staging import checkpoint
 FIT_ROWS = 20_000
 CENTROIDS = 128
 FIRST = 1000
-# Standard deviations of the distance that a cell's entries may lie below its mean.
-REACH = 3.5
 BLOCK = 8192
+# Share by which a bound may be off by rounding.
+SLACK = 1e-9
 
 
 def usable(vector: Column) -> Column:
@@ -61,6 +62,11 @@ def halves(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix[:, :cut], matrix[:, cut:]
 
 
+def offsets(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distances from differences, so that small ones keep their digits."""
+    return np.sqrt(((points - centres) ** 2).sum(-1))
+
+
 def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough, far) -> list[tuple[int, int]]:
     """Cells by growing first[i] + second[j] until `far(sum)` or `enough(entries so far)`.
 
@@ -87,14 +93,25 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough, far)
 
 
 class MultiIndex:
-    """Codebooks, residual spread and cell counts: all of a size set by CENTROIDS."""
+    """Codebooks, cell counts and per half the least and largest residual of each cell's entries:
+    all of a size set by CENTROIDS."""
 
-    def __init__(self, books, spread=(0.0, 0.0), counts=None):
-        self.books, self.spread, self.counts = books, spread, counts
+    def __init__(self, books, counts=None, rings=None):
+        self.books, self.counts, self.rings = books, counts, rings
 
     def distances(self, matrix: np.ndarray) -> list[np.ndarray]:
         return [squared(part, book) for part, book in zip(halves(matrix), self.books)]
 
+    def may_hold(self, vector: np.ndarray, kth: float) -> np.ndarray:
+        """Which cells may hold an entry within `kth` of the vector: in each half the triangle
+        inequality bounds the distance of a cell's entries from below."""
+        least = np.zeros(self.counts.shape)
+        for part, book, (near, far), axis in zip(halves(vector[None]), self.books, self.rings, (1, 0)):
+            away = np.expand_dims(offsets(part, book), axis)
+            gap = np.maximum(away - far, near - away) - SLACK * (away + far)
+            least += np.maximum(gap, 0) ** 2
+        return (self.counts > 0) & (least <= kth ** 2 * (1 + SLACK))
+
 
 def as_matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64") if len(column) else np.zeros((0, 1))
@@ -120,42 +137,45 @@ def build(vectors: DataFrame, k: int) -> tuple[MultiIndex, DataFrame]:
 
     def assign(batches):
         for batch in batches:
-            near = model.distances(as_matrix(batch["vector"]))
-            yield batch.assign(i=near[0].argmin(1), j=near[1].argmin(1),
-                               residual=near[0].min(1) + near[1].min(1))
+            matrix = as_matrix(batch["vector"])
+            i, j = (d.argmin(1) for d in model.distances(matrix))
+            first, second = halves(matrix)
+            yield batch.assign(i=i, j=j, r1=offsets(first, model.books[0][i]),
+                               r2=offsets(second, model.books[1][j]))
 
     kind = dict(few.dtypes)
     entries = checkpoint(few.mapInPandas(
-        assign, f"key string, vector {kind['vector']}, ids {kind['ids']}, i int, j int, residual double"))
-    cells = entries.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("residual").alias("r")).toPandas()
+        assign, f"key string, vector {kind['vector']}, ids {kind['ids']}, i int, j int, r1 double, r2 double"))
+    cells = entries.groupBy("i", "j").agg(
+        F.count("*").alias("n"), *[f(r).alias(name + r) for r in ("r1", "r2")
+                                   for name, f in (("near_", F.min), ("far_", F.max))]).toPandas()
     counts = np.zeros((len(model.books[0]), len(model.books[1])), "int64")
     counts[cells["i"], cells["j"]] = cells["n"]
-    width = len(sample["vector"].iloc[0])
-    mean = float(cells["r"].sum() / total)
-    model.counts, model.spread = counts, (mean, float(np.sqrt(mean / width)))
-    return model, entries
+    rings = np.zeros((2, 2, *counts.shape))
+    for half, r in enumerate(("r1", "r2")):
+        for side, name in enumerate(("near_", "far_")):
+            rings[half, side, cells["i"], cells["j"]] = cells[name + r]
+    model.counts, model.rings = counts, rings
+    return model, entries.drop("r1", "r2")
 
 
-def cells_of(queries: DataFrame, model: MultiIndex, reach: float | None) -> DataFrame:
+def cells_of(queries: DataFrame, model: MultiIndex, further: bool) -> DataFrame:
     """(key, vector, i, js): cells to visit, one row per first centroid.
 
-    Without `reach` the nearest cells that hold FIRST entries; with it all further cells that may
-    hold something nearer than the query's `kth` distance.
+    The nearest cells that hold FIRST entries or, if `further`, all other cells that may hold
+    something nearer than the query's `kth` distance.
     """
-    mean, std = model.spread
-
     def run(batches):
         for batch in batches:
             first, second = model.distances(as_matrix(batch["vector"]))
             rows = []
             for n, (key, vector) in enumerate(zip(batch["key"], batch["vector"])):
                 start = walk(first[n], second[n], model.counts, lambda t: t >= FIRST, lambda s: False)
-                if reach is not None:
-                    bound = batch["kth"].iloc[n] ** 2
-                    known = set(start)
-                    start = [c for c in walk(
-                        first[n], second[n], model.counts, lambda t: False,
-                        lambda s: s + mean - 2 * reach * std * np.sqrt(s) > bound) if c not in known]
+                if further:
+                    rest = model.may_hold(np.asarray(vector, "float64"), batch["kth"].iloc[n])
+                    for cell in start:
+                        rest[cell] = False
+                    start = np.argwhere(rest).tolist()
                 by_first: dict[int, list[int]] = {}
                 for i, j in start:
                     by_first.setdefault(i, []).append(j)
@@ -208,8 +228,8 @@ def nearest(found: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, k: int = 10, is_query: Column | None = None, id_col: str = "vec_id",
-           vector_col: str = "embedding", reach: float = REACH) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query, nearest first.
+           vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of each query, nearest first.
 
     Queries are the rows where `is_query` holds (by default ids divisible by 100), candidates all
     rows but the query's own; ties go to smaller ids. Vectors that are not usable, rows without
@@ -230,12 +250,12 @@ def search(vectors: DataFrame, k: int = 10, is_query: Column | None = None, id_c
                             F.lit(0.0).alias("score")).where("false")
     queries = asked.groupBy("key").agg(F.first("vector").alias("vector"))
     n_queries = queries.count()
-    near = checkpoint(nearest(rerank(cells_of(queries, model, None), entries, model, n_queries, k),
+    near = checkpoint(nearest(rerank(cells_of(queries, model, False), entries, model, n_queries, k),
                               ["key"], k + 1))
     bounds = near.groupBy("key").agg(F.max("score").alias("kth"), F.count("*").alias("n"))
     open_end = F.when(F.col("n") > k, F.col("kth")).otherwise(F.lit(float("inf")))
     further = queries.join(bounds, "key").select("key", "vector", open_end.alias("kth"))
-    more = rerank(cells_of(further, model, reach), entries, model, n_queries, k)
+    more = rerank(cells_of(further, model, True), entries, model, n_queries, k)
     found = checkpoint(nearest(near.drop("rank").unionByName(more), ["key"], k + 1))
     pairs = asked.select(F.col("vec_id").alias("query_id"), "key").join(found.drop("rank"), "key")
     return nearest(pairs.where("query_id <> vec_id"), ["query_id"], k).select(

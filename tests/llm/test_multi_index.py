@@ -57,3 +57,23 @@ def test_walk_opens_cells_in_order():
     assert len(set(cells)) == 30 and sums == sorted(sums)
     some = mi.walk(first, second, np.ones((6, 5), int), lambda t: t >= 4, lambda s: False)
     assert some == cells[:4]
+
+
+def test_hot_cluster_larger_than_the_first_walk(spark):
+    """A third of the vectors in tight clusters, each larger than what the first walk takes."""
+    draw = np.random.default_rng(5)
+    wide = 48
+    data = np.concatenate([draw.normal(size=(8000, wide)),
+                           draw.normal(size=wide) + 0.1 * draw.normal(size=(2000, wide)),
+                           draw.normal(size=wide) + 0.4 * draw.normal(size=(2000, wide))])
+    data = data[draw.permutation(len(data))].astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in mi.search(df.repartition(4)).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    data = data.astype("float64")
+    assert set(found) == set(range(0, len(data), 100))
+    for q, got in found.items():
+        score = ((data - data[q]) ** 2).sum(1)
+        score[q] = np.inf
+        assert got == set(np.argsort(score)[:10].tolist())
