@@ -7,8 +7,10 @@ its own, partial overlaps are counted range by range and summed per pair.
 
 Only links between different sets matter, so equal sets are one class, and a group of classes
 with a common n-gram is first compared with one of its members. What that links is one component;
-only pairs of classes in different components are still compared. The result has the links of
-all pairs without listing the pairs of a large group.
+only pairs of classes in different components are still compared, which settles the components.
+All links lie inside them; how many each class has is then counted from exact overlaps of all
+pairs of a component, in blocks of bounded size, and only the numbers leave a block: the pairs of
+a large group are never listed.
 
 The order comes from counts of all n-grams in `BUCKETS` hash buckets. It decides what is compared
 first, never the result. N-grams of buckets far above the mean are frequent and come last. Sets
@@ -43,6 +45,8 @@ BLOCKS = 256
 FRAGMENTS = 4
 # Rows of one n-gram that stay together; more frequent ones are split.
 GROUP = 1024
+# Classes and n-grams in a block of a component when its links are counted.
+MEMBERS, HELD = 2048, 1 << 21
 # Rows above four times the mean from which a bucket's n-grams count as frequent.
 FREQUENT = 16
 # Bits of the map that tells which documents to read again; a full map costs time only.
@@ -326,12 +330,122 @@ def similar(pairs: DataFrame, rows: DataFrame, classes: DataFrame, order: Order)
                          ).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common n-grams of all sets of x with all sets of y."""
+    both = np.zeros((len(x), len(y)), "int64")
+    names, place = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    cut = sum(map(len, x))
+    own = [np.repeat(np.arange(len(sets)), [len(s) for s in sets]) for sets in (x, y)]
+    at = [place[:cut], place[cut:]]
+    fx, fy = (np.bincount(a, minlength=len(names)) for a in at)
+    # Of a frequent n-gram the product of its columns is cheaper than its pairs.
+    dense = (fx * fy) * 200 > both.size
+    step = max(1, (1 << 22) // (len(x) + len(y)))
+    columns = np.flatnonzero(dense)
+    number = np.full(len(names), -1)
+    number[columns] = np.arange(len(columns))
+    wide = [(number[a][dense[a]], o[dense[a]]) for a, o in zip(at, own)]
+    wide = [(n[order], o[order]) for n, o in wide for order in [np.argsort(n, kind="stable")]]
+    for low in range(0, len(columns), step):
+        sides = []
+        for (n, o), size in zip(wide, both.shape):
+            start, end = np.searchsorted(n, (low, low + step))
+            side = np.zeros((size, min(step, len(columns) - low)), "float32")
+            side[o[start:end], n[start:end] - low] = 1
+            sides.append(side)
+        both += (sides[0] @ sides[1].T).astype("int64")
+    rare = ~dense & (fx > 0) & (fy > 0)
+    keep = [rare[a] for a in at]
+    order = np.argsort(at[1][keep[1]], kind="stable")
+    y_place, y_own = at[1][keep[1]][order], own[1][keep[1]][order]
+    x_place, x_own = at[0][keep[0]], own[0][keep[0]]
+    start, many = np.searchsorted(y_place, x_place), fy[x_place]
+    ends = np.cumsum(many)
+    low = 0
+    while low < len(many):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + (1 << 22), side="right")))
+        own_many = many[low:high]
+        inside = np.arange(own_many.sum()) - np.repeat(ends[low:high] - own_many - done, own_many)
+        cell = np.repeat(x_own[low:high], own_many) * len(y) + y_own[np.repeat(start[low:high], own_many) + inside]
+        both += np.bincount(cell, minlength=both.size).reshape(both.shape)
+        low = high
+    return both
+
+
+def count_links(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, n_links) of the classes (node, class_id, n, component) in components: exact numbers
+    of links, from all pairs of each component.
+
+    A component is cut into blocks by a hash of the class, and every pair of blocks is a group of
+    its own; small components share groups.
+    """
+    sizes = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
+    # Components of two classes are one link.
+    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("grams") / HELD)))
+    placed = checkpoint(members.join(sizes.drop("grams"), "component"))
+    large = placed.where("members > 2")
+    held = large.where("blocks = 1").agg(F.sum("n")).first()[0] or 0
+    groups = -(-held * 4 // HELD) or 1
+    needed = large.select(F.col("class_id").alias("doc_id"))
+    known = Bits(needed.select(F.xxhash64("doc_id").alias("name")), "name", MAP_BITS)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for batch in batches:
+            found = []
+            for text in batch["text"][known.has(batch["name"].to_numpy())]:
+                grams = ngram_set(text)
+                node = set_key(grams)
+                if len(grams) and node not in seen:
+                    seen.add(node)
+                    found.append((node, grams.view("int64")))
+            if found:
+                yield pd.DataFrame(found, columns=["node", "ngrams"])
+
+    sets = rows.where("doc_id is not null").select("text", F.xxhash64("doc_id").alias("name")).mapInPandas(
+        read, "node long, ngrams array<long>")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    single = F.col("blocks") == 1
+    spread = (large.select("node", "component", "blocks", block.alias("block")).join(sets, "node")
+              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+              .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+              .withColumn("unit", F.when(single, F.pmod(F.xxhash64("component"), F.lit(groups).cast("long")))
+                          .otherwise(F.col("component")))
+              .select(single.alias("single"), "unit", "lo", "hi", "component", "block", "node", "ngrams"))
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        # A set that two tasks have read is there twice.
+        for _, own in group.drop_duplicates("node").groupby("component"):
+            first = own["block"] == own["lo"]
+            x, y = own[first], own[own["block"] == own["hi"]]
+            if not len(x) or not len(y):
+                continue
+            sides = [[np.asarray(g).view("uint64") for g in side["ngrams"]] for side in (x, y)]
+            n_x, n_y = (np.array([len(g) for g in side], "int64") for side in sides)
+            both = overlaps(*sides)
+            linked = both * DENOMINATOR >= NUMERATOR * (n_x[:, None] + n_y - both)
+            if own["lo"].iloc[0] == own["hi"].iloc[0]:
+                np.fill_diagonal(linked, False)
+            else:
+                out.append(pd.DataFrame({"node": y["node"], "n_links": linked.sum(0)}))
+            out.append(pd.DataFrame({"node": x["node"], "n_links": linked.sum(1)}))
+        return pd.concat(out) if out else pd.DataFrame({"node": [], "n_links": []}, dtype="int64")
+
+    counts = (spread.groupBy("single", "unit", "lo", "hi").applyInPandas(count, "node long, n_links long")
+              .groupBy("node").agg(F.sum("n_links").alias("n_links")))
+    return checkpoint(counts.union(
+        placed.where("members = 2").select("node", F.lit(1).cast("long").alias("n_links"))))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    with_links: bool = True) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id, n_links.
 
     component_id is the smallest doc_id reachable by links, class_id the smallest doc_id with an
-    equal set, n_links the number of verified links of the class to other classes (pairs within
-    one component may be left uncompared). Null and empty texts have an empty set and link with
+    equal set, n_links the number of links of the class to all other classes (left out without
+    `with_links`, as it takes one more pass). Null and empty texts have an empty set and link with
     nothing. A document without an id is counted but gets no component through others. Repeated
     rows are equal sets. Other columns are not read; an empty table gives no rows.
     """
@@ -379,23 +493,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = checkpoint(similar(rest, rows, classes, order))
     every = links.union(more)
     final = components(every)
-    ends = every.select(F.col("a").alias("node")).union(every.select(F.col("b").alias("node")))
-    counts = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = (classes.select("node", "class_id").join(final.withColumnRenamed("id", "node"), "node", "left")
-              .join(counts, "node", "left")
+    final = final.withColumnRenamed("id", "node")
+    placed = (classes.select("node", "class_id").join(final, "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     smallest = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    by_node = placed.join(smallest, "component").select("node", "class_id", "component_id", "n_links")
+    by_node = placed.join(smallest, "component").select("node", "class_id", "component_id")
+    n_links = []
+    if with_links:
+        by_node = by_node.join(count_links(classes.join(final, "node"), rows), "node", "left")
+        n_links = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     return keys.join(by_node, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), *n_links)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the smallest doc_id, with all its columns; documents
     without an id stay."""
-    gone = (near_duplicates(docs, id_col, text_col).where("doc_id <> component_id")
+    gone = (near_duplicates(docs, id_col, text_col, with_links=False).where("doc_id <> component_id")
             .select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -111,6 +111,32 @@ def test_large_group_of_near_copies(spark, monkeypatch, frequent):
     assert out == {i: c for i, (_, c) in brute(rows).items()}
 
 
+@pytest.mark.parametrize("members", [2048, 25])
+def test_number_of_links(spark, monkeypatch, members):
+    """All links between different sets count, also inside a group, in one block or several."""
+    monkeypatch.setattr(nj, "MEMBERS", members)
+    copies = []
+    for n in range(70):
+        copy = [f"b{i}" for i in range(200)]
+        copy[(7 * n) % 200] = f"x{n}"
+        copies.append(" ".join(copy))
+    rows = list(enumerate([t for _, t in corpus(4)] + copies + copies[:3]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {i: shingles(t) for i, t in rows}
+    classes = set(sets.values()) - {frozenset()}
+    wanted = {c: sum(a != c and 100 * len(a & c) >= 80 * len(a | c) for a in classes) for c in classes}
+    out = nj.near_duplicates(df).collect()
+    assert {r["doc_id"]: r["n_links"] for r in out} == {i: wanted.get(c, 0) for i, c in sets.items()}
+    assert [r["n_links"] for r in out if r["doc_id"] == len(rows) - 1] == [69]
+
+
+def test_overlaps():
+    draw = np.random.default_rng(2)
+    x, y = ([np.unique(draw.integers(0, 3000, n) ** 2 // 900).astype("uint64") for n in draw.integers(1, 200, size)]
+            for size in (90, 70))
+    assert (nj.overlaps(x, y) == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
+
+
 def test_edge_tables(spark):
     schema = "doc_id long, text string"
     assert nj.near_duplicates(spark.createDataFrame([], schema)).collect() == []
