@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyrogrid.llm import (bpe, exact_dedup, language_id, multi_index, ngram_join, packing, page_diff,
-                          quotation, sharding, suffix_dedup)
+from pyrogrid.llm import (bpe, exact_dedup, fill_middle, language_id, multi_index, ngram_join, packing,
+                          page_diff, quotation, sharding, suffix_dedup)
 from pyrogrid.llm.common import table
 
 
@@ -58,6 +59,13 @@ def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.transform(table(spark, sf_dir, "documents"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -69,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_page_diff": op10_page_diff,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +87,26 @@ ORACLES: dict[str, str] = {
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                doc_id = max(doc_id) over g as kept, text_sha256
         from hashed window g as (partition by text_sha256)""",
+    "op13_fill_middle": """
+        with read as (
+            select doc_id, coalesce(text, '') as body, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+        drawn as (
+            select *, regexp_extract_all(body, '[A-Za-z]+|[^A-Za-z]') as units, ('0x' || h[1:8])::ubigint as h1,
+                   ('0x' || h[9:16])::ubigint as h2, ('0x' || h[17:24])::ubigint as h3, ('0x' || h[25:32])::ubigint as h4
+            from read),
+        cut as (
+            select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1))::bigint as low,
+                   greatest(h1 % (len(units) + 1), h2 % (len(units) + 1))::bigint as high,
+                   case when body = '' or contains(body, '<P>') or contains(body, '<S>') or contains(body, '<M>')
+                             or h3 % 100 >= 90 then 'plain'
+                        when h4 % 100 < 20 then 'spm' else 'psm' end as form from drawn),
+        parts as (
+            select *, array_to_string(units[1:low], '') as p, array_to_string(units[low + 1:high], '') as m,
+                   array_to_string(units[high + 1:], '') as s from cut)
+        select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars,
+               case when form <> 'plain' then length(m) end as middle_chars,
+               sha256(case form when 'plain' then body when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m
+                      else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
+               sha256(body) as restored_sha256
+        from parts""",
 }
