@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyrogrid.llm import (bpe, exact_dedup, fill_middle, language_id, multi_index, ngram_join, packing,
-                          page_diff, quotation, sharding, suffix_dedup)
+from pyrogrid.llm import (bpe, exact_dedup, fill_middle, hard_negatives, language_id, multi_index,
+                          ngram_join, packing, page_diff, quality_votes, quotation, sharding,
+                          suffix_dedup)
 from pyrogrid.llm.common import table
 
 
@@ -59,6 +60,16 @@ def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
+
+
+def op12_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_votes.judge(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_middle.transform(table(spark, sf_dir, "documents"))
     again = fill_middle.restored(F.col("output"), F.col("form"))
@@ -77,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_page_diff": op10_page_diff,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality_votes": op12_quality_votes,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -87,6 +100,26 @@ ORACLES: dict[str, str] = {
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                doc_id = max(doc_id) over g as kept, text_sha256
         from hashed window g as (partition by text_sha256)""",
+    "op11_hard_negatives": """
+        with held as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as vec
+            from embeddings
+            where label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+                   list_sum(list_transform(range(1, len(a.vec) + 1), lambda n: a.vec[n] * b.vec[n]))::bigint as score
+            from held a join held b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+        positives as (
+            select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+        select anchor_id, positive_id,
+               row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+               vec_id as negative_id, positive_score, score as negative_score
+        from positives join scored using (anchor_id)
+        where not same and 80 * positive_score <= 100 * score and score <= positive_score
+        qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 5""",
     "op13_fill_middle": """
         with read as (
             select doc_id, coalesce(text, '') as body, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
