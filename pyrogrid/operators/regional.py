@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.temperature import to_celsius
-from .tiles import TILE, attach, div, frame_keys, tiled
+from . import rectangles
+from .tiles import TILE, attach, frame_keys
 
 ZONES = ("fore", "mid", "heel")
 
@@ -129,27 +130,16 @@ def largest_zone_delta(zone_table: DataFrame) -> DataFrame:
 
 
 def roi_stats(pixels: DataFrame, rois: DataFrame, source: str = "v",
-              tile: int = TILE) -> DataFrame:
+              tile: int = rectangles.TILE) -> DataFrame:
     """Min, max, mean and spread of rectangles given by two corners, half open.
 
-    A rectangle is matched only to the tiles it covers, so this is an equi join on tiles
-    followed by an exact test. Rectangles thinner than two pixels are ignored.
+    Every tile that a rectangle touches answers in constant time from its summed-area table.
+    Rectangles thinner than two pixels are ignored.
     """
     box = rois.select("roi_id", "frame_id",
                       F.least("x1", "x2").alias("x1"), F.greatest("x1", "x2").alias("x2"),
                       F.least("y1", "y2").alias("y1"), F.greatest("y1", "y2").alias("y2"))
-    box = box.where("x2 - x1 >= 2 and y2 - y1 >= 2 and x2 > 0 and y2 > 0")
-
-    def cover(lo, hi):
-        return F.explode(F.sequence(div(F.greatest(F.col(lo), F.lit(0)), tile),
-                                    div(F.col(hi) - 1, tile)))
-    box = box.withColumn("ty", cover("y1", "y2")).withColumn("tx", cover("x1", "x2"))
-    hit = (tiled(pixels, tile).join(box, ["frame_id", "ty", "tx"])
-           .where("x >= x1 and x < x2 and y >= y1 and y < y2"))
-    v = F.col(source).cast("long")
-    sums = hit.groupBy("roi_id", "frame_id").agg(
-        F.count("*").alias("px"), F.min(source).alias("min_v"), F.max(source).alias("max_v"),
-        F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
+    sums = rectangles.rectangle_sums(pixels, box.where("x2 - x1 >= 2 and y2 - y1 >= 2"), source, tile)
     mean = _mean("s", "px")
     return sums.select("roi_id", "frame_id", "px", "min_v", "max_v", mean.alias("mean_v"),
                        F.sqrt(F.greatest(_mean("ss", "px") - mean * mean, F.lit(0.0)))
