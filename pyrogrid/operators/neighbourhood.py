@@ -1,132 +1,124 @@
-"""Smoothing and grey morphology as sliding windows.
+"""Smoothing and grey morphology, tile by tile.
+
+A tile and a halo around it become one array; each operator is a few passes over it, in constant
+work per pixel whatever the kernel. A kernel size is a number or a column (the same for all pixels
+of a frame), so frames of different formats take one plan together. Only coordinates, value and
+kernel pass through Python; all other columns stay where they are.
 
-A square element is separable: one window along the rows, one along the columns.
 Windows are clipped at the frame edge. Frames must be dense (every pixel present).
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window, functions as F
-
-from .tiles import TILE, frame_keys, own_pixels, with_halo
-
-
-def _line(df: DataFrame, axis: str):
-    across = "y" if axis == "x" else "x"
-    return Window.partitionBy(*frame_keys(df), "ty", "tx", across).orderBy(axis)
-
-
-def _slide(df, agg, source, axis, radius, out="_s"):
-    return df.withColumn(out, agg(source).over(_line(df, axis).rowsBetween(-radius, radius)))
-
-
-def _within_tiles(pixels, reach, tile, steps, out):
-    done = steps(with_halo(pixels, reach, tile))
-    return own_pixels(done, tile).select(*pixels.columns, *[
-        c for c in ("ty", "tx", *out) if c not in pixels.columns])
-
-
-def _blur(df, source="v", out="blur"):
-    s = _slide(_slide(df, F.sum, source, "x", 1), F.sum, "_s", "y", 1)
-    edge = ((F.col("y") == 0) | (F.col("x") == 0)
-            | (F.col("y") == F.col("height") - 1) | (F.col("x") == F.col("width") - 1))
-    return s.withColumn(out, F.when(edge, F.col(source))
-                        .otherwise(F.floor(F.col("_s") / 9)).cast("int")).drop("_s")
-
-
-def _open(df, k, source, out):
-    r = k // 2
-    df = _slide(df, F.min, source, "x", r)
-    df = _slide(df, F.min, "_s", "y", r)
-    df = _slide(df, F.max, "_s", "y", r)
-    return _slide(df, F.max, "_s", "x", r, out)
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from . import sliding
+from .tiles import own_pixels, with_halo
+
+TILE = 256
+_HALO = "_k"
+
+
+def _by_tile(pixels: DataFrame, k: int | str | Column, halo: Column, tile: int, source: str,
+             steps, out: dict[str, str]) -> DataFrame:
+    """The pixels with new columns (name -> type) from steps(array, kernel, frame edge).
+
+    ``halo`` is how far a pixel's results see, as an expression of the kernel ``_k``.
+    """
+    kernel = F.lit(k) if isinstance(k, int) else F.col(k) if isinstance(k, str) else k
+    rows = pixels.drop("ty", "tx", *out)
+    keys = [c for c in ("frame_id", "run_id") if c in rows.columns]
+    rest = [c for c in rows.columns if c not in keys]
+    near = with_halo(rows.withColumn(_HALO, kernel.cast("int")), halo, tile)
+    unit = [*keys, "ty", "tx"]
+    # One row per tile with its halo: the size is bounded by both.
+    cells = near.groupBy(*unit).agg(
+        F.collect_list(F.struct(*rest)).alias("cells"), F.max(_HALO).alias(_HALO),
+        F.max("height").alias("h"), F.max("width").alias("w"))
+
+    @F.pandas_udf("struct<" + ",".join(f"{name}:array<{kind}>" for name, kind in out.items()) + ">")
+    def run(ys: pd.Series, xs: pd.Series, vs: pd.Series, ks: pd.Series, heights: pd.Series,
+            widths: pd.Series) -> pd.DataFrame:
+        found = []
+        for y, x, v, size, height, width in zip(ys, xs, vs, ks, heights, widths):
+            top, left = int(y.min()), int(x.min())
+            values = np.zeros((int(y.max()) - top + 1, int(x.max()) - left + 1), v.dtype)
+            values[y - top, x - left] = v
+            edge = np.zeros(values.shape, bool)
+            for line, last, axis in ((top, height - 1, 0), (left, width - 1, 1)):
+                at = np.arange(values.shape[axis]) + line
+                ends = (at == 0) | (at == last)
+                edge |= ends[:, None] if axis == 0 else ends
+            found.append([np.ascontiguousarray(a[y - top, x - left]) for a in steps(values, int(size), edge)])
+        return pd.DataFrame({name: [f[n] for f in found] for n, name in enumerate(out)})
+
+    done = cells.withColumn("new", run("cells.y", "cells.x", f"cells.{source}", _HALO, "h", "w"))
+    zipped = F.explode(F.arrays_zip("cells", *[F.col(f"new.{name}").alias(name) for name in out]))
+    flat = done.select(*unit, zipped.alias("p")).select(
+        *unit, *[F.col(f"p.cells.{c}").alias(c) for c in rest], *[F.col(f"p.{name}").alias(name) for name in out])
+    return own_pixels(flat, tile).select(*rows.columns, *out)
+
+
+def _kind(pixels: DataFrame, source: str) -> str:
+    return pixels.schema[source].dataType.simpleString()
+
+
+def _radius(times: int = 1, more: int = 0) -> Column:
+    return F.floor(F.col(_HALO) / 2).cast("int") * times + more
 
 
 def box_blur(pixels: DataFrame, tile: int = TILE, out: str = "blur") -> DataFrame:
     """3x3 mean, truncated; edge pixels are copied."""
-    return _within_tiles(pixels, 1, tile, lambda d: _blur(d, "v", out), [out])
-
-
-def dilate(pixels: DataFrame, k: int, source: str = "v", out: str = "dilated",
-           tile: int = TILE) -> DataFrame:
-    r = k // 2
-    return _within_tiles(pixels, r, tile, lambda d: _slide(
-        _slide(d, F.max, source, "x", r), F.max, "_s", "y", r, out), [out])
+    return _by_tile(pixels, 3, _radius(), tile, "v", lambda v, k, edge: [sliding.blurred(v, edge)], {out: "int"})
 
 
-def erode(pixels: DataFrame, k: int, source: str = "v", out: str = "eroded",
-          tile: int = TILE) -> DataFrame:
-    r = k // 2
-    return _within_tiles(pixels, r, tile, lambda d: _slide(
-        _slide(d, F.min, source, "x", r), F.min, "_s", "y", r, out), [out])
+def dilate(pixels: DataFrame, k, source: str = "v", out: str = "dilated", tile: int = TILE) -> DataFrame:
+    return _by_tile(pixels, k, _radius(), tile, source,
+                    lambda v, k, edge: [sliding.square(v, k // 2, np.maximum)], {out: _kind(pixels, source)})
 
 
-def opening(pixels: DataFrame, k: int, source: str = "v", out: str = "opened",
-            tile: int = TILE) -> DataFrame:
-    return _within_tiles(pixels, 2 * (k // 2), tile,
-                         lambda d: _open(d, k, source, out), [out])
+def erode(pixels: DataFrame, k, source: str = "v", out: str = "eroded", tile: int = TILE) -> DataFrame:
+    return _by_tile(pixels, k, _radius(), tile, source,
+                    lambda v, k, edge: [sliding.square(v, k // 2, np.minimum)], {out: _kind(pixels, source)})
 
 
-def closing(pixels: DataFrame, k: int, source: str = "v", out: str = "closed",
-            tile: int = TILE) -> DataFrame:
-    r = k // 2
+def opening(pixels: DataFrame, k, source: str = "v", out: str = "opened", tile: int = TILE) -> DataFrame:
+    return _by_tile(pixels, k, _radius(2), tile, source,
+                    lambda v, k, edge: [sliding.opened(v, k // 2)], {out: _kind(pixels, source)})
 
-    def steps(df):
-        df = _slide(df, F.max, source, "x", r)
-        df = _slide(df, F.max, "_s", "y", r)
-        df = _slide(df, F.min, "_s", "y", r)
-        return _slide(df, F.min, "_s", "x", r, out)
-    return _within_tiles(pixels, 2 * r, tile, steps, [out])
 
+def closing(pixels: DataFrame, k, source: str = "v", out: str = "closed", tile: int = TILE) -> DataFrame:
+    return _by_tile(pixels, k, _radius(2), tile, source,
+                    lambda v, k, edge: [sliding.closed(v, k // 2)], {out: _kind(pixels, source)})
 
-def _bright(df, source, opened, out):
-    return df.withColumn(out, F.greatest(F.col(source) - F.col(opened), F.lit(0)))
 
-
-def top_hat(pixels: DataFrame, k: int, source: str = "v", out: str = "tophat",
-            tile: int = TILE) -> DataFrame:
+def top_hat(pixels: DataFrame, k, source: str = "v", out: str = "tophat", tile: int = TILE) -> DataFrame:
     """What an opening removes, never negative."""
-    return _within_tiles(pixels, 2 * (k // 2), tile, lambda d: _bright(
-        _open(d, k, source, "_o"), source, "_o", out), [out])
+    return _by_tile(pixels, k, _radius(2), tile, source, lambda v, k, edge: [
+        np.maximum(v - sliding.opened(v, k // 2), 0)], {out: _kind(pixels, source)})
 
 
-def blur_and_top_hat(pixels: DataFrame, k: int, tile: int = TILE) -> DataFrame:
+def blur_and_top_hat(pixels: DataFrame, k, tile: int = TILE) -> DataFrame:
     """Both steps under one halo, hence one shuffle."""
-    return _within_tiles(pixels, 1 + 2 * (k // 2), tile, lambda d: _bright(
-        _open(_blur(d), k, "blur", "_o"), "blur", "_o", "tophat"), ["blur", "tophat"])
+    def steps(v, k, edge):
+        smooth = sliding.blurred(v, edge)
+        return [smooth, np.maximum(smooth - sliding.opened(smooth, k // 2), 0)]
+    return _by_tile(pixels, k, _radius(2, 1), tile, "v", steps, {"blur": "int", "tophat": "int"})
 
 
-def masked_top_hat(pixels: DataFrame, k: int, mask: str = "mask", source: str = "v",
+def masked_top_hat(pixels: DataFrame, k, mask: str = "mask", source: str = "v",
                    out: str = "diff", tile: int = TILE) -> DataFrame:
     """Top-hat over the whole frame, then cleared outside the mask."""
     hat = top_hat(pixels, k, source, "_hat", tile)
     return hat.withColumn(out, F.when(F.col(mask), F.col("_hat")).otherwise(0)).drop("_hat")
 
 
-def ellipse_chords(k: int) -> dict[int, int]:
-    """Half width of an elliptic k x k element for each row offset."""
-    r = k // 2
-    return {dy: round(r * math.sqrt((r * r - dy * dy) / (r * r))) if r else 0
-            for dy in range(-r, r + 1)}
-
-
-def _ellipse(df, k, agg, pick, source, out):
-    chords = ellipse_chords(k)
-    rows = {c: f"_row{c}" for c in set(chords.values())}
-    for c, name in rows.items():
-        df = _slide(df, agg, source, "x", c, name)
-    column = _line(df, "y")
-    parts = [F.lag(rows[c], -dy).over(column) for dy, c in chords.items()]
-    return df.withColumn(out, pick(*parts) if len(parts) > 1 else parts[0]).drop(*rows.values())
-
-
-def top_hat_ellipse(pixels: DataFrame, k: int, source: str = "v", out: str = "tophat",
+def top_hat_ellipse(pixels: DataFrame, k, source: str = "v", out: str = "tophat",
                     tile: int = TILE) -> DataFrame:
-    """Top-hat with an elliptic element: one row window per distinct chord."""
-    def steps(df):
-        df = _ellipse(df, k, F.min, F.least, source, "_e")
-        df = _ellipse(df, k, F.max, F.greatest, "_e", "_o")
-        return _bright(df, source, "_o", out)
-    return _within_tiles(pixels, 2 * (k // 2), tile, steps, [out])
+    """Top-hat with an elliptic element."""
+    def steps(v, k, edge):
+        eroded = sliding.ellipse(v, k, np.minimum)
+        return [np.maximum(v - sliding.ellipse(eroded, k, np.maximum), 0)]
+    return _by_tile(pixels, k, _radius(2), tile, source, steps, {out: _kind(pixels, source)})

@@ -1,8 +1,9 @@
 """Whole detection steps on packed frames: one row per image, no pixel-level shuffle.
 
 Spark spreads the rows; one pass over a stack of frames does everything that needs only
-the frame itself: smoothing, top-hat, levels, distance, body, thresholds, outliers and
-their components. Only per-frame values and sparse outlier pixels leave it.
+the frame itself: smoothing, top-hat, levels, distance, body, thresholds, outliers, their
+components and the measures of these. Only values per frame and per component leave it; outlier
+pixels have a pass of their own, for those who ask for them.
 """
 
 from __future__ import annotations
@@ -64,10 +65,9 @@ def _flat(stack: np.ndarray) -> list:
 
 def _counts(stack: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
     """Pixels per grey value of each frame, inside the mask if given."""
-    frame = np.repeat(np.arange(len(stack)), stack[0].size)
-    code = frame * 256 + stack.ravel()
-    if mask is not None:
-        code = code[mask.ravel()]
+    # Values of one frame after those of another, in the smallest type that tells them apart.
+    code = stack.astype(np.int32) + np.arange(0, 256 * len(stack), 256, dtype=np.int32)[:, None, None]
+    code = code.ravel() if mask is None else code[mask]
     return np.bincount(code, minlength=256 * len(stack)).reshape(-1, 256)
 
 
@@ -129,8 +129,9 @@ def bodies(px: np.ndarray, p: Params, smooth: bool = True) -> dict:
             "max_dist3": deepest, "mask": mask, "diff": np.where(mask, hat, 0)}
 
 
-def spots(px: np.ndarray, stage: dict, level: np.ndarray, base: np.ndarray) -> dict:
-    """Outlier pixels of a stack with their component and whether they lie on its edge."""
+def spots(px: np.ndarray, stage: dict, level: np.ndarray, base: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Outlier pixels of a stack with their component and whether they lie on its edge; and for
+    each pixel the place of its component's first one."""
     n, h, w = px.shape
     found = (stage["diff"] > level[:, None, None]) & (stage["blur"] > base[:, None, None])
     at, y, x = np.nonzero(found)
@@ -141,11 +142,35 @@ def spots(px: np.ndarray, stage: dict, level: np.ndarray, base: np.ndarray) -> d
              & ringed[at, y + 1, x] & ringed[at, y + 1, x + 2])
     return {"at": at, "y": y, "x": x, "v": px[at, y, x], "blur": stage["blur"][at, y, x],
             "dist3": stage["dist3"][at, y, x], "diff": stage["diff"][at, y, x],
-            "comp_id": y[label].astype(np.int64) * w + x[label], "boundary": ~inner}
+            "comp_id": y[label].astype(np.int64) * w + x[label], "boundary": ~inner}, label
+
+
+def components_of(pixels: dict, label: np.ndarray, height: int, width: int, margin: int) -> dict:
+    """Measures of the components of a stack's outlier pixels, ``at`` included."""
+    first, inverse = np.unique(label, return_inverse=True)
+    size = len(first)
+    y, x, v, dist3 = (pixels[c].astype(np.int64) for c in ("y", "x", "v", "dist3"))
+    edge = np.minimum(np.minimum(x, width - 1 - x), np.minimum(y, height - 1 - y))
+
+    def total(values):
+        # Exact, as sums stay far below 2^53.
+        return np.bincount(inverse, values, size).astype(np.int64)
+
+    def extreme(pick, values):
+        out = values[first].copy()
+        pick.at(out, inverse, values)
+        return out
+    return {"at": pixels["at"][first], "comp_id": pixels["comp_id"][first], "area": np.bincount(inverse, minlength=size),
+            "perimeter": total(pixels["boundary"]), "touches_border": extreme(np.minimum, edge) <= margin,
+            "deepest": extreme(np.maximum, dist3), "s_y": total(y), "s_x": total(x), "s_v": total(v),
+            "max_v": extreme(np.maximum, v), "x0": extreme(np.minimum, x), "y0": extreme(np.minimum, y),
+            "x1": extreme(np.maximum, x), "y1": extreme(np.maximum, y)}
 
 
 MEASURES = ("otsu int, body_threshold int, max_dist3 int, body_px long, centre double, "
             "sigma double, baseline double, mad_is_zero boolean, diff_threshold double")
+REGIONS = ("comp_id long, area long, perimeter long, touches_border boolean, deepest int, s_y long, s_x long, "
+           "s_v long, max_v int, x0 int, y0 int, x1 int, y1 int")
 SPOTS = "y int, x int, v int, blur int, dist3 int, diff int, comp_id long, boundary boolean"
 
 
@@ -153,30 +178,47 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
+def _runs_over(rows: pd.DataFrame, px: np.ndarray, runs: list[Params]):
+    """(run number, run, frame columns, image stages, thresholds, outlier pixels, their labels)."""
+    stage = bodies(px, runs[0])
+    diff, img = _counts(stage["tophat"], stage["mask"]), _counts(stage["blur"], stage["mask"])
+    ids = rows[["frame_id", "height", "width"]].reset_index(drop=True)
+    for number, p in enumerate(runs):
+        cuts = pd.DataFrame([frame_threshold(d, i, p) for d, i in zip(diff, img)],
+                            columns=_names(MEASURES)[3:])
+        known = cuts["body_px"].notna().to_numpy()
+        level, base = (np.where(known, cuts[c].astype(float), np.inf)
+                       for c in ("diff_threshold", "baseline"))
+        yield number, p, ids, stage, cuts, *spots(px, stage, level, base)
+
+
 def detected(frames: DataFrame, runs: list[Params]) -> DataFrame:
     """Rows (frame_id, height, width, run) of two kinds, for runs with the same image stages:
-    one per frame and run with its measures, and one per outlier pixel (``y`` is set)."""
+    one per frame and run with its measures, and one per component (``comp_id`` is set)."""
     def run(batches):
         for rows, px in _same_size(batches):
-            stage = bodies(px, runs[0])
-            diff, img = _counts(stage["tophat"], stage["mask"]), _counts(stage["blur"], stage["mask"])
-            ids = rows[["frame_id", "height", "width"]].reset_index(drop=True)
-            for number, p in enumerate(runs):
-                cuts = pd.DataFrame([frame_threshold(d, i, p) for d, i in zip(diff, img)],
-                                    columns=_names(MEASURES)[3:])
-                known = cuts["body_px"].notna().to_numpy()
+            for number, p, ids, stage, cuts, pixels, label in _runs_over(rows, px, runs):
                 yield pd.concat([ids.assign(run=number, otsu=stage["otsu"],
                                             body_threshold=stage["body_threshold"],
                                             max_dist3=stage["max_dist3"]), cuts,
-                                 pd.DataFrame(None, ids.index, _names(SPOTS))], axis=1)
-                level, base = (np.where(known, cuts[c].astype(float), np.inf)
-                               for c in ("diff_threshold", "baseline"))
-                pixels = spots(px, stage, level, base)
-                at = pixels.pop("at")
+                                 pd.DataFrame(None, ids.index, _names(REGIONS))], axis=1)
+                found = components_of(pixels, label, *px.shape[1:], p.border_margin)
+                at = found.pop("at")
                 yield ids.iloc[at].reset_index(drop=True).assign(
-                    run=number, **dict.fromkeys(_names(MEASURES)), **pixels)
+                    run=number, **dict.fromkeys(_names(MEASURES)), **found)
+    source = frames.select("frame_id", "height", "width", F.col("px").cast("array<short>"))
+    return source.mapInPandas(run, f"{_fields(source.drop('px'))}, run int, {MEASURES}, {REGIONS}")
+
+
+def outlier_pixels(frames: DataFrame, runs: list[Params]) -> DataFrame:
+    """Rows (frame_id, height, width, run) with an outlier pixel and its component each."""
+    def run(batches):
+        for rows, px in _same_size(batches):
+            for number, _, ids, _, _, pixels, _ in _runs_over(rows, px, runs):
+                at = pixels.pop("at")
+                yield ids.iloc[at].reset_index(drop=True).assign(run=number, **pixels)
     source = frames.select("frame_id", "height", "width", F.col("px").cast("array<short>"))
-    return source.mapInPandas(run, f"{_fields(source.drop('px'))}, run int, {MEASURES}, {SPOTS}")
+    return source.mapInPandas(run, f"{_fields(source.drop('px'))}, run int, {SPOTS}")
 
 
 def staged(frames: DataFrame, p: Params) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..params import Params
 from .components import components, with_boundary
+from .ranking import places
 from .tiles import TILE, div, frame_keys, tiled
 
 
@@ -28,20 +29,23 @@ def measure(labelled: DataFrame, border_margin: int = 10, depth: str = "dist3",
 
     def total(c):
         return F.sum(F.col(c).cast("long"))
-    return (labelled.groupBy(*keys, "comp_id").agg(
+    return with_shape(labelled.groupBy(*keys, "comp_id").agg(
         F.count("*").alias("area"), F.count_if("boundary").alias("perimeter"),
         F.bool_or(touches).alias("touches_border"), F.max(depth).alias("max_dist3"),
         total("y").alias("s_y"), total("x").alias("s_x"), total(value).alias("s_v"),
         F.max(value).alias("max_v"),
         F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"),
-        F.max("y").alias("y1"), F.max("height").alias("height"), F.max("width").alias("width"))
-        .withColumns({
-            "centroid_y": F.col("s_y").cast("double") / F.col("area"),
-            "centroid_x": F.col("s_x").cast("double") / F.col("area"),
-            "mean_v": F.col("s_v").cast("double") / F.col("area"),
-            "circularity": F.lit(4.0 * math.pi) * F.col("area")
-            / (F.col("perimeter") * F.col("perimeter"))})
-        .drop("s_y", "s_x", "s_v"))
+        F.max("y").alias("y1"), F.max("height").alias("height"), F.max("width").alias("width")))
+
+
+def with_shape(regions: DataFrame) -> DataFrame:
+    """Centre, mean and circularity from the sums of a region."""
+    def mean(total):
+        return F.col(total).cast("double") / F.col("area")
+    return regions.withColumns({
+        "centroid_y": mean("s_y"), "centroid_x": mean("s_x"), "mean_v": mean("s_v"),
+        "circularity": F.lit(4.0 * math.pi) * F.col("area") / (F.col("perimeter") * F.col("perimeter"))
+    }).drop("s_y", "s_x", "s_v")
 
 
 def reject_reasons(regions: DataFrame, variant: str = "native") -> DataFrame:
@@ -119,29 +123,17 @@ def fill_holes(kept: DataFrame, regions: DataFrame, tile: int = TILE) -> DataFra
     return kept.select(*region, "y", "x").unionByName(inner)
 
 
-def hotspot_table(regions: DataFrame, tile: int = TILE) -> DataFrame:
-    """Components ranked by area, ties by first pixel.
-
-    The rank is the position inside (area, band of the frame) plus the number of regions
-    in earlier groups, so no task sorts all regions of one frame.
-    """
+def hotspot_table(regions: DataFrame) -> DataFrame:
+    """Components ranked by area, ties by first pixel; a frame with any number of regions is ranked
+    by many tasks."""
     keys = frame_keys(regions)
-    banded = regions.withColumn("band", div("y0", tile))
-    counts = banded.groupBy(*keys, "area", "band").agg(F.count("*").alias("c"))
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("area"), "band") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*keys, "area", "band",
-                           F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("before"))
-    inside = Window.partitionBy(*keys, "area", "band").orderBy("comp_id")
-    return (banded.withColumn("nth", F.row_number().over(inside))
-            .join(before, [*keys, "area", "band"])
-            .select(*keys, (F.col("before") + F.col("nth")).cast("int").alias("rank"), "comp_id",
-                    "area", "mean_v", "max_v",
-                    F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"),
-                             (F.col("x1") - F.col("x0") + 1).alias("w"),
-                             (F.col("y1") - F.col("y0") + 1).alias("h")).alias("bbox"),
-                    "centroid_y", "centroid_x", severity(F.col("area"), F.col("mean_v"))
-                    .alias("severity")))
+    ranked = places(regions.withColumn("_largest", -F.col("area")), keys, ["_largest", "comp_id"], "rank")
+    return ranked.select(
+        *keys, F.col("rank").cast("int").alias("rank"), "comp_id", "area", "mean_v", "max_v",
+        F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"),
+                 (F.col("x1") - F.col("x0") + 1).alias("w"),
+                 (F.col("y1") - F.col("y0") + 1).alias("h")).alias("bbox"),
+        "centroid_y", "centroid_x", severity(F.col("area"), F.col("mean_v")).alias("severity"))
 
 
 def severity(area, mean_v):

@@ -13,13 +13,14 @@ from ..operators import (
 from ..operators.tiles import attach
 from ..params import Params, settings_over_defaults
 from ..sources.raster import assemble_frames, explode_frames
-from ..sources.sinks import audit_export_rows, audit_rows
-from ..staging import release_kept
+from ..sources.sinks import audit_export_rows, audit_rows, benchmark_document
+from ..staging import checkpoint, release_kept
 from . import batch, oracle as sql
 from .detect import detect_frames, detect_hotspots
 from .inputs import (
     RASTER, RASTER_NO_MARGIN, detected, embedding_frames, embedding_pixels,
     enlarged_frames, events_raster, lineitem_raster, masked, table)
+from .sweep import sweep
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -927,9 +928,33 @@ def method_comparison(spark, d):
 SWEEP = {f"k={k}": (k, False) for k in SWEEP_K}
 
 
+def sweep_params(runs):
+    return [replace(RASTER_NO_MARGIN, run_id=run, sigma_k=k, use_mad=mad) for run, (k, mad) in runs.items()]
+
+
 @query("sigma_sweep", runs_sql("events", 3, SWEEP))
 def sigma_sweep(spark, d):
-    return _run_metrics(spark, d, "events", SWEEP)
+    """All runs from one component tree per frame."""
+    px = events_raster(spark, d)
+    return sweep(px, sweep_params(SWEEP), F.col("v") >= TRUTH_LEVEL).metrics
+
+
+def _sweep_regions(name, raster, k, runs, tile):
+    shared = sql.detection(raster, k, RASTER_NO_MARGIN)[:8]
+    steps = [s for i, (sigma, mad) in enumerate(runs.values())
+             for s in run_steps(sigma, mad, f"_{i}", RASTER_NO_MARGIN)[:5]]
+
+    @query(name, sql.query(shared + steps, "\nUNION ALL ".join(
+        f"SELECT '{run}' run_id, {REGION}, reject_reason FROM judged_{i}" for i, run in enumerate(runs))))
+    def run(spark, d):
+        px = {"events": events_raster, "lineitem": lineitem_raster}[raster](spark, d)
+        return sweep(px, sweep_params(runs), tile=tile, kernel=k).regions.select(
+            "run_id", *_columns(REGION), "reject_reason")
+
+
+_sweep_regions("sweep_regions", "events", 3, SWEEP, dst.TILE)
+_sweep_regions("sweep_regions_across_tiles", "lineitem", K, {
+    "low": (0.5, False), "k=1": (1.0, False), "mad": (1.0, True), "high": (2.5, False)}, 16)
 
 
 STAGES = {"deep": replace(RASTER_NO_MARGIN, run_id="deep", dist_erosion_factor=0.4),
@@ -1123,3 +1148,28 @@ def batch_frames_nonzero(spark, d):
 def step_pixels(spark, d):
     """What the step images of a run hold."""
     return batch.step_pixels(detected(spark, d, "lineitem", RASTER_NO_MARGIN))
+
+
+@query("benchmark_document", f"""
+SELECT 'scenario_results' section, frame_id, NULL run_id, dice, iou, NULL::DOUBLE gauss_dice,
+ NULL::DOUBLE mad_dice, NULL::DOUBLE coverage_percent, NULL status FROM ({ORACLES["confusion_metrics"]}) a
+UNION ALL SELECT 'method_comparison', frame_id, NULL, NULL, NULL, gauss_dice, mad_dice, NULL, NULL
+ FROM ({ORACLES["method_comparison_wide"]}) b
+UNION ALL SELECT 'sensitivity_k', frame_id, run_id, dice, iou, NULL, NULL, NULL, NULL
+ FROM ({ORACLES["sigma_sweep"]}) c
+UNION ALL SELECT 'dataset', frame_id, NULL, NULL, NULL, NULL, NULL, coverage_percent, status
+ FROM ({ORACLES["evaluate_frames"]}) d""")
+def benchmark(spark, d):
+    """The four sections of the benchmark document, some fields of each."""
+    px = lineitem_raster(spark, d)
+    rows = checkpoint(sweep(px, sweep_params(METHODS), F.col("v") >= TRUTH_LEVEL).metrics)
+    wide = rows.groupBy("frame_id").agg(*[
+        F.max(F.when(F.col("run_id") == m, F.col(c))).alias(f"{m}_{c}") for m in METHODS for c in RATES])
+    document = benchmark_document(rows.where("run_id = 'gauss'").drop("run_id"), wide, sigma_sweep(spark, d),
+                                  evaluate_frames(spark, d))
+
+    def either(field):
+        return F.coalesce(f"scenario_results.{field}", f"sensitivity_k.{field}").alias(field)
+    return document.select(
+        "section", "frame_id", F.col("sensitivity_k.run_id").alias("run_id"), either("dice"), either("iou"),
+        "method_comparison.gauss_dice", "method_comparison.mad_dice", "dataset.coverage_percent", "dataset.status")

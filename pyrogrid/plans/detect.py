@@ -8,10 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import odd_kernel
-from ..operators import packed
+from ..operators import neighbourhood, packed
 from ..operators.distance import distance, erode_by_distance
-from ..operators.neighbourhood import blur_and_top_hat
-from ..operators.regions import filter_regions, kept_pixels, measure, region_stats
+from ..operators.regions import filter_regions, kept_pixels, region_stats, with_shape
 from ..operators.segmentation import binarise, frame_levels, normalise
 from ..operators.threshold import cut, gauss_statistics, mad_statistics, moments, outliers
 from ..operators.tiles import TILE
@@ -105,14 +104,9 @@ def _judge(staged, levels, deepest, thresholds, labelled, regions, runs, held) -
 
 
 def _with_hats(pixels: DataFrame, factor: float, kernel: int | None, tile: int) -> DataFrame:
-    """Blur and top-hat; a window bound is a plan constant, so each kernel size that
-    occurs gets its own branch. There are only as many sizes as frame formats."""
-    if kernel is not None:
-        return blur_and_top_hat(pixels, kernel, tile)
-    k = odd_kernel(F.col("height"), F.col("width"), factor)
-    sizes = [r.k for r in pixels.select(k.alias("k")).distinct().collect()]
-    return _union([blur_and_top_hat(pixels.where(k == size), size, tile)
-                   for size in sorted(sizes)])
+    """Blur and top-hat; the kernel is a column, so frames of all formats share one plan."""
+    k = kernel if kernel is not None else odd_kernel(F.col("height"), F.col("width"), factor)
+    return neighbourhood.blur_and_top_hat(pixels, k, min(tile, neighbourhood.TILE))
 
 
 def _merge(found: list[Detection]) -> Detection:
@@ -131,6 +125,22 @@ def _by_stage(params) -> list[list[Params]]:
     return list(groups.values())
 
 
+def image_stages(pixels: DataFrame, runs: list[Params], tile: int = TILE,
+                 kernel: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """What runs with equal image stages share, and their thresholds: pixels with blur, distance,
+    mask and difference; levels per frame; thresholds per frame and run; tables held meanwhile."""
+    p = runs[0]
+    hats = keep(_with_hats(pixels, p.tophat_factor, kernel, tile))
+    levels = keep(frame_levels(hats, "blur", p.otsu_min, p.otsu_max))
+    deep = keep(distance(binarise(hats, levels, "blur", tile=tile), tile))
+    staged = erode_by_distance(deep, p.dist_erosion_factor, tile=tile).withColumn(
+        "diff", F.when(F.col("mask"), F.col("tophat")).otherwise(0)).drop("fg", "tophat")
+    masked = staged.where("mask")
+    thresholds = keep(_thresholds(lambda: moments(masked, "diff", "blur"),
+                                  lambda: mad_statistics(masked, "diff", "blur"), runs))
+    return staged, levels, thresholds, [hats, levels, deep, thresholds]
+
+
 def detect_hotspots(pixels: DataFrame, params=Params(), tile: int = TILE,
                     kernel: int | None = None) -> Detection:
     """Blur, body mask, masked top-hat, threshold and geometric filter on dense pixels.
@@ -141,23 +151,14 @@ def detect_hotspots(pixels: DataFrame, params=Params(), tile: int = TILE,
     """
     found = []
     for runs in _by_stage(params):
-        p = runs[0]
-        hats = keep(_with_hats(pixels, p.tophat_factor, kernel, tile))
-        levels = keep(frame_levels(hats, "blur", p.otsu_min, p.otsu_max))
-        deep = keep(distance(binarise(hats, levels, "blur", tile=tile), tile))
-        staged = erode_by_distance(deep, p.dist_erosion_factor, tile=tile).withColumn(
-            "diff", F.when(F.col("mask"), F.col("tophat")).otherwise(0)).drop("fg", "tophat")
-
-        masked = staged.where("mask")
-        thresholds = keep(_thresholds(lambda: moments(masked, "diff", "blur"),
-                                      lambda: mad_statistics(masked, "diff", "blur"), runs))
+        staged, levels, thresholds, held = image_stages(pixels, runs, tile, kernel)
         # Thresholds are never negative, so pixels without difference cannot pass.
         raw = outliers(staged.where("diff > 0"), thresholds, "diff", "blur", tile,
                        carry=("border_margin",))
         deepest = staged.groupBy("frame_id").agg(F.max("dist3").alias("max_dist3"))
         labelled, regions = region_stats(raw, depth="dist3", value="v", tile=tile)
         found.append(_judge(staged, levels, deepest, thresholds, labelled, regions, runs,
-                            [hats, levels, deep, thresholds]))
+                            held))
     return _merge(found)
 
 
@@ -165,8 +166,9 @@ def detect_frames(frames: DataFrame, params=Params(), tile: int = TILE) -> Detec
     """The same detection on packed frames, of any size that one row can hold.
 
     Everything that needs only a frame happens in one pass over the rows; the rows are spread
-    once, and only outlier pixels and per-frame values are shuffled afterwards. Rows without
-    pixels are reported with the status ``empty_frame``.
+    once, and only values per frame and component are shuffled afterwards. Outlier pixels (``raw``
+    and ``hot``) and image stages (``pixels``) are made when they are read. Rows without pixels are
+    reported with the status ``empty_frame``.
     """
     has_pixels = (F.col("height") > 0) & (F.col("width") > 0)
     small = spread(frames.where(has_pixels), "frame_id")
@@ -174,16 +176,15 @@ def detect_frames(frames: DataFrame, params=Params(), tile: int = TILE) -> Detec
     found = []
     for runs in _by_stage(params):
         passed = keep(packed.detected(small, runs))
-        per_run = passed.where(F.col("y").isNull()).drop(*packed._names(packed.SPOTS))
+        per_run = passed.where(F.col("comp_id").isNull()).drop(*packed._names(packed.REGIONS))
         names = F.array(*[F.lit(p.run_id) for p in runs])
         keys = ["frame_id", "run_id"]
         measured = with_run_of(per_run, runs).drop("run")
         spot = [*keys, "y", "x", "v", "blur", "dist3", "diff", "height", "width", "boundary", "comp_id"]
-        margins = F.array(*[F.lit(p.border_margin) for p in runs])
-        labelled = passed.where(F.col("y").isNotNull()).withColumns({
-            "run_id": names[F.col("run")], "border_margin": margins[F.col("run")]}).select(
-            *spot, "border_margin")
-        regions = measure(labelled, depth="dist3", value="v")
+        labelled = packed.outlier_pixels(small, runs).withColumn("run_id", names[F.col("run")]).select(*spot)
+        regions = with_shape(passed.where(F.col("comp_id").isNotNull()).select(
+            "frame_id", names[F.col("run")].alias("run_id"), "height", "width",
+            *[c for c in packed._names(packed.REGIONS) if c != "deepest"], F.col("deepest").alias("max_dist3")))
         thresholds = measured.where(F.col("body_px").isNotNull())
         dense = explode_frames(packed.staged(small, runs[0]), "px", "blur", "dist3", "diff", "mask") \
             .withColumn("mask", F.col("mask") == 1)

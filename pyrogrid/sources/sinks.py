@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import AUDIT
+from ..staging import checkpoint
 
 
 def audit_rows(frame_stats: DataFrame, operator: str, mode: str, ts=None) -> DataFrame:
@@ -23,6 +25,26 @@ def append_audit(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.parquet(path)
 
 
+def append_once(rows: DataFrame, path: str, keys: list[str], fmt: str = "parquet") -> None:
+    """Appends the rows whose keys the folder does not hold yet, one row for each key.
+
+    A batch that is run again adds nothing, whether it ended or broke off: files of a job count only
+    once all of it is committed. Keys may be null.
+    """
+    rows = rows.dropDuplicates(keys)
+    try:
+        there = rows.sparkSession.read.schema(rows.schema).format(fmt).option("header", True).load(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        there = there.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        # Held apart from the folder that is written to.
+        rows = checkpoint(rows.join(there, same, "left_anti"))
+    append_audit(rows, path, fmt)
+
+
 def audit_export_rows(audit: DataFrame) -> DataFrame:
     """The six exported columns; missing numbers are 0, missing text is empty."""
     def text(c):

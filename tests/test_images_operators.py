@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from frames import array, naive_distance, naive_labels, naive_window, pixels
 from pyrogrid.operators import (
-    components as comp, distance as dst, neighbourhood as nb, packed, regional as rg,
+    components as comp, distance as dst, neighbourhood as nb, packed, regional as rg, sliding,
     regions as reg, segmentation as seg, threshold as thr)
 
 def lines():
@@ -57,7 +57,7 @@ def test_blur_and_ellipse(spark, noise, tile):
             blur[y, x] = noise[y - 1:y + 2, x - 1:x + 2].sum() // 9
     assert (array(df, "blur", noise.shape) == blur).all()
     assert (packed.blur_frame(noise) == blur).all()
-    cells = [(dy, dx) for dy, c in nb.ellipse_chords(5).items() for dx in range(-c, c + 1)]
+    cells = [(dy, dx) for dy, c in sliding.chords(5).items() for dx in range(-c, c + 1)]
 
     def stencil(a, pick):
         return np.array([[pick([a[y + dy, x + dx] for dy, dx in cells
@@ -117,7 +117,7 @@ def test_fill_holes_and_ranking(spark):
         assert filled.where(f"comp_id = {3 * 30 + 3}").count() == 81
         assert filled.count() == 81 + 1 + 4 + 4
         ranks = [(r["rank"], r.comp_id, r.area) for r in
-                 reg.hotspot_table(regions, tile).orderBy("rank").collect()]
+                 reg.hotspot_table(regions).orderBy("rank").collect()]
         assert ranks == [(1, 93, 56), (2, 620, 4), (3, 625, 4), (4, 217, 1)]
 
 
@@ -218,3 +218,20 @@ def test_histogram_of_flat_and_wide_body(spark, noise):
     counts, _ = np.histogram(noise.ravel(), 128)
     assert wide.sum() == celsius.size
     assert wide.reindex(range(128), fill_value=0).tolist() == counts.tolist()
+
+
+def test_places_in_groups_of_any_size(spark):
+    from pyrogrid.operators.ranking import places
+    rows = [("big", i * 7919 % 5000) for i in range(5000)] + [(f"g{i % 90}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "frame_id string, n int")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        found = places(df, ["frame_id"], ["n"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    groups = {}
+    for name, n in sorted(rows):
+        groups.setdefault(name, []).append(n)
+    assert {(r["frame_id"], r["n"], r["place"]) for r in found} == {
+        (name, n, i + 1) for name, ns in groups.items() for i, n in enumerate(ns)}

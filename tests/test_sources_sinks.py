@@ -1,3 +1,4 @@
+import pytest
 import struct
 import zlib
 
@@ -117,3 +118,16 @@ def test_benchmark_document(spark, tmp_path):
     assert back.count() == 4
     row = back.where("section = 'dataset'").first()
     assert (row.dataset.tp, row.dataset.dice, row.sensitivity_k) == (1, 0.5, None)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_append_once(spark, tmp_path, fmt):
+    schema = "run_id string, frame_id string, n long"
+    path = str(tmp_path / "audit")
+    first = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("r", "b", 2), (None, "c", 3)], schema)
+    for _ in range(2):
+        sinks.append_once(first, path, ["run_id", "frame_id"], fmt)
+    sinks.append_once(spark.createDataFrame([("r", "b", 9), ("s", "a", 4)], schema), path, ["run_id", "frame_id"], fmt)
+    back = spark.read.schema(schema).format(fmt).option("header", True).load(path).collect()
+    assert sorted(tuple(r) for r in back if r["run_id"]) == [("r", "a", 1), ("r", "b", 2), ("s", "a", 4)]
+    assert [r["n"] for r in back if not r["run_id"]] == [3]
