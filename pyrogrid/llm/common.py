@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 
 from pyrogrid.staging import checkpoint
 
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows; those that hold whole texts reach Python in batches of BATCH_BYTES instead of
+    64 MB, unless the session has a limit of its own. A longer text is a batch by itself."""
+    conf = docs.sparkSession.conf
+    if BATCH_LIMIT not in conf.getAll:
+        conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return docs
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
