@@ -2,13 +2,13 @@
 
 A Misra-Gries summary of the digests names every digest with more than a `support` share of the
 rows. Their real counts and winners are computed, and the at most `MOST_HEAVY` winners are
-broadcast, so that rows of frequent texts are resolved where they lie. All other digests have
-small groups and are shuffled in the ordinary way.
+broadcast, so that rows of frequent texts are resolved where they lie. All other digests are
+shuffled in the ordinary way, as partial results and for a join with their winners.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pyrogrid.staging import checkpoint
@@ -48,10 +48,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = checkpoint(digests(docs, id_col, text_col))
     heavy = checkpoint(heavy_winners(keys, support))
     common = keys.join(F.broadcast(heavy), "digest")
-    group = Window.partitionBy("digest")
-    rest = (keys.join(F.broadcast(heavy), "digest", "left_anti")
-            .withColumn("keep_id", F.max("doc_id").over(group))
-            .withColumn("group_size", F.count("*").over(group)))
+    rest = keys.join(F.broadcast(heavy), "digest", "left_anti")
+    # Partial results before the shuffle; no group is gathered.
+    winners = rest.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    rest = rest.join(winners, "digest")
     columns = ["doc_id", "keep_id", "group_size",
                F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                F.col("digest").alias("text_sha256")]

@@ -15,6 +15,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pyrogrid.llm.common import ranked
 from pyrogrid.staging import checkpoint
 
 VNODES = 64
@@ -108,6 +109,8 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(F.lit("key"), F.col(id_col)), F.lit(RING)).alias("position"))
         .withColumn("slice", F.floor(F.col("position") / width)))
+    # Tells rows apart that are alike in all columns, so that any number of them can be split.
+    keys = keys.withColumn("row", F.monotonically_increasing_id())
     ring = checkpoint(arcs(spark, shards, vnodes, slices))
     # The ring has a bounded number of rows, see arcs.
     on_arc = keys.join(F.broadcast(ring), "slice").where("position > arc_lo and position <= arc_hi")
@@ -120,9 +123,9 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     schema = "array<struct<arc:int,low:bigint,high:bigint,to:int,slot0:bigint>>"
     spans = spark.range(1).select(
         F.inline(F.from_json(F.lit(json.dumps(settle(counts, shards))), schema)))
-    inside = Window.partitionBy("slice", "arc").orderBy("position", "doc_id", "text_crc32", "size")
-    place = (on_arc.withColumn("inside", F.row_number().over(inside) - 1)
-             .join(F.broadcast(parts.select("arc", "slice", "before")), ["arc", "slice"])
+    # One id may have any share of the rows, all at one position.
+    numbered = ranked(on_arc, ["slice", "arc"], ["position", "doc_id", "text_crc32", "size", "row"], "inside")
+    place = (numbered.join(F.broadcast(parts.select("arc", "slice", "before")), ["arc", "slice"])
              .withColumn("place", F.col("before") + F.col("inside")))
     return (place.join(F.broadcast(spans), "arc").where("place >= low and place < high")
             .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"),

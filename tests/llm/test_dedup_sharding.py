@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from pyrogrid.llm import exact_dedup, sharding
 
@@ -79,3 +80,51 @@ def test_repeatable_and_limited_movement(spark):
 def test_sizes(spark):
     docs = spark.createDataFrame([(1, "Ä"), (2, None), (3, "")], "doc_id long, text string")
     assert {r["doc_id"]: r["size"] for r in sharding.shard_rows(docs).collect()} == {1: 3, 2: 1, 3: 1}
+
+
+def plain_walk(keys, ring, shards):
+    """Keys [(position, doc_id, crc, size)] on a ring [(point, shard)], one after the other."""
+    points = sorted(ring)
+    arcs = [(points[-1][0] if n == 0 else points[n - 1][0], p, s) for n, (p, s) in enumerate(points)]
+    own = [[] for _ in points] + [[]]
+    for key in sorted(keys, key=lambda k: (k[0], k[1] is not None, k[1:])):
+        at = next((n for n, (p, _) in enumerate(points) if key[0] <= p), len(points))
+        own[at].append(key)
+    homes = [s for _, _, s in arcs] + [points[0][1]]
+    room = [len(keys) // shards + (s < len(keys) % shards) for s in range(shards)]
+    filled, waiting, late = [[] for _ in range(shards)], [], [[] for _ in own]
+    for n, home in enumerate(homes):
+        for key in own[n]:
+            if room[home]:
+                room[home] -= 1
+                filled[home].append(key)
+            else:
+                late[n].append(key)
+    for turn in range(2):
+        for n, home in enumerate(homes):
+            while waiting and room[home]:
+                room[home] -= 1
+                filled[home].append(waiting.pop(0))
+            if turn == 0:
+                waiting += late[n]
+    assert not waiting
+    return sorted(((s, slot, *key[1:]) for s in range(shards) for slot, key in enumerate(filled[s])), key=repr)
+
+
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_shards_equal_a_plain_walk(spark, shards):
+    # One id and null ids have many rows, equal ones among them.
+    rows = [(i, f"t{i % 7}") for i in range(150)] + [(42, f"t{i % 3}") for i in range(90)]
+    rows += [(None, "x" if i % 2 else None) for i in range(80)] + [(7, "same")] * 40
+    df = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, slice int, row string").repartition(4)
+    out = sharding.shard_rows(df, shards, vnodes=5, slices=16)
+    got = sorted(((r["shard"], r["slot"], r["doc_id"], r["text_crc32"], r["size"]) for r in out.collect()), key=repr)
+    ring = sharding.RING
+    keys = df.select(F.pmod(F.xxhash64(F.lit("key"), F.col("doc_id")), F.lit(ring)).alias("p"), "doc_id",
+                     F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"),
+                     (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).collect()
+    points = {}
+    for r in spark.range(shards * 5).select(F.floor(F.col("id") / 5).cast("int").alias("s"), (F.col("id") % 5).alias("v")).select(
+            "s", F.pmod(F.xxhash64(F.lit("point"), "s", "v"), F.lit(ring)).alias("p")).collect():
+        points[r["p"]] = min(r["s"], points.get(r["p"], r["s"]))
+    assert got == plain_walk([tuple(r) for r in keys], list(points.items()), shards)
