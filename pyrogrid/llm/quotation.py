@@ -44,6 +44,12 @@ def units(body: Column) -> Column:
     return F.transform(kept, lambda x: F.xxhash64(x, F.length(x)))
 
 
+def escaped(text: str) -> Column:
+    """A text in which `<|` is written `<||`, so that it can't end or begin a turn. Reading `<||`
+    as `<|` gives the text again."""
+    return F.replace(F.col(text), F.lit("<|"), F.lit("<||"))
+
+
 def parsed(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     rows = messages.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
@@ -95,7 +101,8 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """One row per message: conv_id, turn, role, content, segment, n_quotes, n_linked,
     parent_turn, thread_turn, position.
 
-    `content` is the text without its quotes, `segment` its rendered form, `position` its gapless
+    `content` is the text without its quotes, `segment` its rendered form with marks of the form
+    escaped, `position` its gapless
     place from 0 when the conversation is read thread by thread. A message that quotes nothing it
     could have read begins a thread. Null texts are empty, a null role is `unknown`, null
     conversation ids are one conversation and null turns come first. Rows that repeat a turn
@@ -110,7 +117,7 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     roots = threads(linked)
     out = (rows.join(linked, ["conv", "at"], "left").join(roots, ["conv", "at"], "left")
            .select("conv", "conv_id", "turn", "at", "role", "content",
-                   F.concat(F.lit("<|"), "role", F.lit("|>\n"), "content", F.lit("\n<|end|>\n")).alias("segment"),
+                   F.concat(F.lit("<|"), escaped("role"), F.lit("|>\n"), escaped("content"), F.lit("\n<|end|>\n")).alias("segment"),
                    F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
                    F.col("parent").alias("parent_turn"), F.coalesce("thread", "at").alias("thread_turn")))
     place = ranked(out.select("conv", "thread_turn", "at", "turn", F.xxhash64("role", "content").alias("h"),
