@@ -96,7 +96,8 @@ def decode_ids(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "d
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) in one pass: ids and decoded bytes of a
-    document are hashed where they arise and never leave the task."""
+    document are hashed where they arise and never leave the task. A null text is empty, texts of
+    any length are taken whole, repeated rows give repeated results, an empty table none."""
     def run(batches):
         enc = encoding(rank_file, pattern)
         names = [str(i) for i in range(enc.n_vocab)]

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyrogrid.llm.common import small_batches
 from pyrogrid.staging import checkpoint
 
 WIDTH = 2048
@@ -49,6 +50,8 @@ class PieceIds(dict):
         self.tokenizer = tokenizer
         self.merges = tokenizer.model
         self.starts: dict[str, bytes] = {}
+        # Tokens beside the merges, such as the end of a text; the library finds them in any text.
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def ids(self, text: str) -> bytes:
         """Ids of a piece; the merges of a single word need no pre-tokenizer."""
@@ -87,6 +90,8 @@ class PieceIds(dict):
         """Ids of a whole text; null as empty."""
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.split(" ")
         parts = [self[w] for w in words[1:]]
         if None not in parts and words[0] and not words[0][-1].isspace():
@@ -112,9 +117,7 @@ def piece_ids(tokenizer_file: str) -> PieceIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     if tokenizer_file not in _TOKENIZERS:
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
-        _TOKENIZERS[tokenizer_file] = PieceIds(tokenizer)
+        _TOKENIZERS[tokenizer_file] = PieceIds(Tokenizer.from_file(tokenizer_file))
     return _TOKENIZERS[tokenizer_file]
 
 
@@ -124,7 +127,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, width: int = WIDTH,
     """Pieces of at most `width` ids: doc_id, start, length, ids_crc32, doc_tokens, and where the
     piece arose: part (task) and nth (number among the task's pieces of that length).
 
-    Null and empty texts consist of the end id alone. with_ids adds the ids themselves.
+    Null and empty texts consist of the end id alone. A text that holds a token beside the merges
+    (`<|endoftext|>`) gets its id, as the library gives it. Texts of any length are taken whole.
+    with_ids adds the ids themselves.
     """
     extra = ", ids array<int>" if with_ids else ""
 
@@ -149,7 +154,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, width: int = WIDTH,
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"]
     columns += ["ids"] if with_ids else []
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
         run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
              f"part int, nth long{extra}")
 
