@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyrogrid.llm.common import small_batches
+
 BLOCK = 4096
 # Fixed marks before the three parts.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -109,7 +111,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     results, an empty table none; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), text.alias("text"))
     h1, h2, h3, h4 = draws(F.col("doc_id"), salt)
     found = F.pandas_udf(cuts, "n long, low long, high long")(F.col("text"), h1, h2)
     marked = F.lit(False)

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyrogrid.llm.common import small_batches
 from pyrogrid.staging import checkpoint
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -109,7 +110,7 @@ def counted(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, **dict(zip(_COUNTS, found.T))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return small_batches(docs).mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 @dataclass(frozen=True)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyrogrid.llm.common import Bits
+from pyrogrid.llm.common import Bits, small_batches
 from pyrogrid.llm.ngram_join import _BYTE_VALUES, _MULTIPLIER, mix, powers
 from pyrogrid.staging import checkpoint
 
@@ -256,7 +256,7 @@ def merged(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
 
 def marked(docs: DataFrame, length: int = LENGTH, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents with `_key`, `_copied` (another row has the same text) and `_runs`."""
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = small_batches(docs).withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     long_rows = rows.where(F.octet_length(F.col(text_col)) >= length)
     copied = (long_rows.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1")
               .select("_key", F.lit(True).alias("copied"), F.lit(None).cast("array<struct<low:bigint,high:bigint>>").alias("runs")))
