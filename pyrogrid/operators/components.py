@@ -85,8 +85,9 @@ def _tile_edges(labelled: DataFrame, keys, connectivity: int, tile: int) -> Data
 def _merge(edges: DataFrame, keys) -> DataFrame:
     """Smallest label reachable from each label: (keys, id, root).
 
-    Each round contracts the graph: every label takes its smallest neighbour, chains are
-    halved by a jump, and edges are rewritten to the new labels and deduplicated.
+    Each round contracts the graph: every label points to its smallest neighbour, pointers are
+    followed to the end by doubling, and edges are rewritten to the new labels and deduplicated.
+    Of the labels that still have an edge at most half are left, however long the chains.
     """
     both = edges.select(*keys, "a", "b").unionByName(
         edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
@@ -97,10 +98,13 @@ def _merge(edges: DataFrame, keys) -> DataFrame:
     while True:
         low = (both.groupBy(*keys, "a").agg(F.min("b").alias("b"))
                .select(*keys, F.col("a").alias("root"), F.least("a", "b").alias("next")))
-        hop = low.select(*keys, F.col("root").alias("next"), F.col("next").alias("after"))
-        low = (low.join(hop, [*keys, "next"], "left")
-               .select(*keys, "root", F.coalesce("after", "next").alias("next")))
-        low = checkpoint(low)
+        low, moving = checkpoint(low), True
+        while moving:
+            hop = low.select(*keys, F.col("root").alias("next"), F.col("next").alias("after"))
+            jumped = checkpoint(low.select(*keys, "root", "next").join(hop, [*keys, "next"]).select(
+                *keys, "root", F.col("after").alias("next"), (F.col("after") != F.col("next")).alias("moved")))
+            moving = not jumped.where("moved").isEmpty()
+            low = jumped.drop("moved")
         roots = checkpoint(roots.join(low, [*keys, "root"], "left")
                            .select(*keys, "id", F.coalesce("next", "root").alias("root")))
         for end in ("a", "b"):

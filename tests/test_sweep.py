@@ -29,7 +29,7 @@ def brute_regions(diff, img, threshold, baseline, margin, connectivity, extra):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tile, connectivity", [(512, 4), (6, 4), (5, 8)])
+@pytest.mark.parametrize("tile, connectivity", [(512, 4), (6, 4), (5, 8), (1, 4)])
 def test_regions_of_all_thresholds(spark, tile, connectivity):
     draw = np.random.default_rng(tile)
     frames, rows, wanted = {}, [], {}
