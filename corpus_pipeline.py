@@ -17,10 +17,22 @@ from pyrogrid.staging import work_folder
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification rejects (`und`: no text or no letter) go."""
+    """Documents that language identification rejects (`und`: no text or no letter) go, and `lang`
+    becomes the language found; a given one stays where the finding is ambiguous.
+
+    The model learns from the labelled documents. Without any there is no model: every document
+    with a letter stays as it is.
+    """
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
-    found = language_id.predict(model, F.col("text"))
-    return docs.where(found["lang_pred"] != language_id.UNDETERMINED)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = "_" * (1 + max(map(len, docs.columns))) + "found"
+    # Said to be nondeterministic so that filter and projection share one evaluation.
+    seen = docs.withColumn(found, language_id.predict(model, F.col("text"), once=True))
+    given = F.col(f"{found}.ambiguous") & F.col("lang").isNotNull()
+    lang = F.when(given, F.col("lang")).otherwise(F.col(f"{found}.lang_pred"))
+    return (seen.where(F.col(f"{found}.lang_pred") != language_id.UNDETERMINED)
+            .withColumn("lang", lang.cast(docs.schema["lang"].dataType)).select(*docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +69,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table of a folder."""
+    """All stages over the documents table of a folder. A stage's table is removed once the next
+    one is written; the last one stays, as the result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        if number:
+            remove(spark, f"{folder}/{number - 1}")
         docs = spark.read.parquet(f"{folder}/{number}")
     return docs

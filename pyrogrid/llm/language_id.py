@@ -21,12 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyrogrid.llm.common import small_batches
+
 BUCKETS = 8192
 UNDETERMINED = "und"
 # Losses of the two best languages that differ by less than this share flag a text.
 AMBIGUOUS = 0.05
-# Characters handled at once inside a task.
-CHUNK = 1 << 20
+# Characters handled at once inside a task, and texts that are counted side by side.
+CHUNK, TOGETHER = 1 << 18, 64
 
 
 def letter_table() -> np.ndarray:
@@ -39,33 +41,50 @@ def letter_table() -> np.ndarray:
 _MADE: dict = {}
 
 
-def ngram_counts(texts: list[str | None]) -> np.ndarray:
-    """len(texts) x BUCKETS counts of hashed 1- to 3-grams of lower-cased letters; everything
-    else counts as a blank."""
-    counts = np.zeros((len(texts), BUCKETS), "float64")
-    points = [np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    start = 0
-    while start < len(texts):
-        end, size = start, 0
-        while end < len(texts) and (end == start or size + len(points[end]) <= CHUNK) and end - start < 256:
-            size += len(points[end])
-            end += 1
-        blank = np.zeros(1, "uint32")
-        joined = np.concatenate([x for p in points[start:end] for x in (blank, p, blank)])
-        doc = np.repeat(np.arange(end - start), [len(p) + 2 for p in points[start:end]])
-        code = np.where(letter_table()[joined], joined, 0).astype("uint64")
-        grams = code
-        flat = np.zeros((end - start) * BUCKETS, "int64")
-        for n in (1, 2, 3):
-            if n > 1:
-                grams = grams[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1:] + np.uint64(n)
-            bucket = ((grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 13)).astype("int64")
-            # An n-gram counts where it starts or ends with a letter and lies in one text.
-            real = (code[:len(grams)] > 0) | (code[n - 1:] > 0)
-            real &= doc[:len(grams)] == doc[n - 1:]
-            flat += np.bincount((doc[:len(grams)] * BUCKETS + bucket)[real], minlength=len(flat))
-        counts[start:end] = flat.reshape(end - start, BUCKETS)
-        start = end
+def pieces(text: str | None) -> Iterator[tuple[np.ndarray, int]]:
+    """Code points of a lower-cased text between two blanks, in stretches of at most CHUNK starting
+    places, each with the two that follow; and the number of starting places."""
+    padded = f"\0{(text or '').lower()}\0"
+    for low in range(0, len(padded), CHUNK):
+        part = padded[low:low + CHUNK + 2]
+        yield np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4"), min(len(padded) - low, CHUNK)
+
+
+def add_counts(counts: np.ndarray, parts: list[tuple[np.ndarray, int, int]]) -> None:
+    """Adds the n-grams of stretches (code points, starting places, row) to the rows of counts."""
+    sizes = [len(points) for points, _, _ in parts]
+    joined = np.concatenate([points for points, _, _ in parts])
+    piece = np.repeat(np.arange(len(parts), dtype="int32"), sizes)
+    row = np.repeat(np.array([r for _, _, r in parts]) * BUCKETS, sizes)
+    # Where no n-gram of this stretch may start; those belong to the next one.
+    owned = np.concatenate([np.arange(n) < limit for n, (_, limit, _) in zip(sizes, parts)])
+    code = np.where(letter_table()[joined], joined, 0).astype("uint64")
+    grams = code
+    for n in (1, 2, 3):
+        if n > 1:
+            grams = grams[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1:] + np.uint64(n)
+        bucket = ((grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 13)).astype("int64")
+        # An n-gram counts where it starts or ends with a letter and lies in one text.
+        real = (code[:len(grams)] > 0) | (code[n - 1:] > 0)
+        real &= (piece[:len(grams)] == piece[n - 1:]) & owned[:len(grams)]
+        counts.ravel()[:] += np.bincount((row[:len(grams)] + bucket)[real], minlength=counts.size)
+
+
+def ngram_counts(texts: list[str | None], rows: np.ndarray | None = None, n_rows: int | None = None) -> np.ndarray:
+    """Counts of hashed 1- to 3-grams of lower-cased letters, BUCKETS for each text, or for each of
+    n_rows rows to which the texts are added; everything else counts as a blank."""
+    rows = np.arange(len(texts)) if rows is None else rows
+    counts = np.zeros((len(texts) if n_rows is None else n_rows, BUCKETS))
+    held, size = [], 0
+    for text, row in zip(texts, rows):
+        for points, limit in pieces(text):
+            held.append((points, limit, row))
+            size += len(points)
+            if size >= CHUNK:
+                add_counts(counts, held)
+                held, size = [], 0
+    if held:
+        add_counts(counts, held)
     return counts
 
 
@@ -110,8 +129,8 @@ class CodeModel:
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         rows = []
-        for start in range(0, len(texts), 256):
-            counts = ngram_counts(texts[start:start + 256])
+        for start in range(0, len(texts), TOGETHER):
+            counts = ngram_counts(texts[start:start + TOGETHER])
             rows.append(counts @ self.weights / np.maximum(counts.sum(1, keepdims=True), 1))
         return np.concatenate(rows) if rows else np.zeros((0, self.code.shape[1]))
 
@@ -133,17 +152,20 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Code
 
     The driver receives languages x BUCKETS counts and languages x bits hit rates.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
+    rows = small_batches(docs).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "text is not null and lang is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, texts in batch.groupby("lang")["text"]:
-                texts = list(texts)
-                for start in range(0, len(texts), 256):
-                    part = ngram_counts(texts[start:start + 256]).sum(0)
-                    sums[lang] = sums.get(lang, 0) + part
+            langs = np.unique(batch["lang"].to_numpy(object).astype(str))
+            # A few languages at a time, so that the table of counts stays small.
+            for start in range(0, len(langs), TOGETHER):
+                some = {lang: n for n, lang in enumerate(langs[start:start + TOGETHER])}
+                own = batch[batch["lang"].isin(some)]
+                part = ngram_counts(list(own["text"]), own["lang"].map(some).to_numpy(), len(some))
+                for lang, n in some.items():
+                    sums[lang] = sums.get(lang, 0) + part[n]
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at].astype("int64")})
@@ -176,11 +198,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Code
     return model
 
 
-def predict(model: CodeModel | None, text: Column) -> Column:
+def predict(model: CodeModel | None, text: Column, once: bool = False) -> Column:
     """Struct of lang_pred, score (0 to 1) and ambiguous.
 
     Null texts and texts without a letter are `und` with score 0, as is everything without a
-    model.
+    model. With `once` the plan never evaluates it a second time for a filter.
     """
     def run(texts: pd.Series) -> pd.DataFrame:
         known = np.array([model is not None and has_letter(t) for t in texts], bool)
@@ -192,7 +214,8 @@ def predict(model: CodeModel | None, text: Column) -> Column:
             out.loc[known, "score"], out.loc[known, "ambiguous"] = score, near
         return out
 
-    return F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")(text)
+    found = F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")
+    return (found.asNondeterministic() if once else found)(text)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -204,8 +227,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of every document.
 
-    Learns from the documents that are not held out. Repeated rows give repeated results, an
-    empty table none; other columns are not read.
+    Learns from the documents that are not held out. Texts of any length are counted whole, in
+    stretches of bounded size. Repeated rows give repeated results, an empty table none; other
+    columns are not read.
     """
     model = fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
     found = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),

@@ -60,3 +60,14 @@ def test_counts_do_not_depend_on_batches():
     whole = li.ngram_counts(texts)
     assert (whole == np.concatenate([li.ngram_counts([t]) for t in texts])).all()
     assert whole[1].sum() == whole[2].sum() == 0
+
+
+def test_counts_do_not_depend_on_stretches(monkeypatch):
+    texts = ["Ab c de", None, "İstanbul ΣΑΣ", "tormin " * 50, "日本 x"]
+    whole = li.ngram_counts(texts)
+    for size in (1, 2, 3, 10, 64):
+        monkeypatch.setattr(li, "CHUNK", size)
+        assert (li.ngram_counts(texts) == whole).all()
+    rows = np.array([1, 0, 1, 1, 0])
+    summed = li.ngram_counts(texts, rows, 2)
+    assert (summed == np.stack([whole[rows == 0].sum(0), whole[rows == 1].sum(0)])).all()

@@ -1,10 +1,13 @@
+import os
 import random
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pyrogrid.staging import work_folder
 from test_ngram_join import shingles
 
 LENGTH = 400
@@ -86,3 +89,32 @@ def test_stages_keep_the_columns(spark, folder):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, path).count() == 0
+
+
+def test_language_stage_decides(spark, folder):
+    path, texts = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    # Wrong and missing labels on held-out documents are put right; what has no letter goes.
+    wrong = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+                                           F.when(F.col("doc_id") % 2 == 0, "en")).otherwise(F.col("lang")))
+    found = {r["doc_id"]: r["lang"] for r in corpus_pipeline.keep_identified(spark, wrong, path).collect()}
+    assert set(found) == {i for i, t in texts.items() if t and any(map(str.isalpha, t))}
+    truth = {i: "en" if t.startswith("the") else "de" for i, t in texts.items() if i in found}
+    assert sum(found[i] == truth[i] for i in found) >= 0.98 * len(found)
+    plan = corpus_pipeline.keep_identified(spark, docs, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_unlabelled_documents_stay(spark, folder):
+    path, texts = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    found = corpus_pipeline.keep_identified(spark, docs, path)
+    assert {r["doc_id"] for r in found.collect()} == {i for i, t in texts.items() if t and any(map(str.isalpha, t))}
+
+
+def test_stage_tables_are_removed(spark, folder):
+    work = work_folder(spark).removeprefix("file:")
+    before = set(os.listdir(work))
+    corpus_pipeline.run(spark, folder[0]).count()
+    made = [x for x in set(os.listdir(work)) - before if x.startswith("pipeline-")]
+    assert [os.listdir(f"{work}/{x}") for x in made] == [["4"]]
