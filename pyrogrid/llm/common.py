@@ -54,6 +54,19 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str
                     (F.col("_inside") + F.col("_before")).cast("long").alias(name)))
 
 
+def fingerprint(links: DataFrame) -> tuple:
+    """Number of rows and two sums over hashes of (lo, hi), to tell whether a round changed them
+    without comparing them row by row."""
+    wide = F.xxhash64("hi", "lo").cast("decimal(38,0)")
+    return tuple(links.agg(F.count("*"), F.sum(wide), F.bit_xor(F.xxhash64("lo", "hi", F.lit(1)))).first())
+
+
+def forget(spark: SparkSession) -> None:
+    """Has the driver's collector run, after which Spark deletes the shuffle files and checkpoints
+    of tables that nobody holds any more; loops would pile them up."""
+    spark._jvm.java.lang.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over the undirected links (a, b).
 
@@ -63,6 +76,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = checkpoint(edges.where("a <> b").select(
         F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
+    before = fingerprint(links)
     while True:
         both = links.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(
             links.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
@@ -75,10 +89,11 @@ def components(edges: DataFrame) -> DataFrame:
             small.select(F.col("m").alias("lo"), "hi")
             .union(small.where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")))
             .distinct())
-        same = fresh.exceptAll(links).isEmpty() and links.exceptAll(fresh).isEmpty()
-        links = fresh
-        if same:
+        now, links = fingerprint(fresh), fresh
+        if now == before:
             break
+        before = now
+        forget(edges.sparkSession)
     return links.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("component")).union(
         links.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
 

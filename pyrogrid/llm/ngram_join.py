@@ -8,9 +8,11 @@ its own, partial overlaps are counted range by range and summed per pair.
 Only links between different sets matter, so equal sets are one class, and a group of classes
 with a common n-gram is first compared with one of its members. What that links is one component;
 only pairs of classes in different components are still compared, which settles the components.
-All links lie inside them; how many each class has is then counted from exact overlaps of all
-pairs of a component, in blocks of bounded size, and only the numbers leave a block: the pairs of
-a large group are never listed.
+All links lie inside them. How many each class has is then counted without listing them: a member
+is described by what sets it apart from the central member of its component. One minus the
+similarity obeys the triangle inequality, so two members near enough to the centre are linked for
+certain and counted from a histogram; only pairs with a member far from it are compared, in blocks
+of bounded size that hold the differences alone and give back numbers.
 
 The order comes from counts of all n-grams in `BUCKETS` hash buckets. It decides what is compared
 first, never the result. N-grams of buckets far above the mean are frequent and come last. Sets
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pyrogrid.llm.common import Bits, components
+from pyrogrid.llm.common import Bits, components, forget, small_batches
 from pyrogrid.staging import checkpoint
 
 WORDS = 5
@@ -47,6 +49,10 @@ FRAGMENTS = 4
 GROUP = 1024
 # Classes and n-grams in a block of a component when its links are counted.
 MEMBERS, HELD = 2048, 1 << 21
+# Similarities to the central member are kept in so many steps, rounded down. Two members whose
+# steps sum up to CERTAIN are linked.
+STEPS = 4096
+CERTAIN = -(-STEPS * (NUMERATOR + DENOMINATOR) // DENOMINATOR)
 # Rows above four times the mean from which a bucket's n-grams count as frequent.
 FREQUENT = 16
 # Bits of the map that tells which documents to read again; a full map costs time only.
@@ -334,6 +340,8 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Numbers of common n-grams of all sets of x with all sets of y."""
     both = np.zeros((len(x), len(y)), "int64")
     names, place = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    if not len(names):
+        return both
     cut = sum(map(len, x))
     own = [np.repeat(np.arange(len(sets)), [len(s) for s in sets]) for sets in (x, y)]
     at = [place[:cut], place[cut:]]
@@ -373,21 +381,9 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def count_links(members: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, n_links) of the classes (node, class_id, n, component) in components: exact numbers
-    of links, from all pairs of each component.
-
-    A component is cut into blocks by a hash of the class, and every pair of blocks is a group of
-    its own; small components share groups.
-    """
-    sizes = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
-    # Components of two classes are one link.
-    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("grams") / HELD)))
-    placed = checkpoint(members.join(sizes.drop("grams"), "component"))
-    large = placed.where("members > 2")
-    held = large.where("blocks = 1").agg(F.sum("n")).first()[0] or 0
-    groups = -(-held * 4 // HELD) or 1
-    needed = large.select(F.col("class_id").alias("doc_id"))
+def class_sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, ngrams) of the documents whose id is in `needed` (doc_id), once per task and set, and
+    of a few others that the bit map lets through."""
     known = Bits(needed.select(F.xxhash64("doc_id").alias("name")), "name", MAP_BITS)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -403,40 +399,105 @@ def count_links(members: DataFrame, rows: DataFrame) -> DataFrame:
             if found:
                 yield pd.DataFrame(found, columns=["node", "ngrams"])
 
-    sets = rows.where("doc_id is not null").select("text", F.xxhash64("doc_id").alias("name")).mapInPandas(
+    return rows.where("doc_id is not null").select("text", F.xxhash64("doc_id").alias("name")).mapInPandas(
         read, "node long, ngrams array<long>")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    single = F.col("blocks") == 1
-    spread = (large.select("node", "component", "blocks", block.alias("block")).join(sets, "node")
-              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+
+def each_salt(per_component: DataFrame) -> DataFrame:
+    """A row for each part of its component's members, for joins without a hot key."""
+    return per_component.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+
+
+def differences(members: DataFrame, links: DataFrame, rows: DataFrame) -> DataFrame:
+    """(component, salt, salts, node, n, h, missing, extra, q) of the members (node, class_id, n,
+    component, salts) of large components: what each lacks of the h n-grams of the central member,
+    the one with most known links, what it has beside, and their similarity in STEPS."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+    degree = ends.groupBy("node").agg(F.count("*").alias("degree"))
+    heads = members.join(degree, "node").groupBy("component").agg(
+        F.max_by("node", F.struct("degree", "node")).alias("node"))
+    # A set that two tasks have read is there twice.
+    held = checkpoint(
+        members.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
+        .join(class_sets(rows, members.select(F.col("class_id").alias("doc_id"))), "node").dropDuplicates(["node"]))
+    centres = each_salt(held.join(heads, ["component", "node"]).select(
+        "component", "salts", F.col("ngrams").alias("centre"))).drop("salts")
+    apart = held.join(centres, ["component", "salt"]).select(
+        "component", "salt", "salts", "node", F.col("n").cast("long").alias("n"),
+        F.size("centre").cast("long").alias("h"), F.array_except("centre", "ngrams").alias("missing"),
+        F.array_except("ngrams", "centre").alias("extra"))
+    step = F.expr(f"(n - size(extra)) * {STEPS} div (h + size(extra))")
+    return checkpoint(apart.withColumn("q", step))
+
+
+def count_links(members: DataFrame, links: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, n_links) of the classes (node, class_id, n, component) in components, from some links
+    (a, b) that join these: exact numbers of all links."""
+    # Components of two classes are one link.
+    sizes = members.groupBy("component").agg(F.count("*").alias("members"))
+    placed = checkpoint(members.join(sizes, "component").withColumn(
+        "salts", F.ceil(F.col("members") / MEMBERS).cast("long")))
+    apart = differences(placed.where("members > 2").drop("members"), links, rows)
+    steps = apart.groupBy("component", "q").agg(
+        F.count("*").alias("n"), F.sum(F.size("missing") + F.size("extra")).alias("grams"), F.first("salts").alias("salts"))
+    # At most STEPS + 1 entries for each component.
+    centres = steps.groupBy("component").agg(
+        F.collect_list(F.struct("q", "n", "grams")).alias("steps"), F.min("q").alias("least"), F.first("salts").alias("salts"))
+    far = f"2 * x.q < {CERTAIN}"
+    near = f"2 * x.q >= {CERTAIN} and x.q < {CERTAIN} - least"
+
+    def blocks(which: str):
+        def total(field: str):
+            return F.expr(f"aggregate(filter(steps, x -> {which}), 0L, (t, x) -> t + x.{field})")
+        return F.greatest(F.ceil(total("n") / MEMBERS), F.ceil(total("grams") / HELD))
+    centres = each_salt(centres.withColumn("far", blocks(far)).withColumn("near", blocks(near))).drop("salts")
+    known = checkpoint(apart.drop("salts").join(centres, ["component", "salt"]).withColumn(
+        "certain", F.expr(f"aggregate(filter(steps, x -> x.q >= {CERTAIN} - q), 0L, (t, x) -> t + x.n)"
+                          f" - if(2 * q >= {CERTAIN}, 1, 0)")).drop("steps", "salt"))
+    # Pairs of blocks of which one holds members far from the centre; those near it never need
+    # each other.
+    is_far = F.col("q") * 2 < CERTAIN
+    spot = F.xxhash64("node")
+    open_rows = (known.where(is_far | ((F.col("far") > 0) & (F.col("q") < CERTAIN - F.col("least"))))
+                 .withColumn("block", F.when(is_far, F.pmod(spot, F.col("far"))).otherwise(
+                     F.col("far") + F.pmod(spot, F.greatest("near", F.lit(1)))))
+                 .withColumn("single", F.col("far") + F.col("near") == 1))
+    held = open_rows.where("single").agg(F.sum(F.size("missing") + F.size("extra") + 1)).first()[0] or 0
+    groups = -(-held * 4 // HELD) or 1
+    spread = (open_rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("far") + F.col("near") - 1)))
               .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-              .withColumn("unit", F.when(single, F.pmod(F.xxhash64("component"), F.lit(groups).cast("long")))
+              .where("lo < far")
+              .withColumn("unit", F.when(F.col("single"), F.pmod(F.xxhash64("component"), F.lit(groups).cast("long")))
                           .otherwise(F.col("component")))
-              .select(single.alias("single"), "unit", "lo", "hi", "component", "block", "node", "ngrams"))
+              .select("single", "unit", "lo", "hi", "component", "block", "node", "n", "h", "q", "missing", "extra"))
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        # A set that two tasks have read is there twice.
-        for _, own in group.drop_duplicates("node").groupby("component"):
-            first = own["block"] == own["lo"]
-            x, y = own[first], own[own["block"] == own["hi"]]
+        for _, own in group.groupby("component"):
+            lo, hi = own["lo"].iloc[0], own["hi"].iloc[0]
+            x, y = own[own["block"] == lo], own[own["block"] == hi]
             if not len(x) or not len(y):
                 continue
-            sides = [[np.asarray(g).view("uint64") for g in side["ngrams"]] for side in (x, y)]
-            n_x, n_y = (np.array([len(g) for g in side], "int64") for side in sides)
-            both = overlaps(*sides)
-            linked = both * DENOMINATOR >= NUMERATOR * (n_x[:, None] + n_y - both)
-            if own["lo"].iloc[0] == own["hi"].iloc[0]:
+
+            def numbers(name, f=np.asarray):
+                return f(x[name])[:, None], f(y[name])[None]
+            (n_x, n_y), (q_x, q_y) = numbers("n"), numbers("q")
+            less = sum(numbers("missing", lambda column: np.array([len(g) for g in column], "int64")))
+            both = own["h"].iloc[0] - less
+            for name in ("missing", "extra"):
+                both = both + overlaps(*[[np.asarray(g, "int64") for g in side[name]] for side in (x, y)])
+            linked = (both * DENOMINATOR >= NUMERATOR * (n_x + n_y - both)) & (q_x + q_y < CERTAIN)
+            if lo == hi:
                 np.fill_diagonal(linked, False)
             else:
                 out.append(pd.DataFrame({"node": y["node"], "n_links": linked.sum(0)}))
             out.append(pd.DataFrame({"node": x["node"], "n_links": linked.sum(1)}))
         return pd.concat(out) if out else pd.DataFrame({"node": [], "n_links": []}, dtype="int64")
 
-    counts = (spread.groupBy("single", "unit", "lo", "hi").applyInPandas(count, "node long, n_links long")
-              .groupBy("node").agg(F.sum("n_links").alias("n_links")))
-    return checkpoint(counts.union(
-        placed.where("members = 2").select("node", F.lit(1).cast("long").alias("n_links"))))
+    compared = spread.groupBy("single", "unit", "lo", "hi").applyInPandas(count, "node long, n_links long")
+    every = (known.select("node", F.col("certain").alias("n_links")).union(compared)
+             .union(placed.where("members = 2").select("node", F.lit(1).cast("long").alias("n_links"))))
+    return checkpoint(every.groupBy("node").agg(F.sum("n_links").alias("n_links")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -449,7 +510,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing. A document without an id is counted but gets no component through others. Repeated
     rows are equal sets. Other columns are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     keyed = checkpoint(document_keys(rows))
     keys = keyed.where("block is null").select("doc_id", "n", "node")
     order = bucket_order(keyed)
@@ -500,7 +561,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_node = placed.join(smallest, "component").select("node", "class_id", "component_id")
     n_links = []
     if with_links:
-        by_node = by_node.join(count_links(classes.join(final, "node"), rows), "node", "left")
+        forget(docs.sparkSession)
+        by_node = by_node.join(count_links(classes.join(final, "node"), every, rows), "node", "left")
         n_links = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     return keys.join(by_node, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

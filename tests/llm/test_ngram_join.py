@@ -120,7 +120,15 @@ def test_number_of_links(spark, monkeypatch, members):
         copy = [f"b{i}" for i in range(200)]
         copy[(7 * n) % 200] = f"x{n}"
         copies.append(" ".join(copy))
-    rows = list(enumerate([t for _, t in corpus(4)] + copies + copies[:3]))
+    # Another group has members near its centre and far from it, and some that share changes.
+    rnd = random.Random(3)
+    mixed = []
+    for n in range(110):
+        copy = [f"c{i}" for i in range(150)]
+        for k in rnd.sample(range(150), rnd.choice([0, 1, 2, 4, 5, 6])):
+            copy[k] = rnd.choice([f"u{n}_{k}", f"s{rnd.randint(0, 2)}_{k}"])
+        mixed.append(" ".join(copy[:rnd.choice([150, 150, 140])]))
+    rows = list(enumerate([t for _, t in corpus(4)] + copies + mixed + copies[:3]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     sets = {i: shingles(t) for i, t in rows}
     classes = set(sets.values()) - {frozenset()}
