@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..staging import checkpoint
 from .tiles import div, frame_keys
 
 # Rows and columns of a mask's bitmap: the number of bits that the built-in bitmaps hold.
@@ -52,10 +53,12 @@ def confusion_metrics(predicted: DataFrame, truth: DataFrame, frames: DataFrame,
     what it holds beyond the hits.
     """
     keys = frame_keys(frames)
-    found, wanted, per_truth = bitmaps(predicted, keys), bitmaps(truth, ["frame_id"]), ["frame_id"]
+    # Bitmaps are small and read several times; what they are made from may be costly.
+    found, wanted = checkpoint(bitmaps(predicted, keys)), checkpoint(bitmaps(truth, ["frame_id"]))
+    per_truth = ["frame_id"]
     if body is not None:
         per_truth = [k for k in frame_keys(body) if k in keys]
-        inside = bitmaps(body, per_truth)
+        inside = checkpoint(bitmaps(body, per_truth))
         found = both(found, inside, keys, per_truth)
         wanted = both(inside, wanted, per_truth, ["frame_id"])
     hits = both(found, wanted, keys, per_truth)

@@ -181,7 +181,7 @@ def detect_frames(frames: DataFrame, params=Params(), tile: int = TILE) -> Detec
         keys = ["frame_id", "run_id"]
         measured = with_run_of(per_run, runs).drop("run")
         spot = [*keys, "y", "x", "v", "blur", "dist3", "diff", "height", "width", "boundary", "comp_id"]
-        labelled = packed.outlier_pixels(small, runs).withColumn("run_id", names[F.col("run")]).select(*spot)
+        labelled = keep(packed.outlier_pixels(small, runs).withColumn("run_id", names[F.col("run")]).select(*spot))
         regions = with_shape(passed.where(F.col("comp_id").isNotNull()).select(
             "frame_id", names[F.col("run")].alias("run_id"), "height", "width",
             *[c for c in packed._names(packed.REGIONS) if c != "deepest"], F.col("deepest").alias("max_dist3")))
@@ -191,7 +191,7 @@ def detect_frames(frames: DataFrame, params=Params(), tile: int = TILE) -> Detec
         levels = measured.where(F.col("run_id") == runs[0].run_id).select(
             "frame_id", "height", "width", "otsu", "body_threshold")
         deepest = measured.where(F.col("run_id") == runs[0].run_id).select("frame_id", "max_dist3")
-        part = _judge(dense, levels, deepest, thresholds, labelled, regions, runs, [passed])
+        part = _judge(dense, levels, deepest, thresholds, labelled, regions, runs, [passed, labelled])
         missing = with_runs(nothing.select("frame_id", "height", "width"), runs).select(
             *keys, "height", "width", F.lit("empty_frame").alias("status"))
         part.frame_stats = part.frame_stats.unionByName(missing, allowMissingColumns=True)
