@@ -2,34 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators.tiles import TILE, attach, div
+from ..operators.tiles import TILE, div
+from ..staging import spread
 
 
-def grid(frames: DataFrame, tile: int = TILE) -> DataFrame:
-    """Every (frame_id, y, x) of frames given by height and width.
+def row_ends(frames: DataFrame, *more: str, block: int = TILE) -> DataFrame:
+    """A row for each block of columns of every row of frames given by height and width: ``x`` is
+    the column after the block's last one.
 
-    Rows are generated and spread before columns, so one huge frame is not one task.
+    Rows are generated and spread before blocks, so one huge frame is not one task.
     """
-    bands = F.sequence(F.lit(0), div(F.col("height") - 1, tile))
-    rows = F.sequence(F.col("band") * tile,
-                      F.least((F.col("band") + 1) * tile, F.col("height")) - 1)
-    return (frames.select("frame_id", "height", "width", F.explode(bands).alias("band"))
-            .select("frame_id", "height", "width", F.explode(rows).alias("y"))
+    bands = F.sequence(F.lit(0), div(F.col("height") - 1, TILE))
+    rows = F.sequence(F.col("band") * TILE,
+                      F.least((F.col("band") + 1) * TILE, F.col("height")) - 1)
+    blocks = F.sequence(F.lit(0), div(F.col("width") - 1, block))
+    return (frames.select("frame_id", "height", "width", *more, F.explode(bands).alias("band"))
+            .select("frame_id", "height", "width", *more, F.explode(rows).alias("y"))
             .repartition("frame_id", "y")
-            .select("frame_id", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"),
-                    "height", "width"))
+            .select("frame_id", "y", F.explode(blocks).alias("block"), "height", "width", *more)
+            .withColumn("x", F.least((F.col("block") + 1) * block, F.col("width"))))
 
 
 def rasterize(df: DataFrame, frame: Column, y: Column, x: Column, weight: Column,
-              height, width, tile: int = TILE) -> DataFrame:
+              height, width, block: int = TILE) -> DataFrame:
     """Sum integer weights per cell and scale each frame by its own largest cell.
 
     v is the weight as a share of the frame's largest, in 0..255; cells without rows and
     cells of negative weight are 0. ``height`` and ``width`` are numbers or columns; rows
     outside the grid (or without a frame, row or column) are left out. Frames are those of
-    the rows inside. The source is read once, and partial sums run before the shuffle.
+    the rows inside. Partial sums run before the shuffle.
+
+    Cells without rows arise last: each cell of a row, and the end of each block of columns,
+    fills the gap before it. Only cells with rows are ever held in a table or sorted.
     """
     def size(n):
         return n if isinstance(n, Column) else F.lit(n)
@@ -41,14 +47,23 @@ def rasterize(df: DataFrame, frame: Column, y: Column, x: Column, weight: Column
              .where("frame_id is not null and y >= 0 and y < height and x >= 0 and x < width"))
     frames = cells.groupBy("frame_id").agg(
         F.max("w").alias("top"), F.max("height").alias("height"), F.max("width").alias("width"))
-    full = (grid(frames, tile).withColumn("w", F.lit(0).cast("long"))
-            .unionByName(cells.select("frame_id", "y", "x", "height", "width", "w"))
-            .groupBy("frame_id", "y", "x")
-            .agg(F.sum("w").alias("w"), F.max("height").alias("height"),
-                 F.max("width").alias("width")))
-    v = F.when(F.col("top") > 0, F.floor(F.col("w") * 255 / F.col("top"))).otherwise(0)
-    return attach(full, frames, tile).select("frame_id", "y", "x", v.cast("int").alias("v"),
-                                             "height", "width")
+    ends = row_ends(frames, "top", block=block).select(
+        "frame_id", "y", "block", "x", F.lit(None).cast("long").alias("w"), "height", "width", "top")
+    # Few rows may stand for many cells, hence the fixed number of partitions.
+    marks = spread(ends.unionByName(
+        cells.select("frame_id", "y", div("x", block).alias("block"), "x", "w"), allowMissingColumns=True),
+        "frame_id", "y", "block")
+    part = Window.partitionBy("frame_id", "y", "block")
+    before = F.coalesce(F.lag("x").over(part.orderBy("x")), F.col("block") * block - 1)
+    own = F.max(F.struct("height", "width", "top")).over(part)
+    # Ends, which have no weight, lie one beyond the last column.
+    last = F.when(F.col("w").isNull(), F.col("x") - 1).otherwise(F.col("x"))
+    full = (marks.select("frame_id", "y", "w", own.alias("own"), before.alias("before"), last.alias("last"))
+            .where("before < last")
+            .select("frame_id", "y", "w", "own", "last", F.explode(F.sequence(F.col("before") + 1, F.col("last"))).alias("x")))
+    w = F.when(F.col("x") == F.col("last"), F.coalesce("w", F.lit(0))).otherwise(0)
+    v = F.when(F.col("own.top") > 0, F.floor(w * 255 / F.col("own.top"))).otherwise(0)
+    return full.select("frame_id", "y", "x", v.cast("int").alias("v"), "own.height", "own.width")
 
 
 def explode_frames(frames: DataFrame, *arrays: str) -> DataFrame:
