@@ -138,6 +138,44 @@ def test_number_of_links(spark, monkeypatch, members):
     assert [r["n_links"] for r in out if r["doc_id"] == len(rows) - 1] == [69]
 
 
+@pytest.mark.parametrize("members", [2048, 40])
+def test_near_misses_are_compared_without_a_row_for_each_pair(spark, monkeypatch, members):
+    """Versions of one text of which most are not similar to each other, though nearly so."""
+    monkeypatch.setattr(nj, "MEMBERS", members)
+    rnd = random.Random(8)
+    texts = []
+    for n in range(160):
+        copy = [f"b{i}" for i in range(150)]
+        for k in rnd.sample(range(0, 150, 6), 3 + n % 3):
+            copy[k] = f"u{n}_{k}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    seen = []
+    plain = nj.similar
+    monkeypatch.setattr(nj, "similar", lambda pairs, *more: seen.append(pairs.count()) or plain(pairs, *more))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r["component_id"] for r in nj.near_duplicates(df, with_links=False).collect()}
+    assert out == {i: c for i, (_, c) in brute(rows).items()}
+    assert sum(seen) < 10 * len(rows)
+
+
+def test_joined():
+    draw = np.random.default_rng(5)
+    for size in (1, 6, 30):
+        linked = draw.random((size, size + 2)) < 1.2 / size
+        found = nj.joined(linked)
+        assert all(linked[i, j] for i, j in found) and len(found) < 2 * size + 2
+        root = list(range(2 * size + 2))
+
+        def of(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+        for i, j in found:
+            root[of(i)] = of(size + j)
+        assert all(of(i) == of(size + j) for i, j in np.argwhere(linked))
+
+
 def test_overlaps():
     draw = np.random.default_rng(2)
     x, y = ([np.unique(draw.integers(0, 3000, n) ** 2 // 900).astype("uint64") for n in draw.integers(1, 200, size)]
