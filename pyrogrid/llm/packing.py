@@ -36,6 +36,8 @@ MARKED_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
+BLANK = chr(BYTE_SIGNS[32])
+
 
 class PieceIds(dict):
     """Ids, as little-endian 32-bit bytes, of ' ' + word for words between single blanks.
@@ -56,11 +58,21 @@ class PieceIds(dict):
     def ids(self, text: str) -> bytes:
         """Ids of a piece; the merges of a single word need no pre-tokenizer."""
         if WORD.fullmatch(text, 1 if text[0] == " " else 0):
-            signs = text.encode().decode("latin-1").translate(BYTE_SIGNS)
-            return array("I", [t.id for t in self.merges.tokenize(signs)]).tobytes()
+            return self.merged(text.encode().decode("latin-1").translate(BYTE_SIGNS))
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def merged(self, signs: str) -> bytes:
+        return array("I", [t.id for t in self.merges.tokenize(signs)]).tobytes()
+
     def __missing__(self, word: str) -> bytes | None:
+        if word.isascii() and word.isalpha():
+            # Letters A to Z stand for themselves; most words are such.
+            found = self.merged(BLANK + word)
+            if len(word) <= 40:
+                if len(self) >= CACHE:
+                    self.clear()
+                self[word] = found
+            return found
         if not word or word[-1].isspace():
             return None
         line, newline, rest = word.rpartition("\n")

@@ -107,3 +107,16 @@ def test_small_pieces_give_the_same_ids():
     for _ in range(300):
         text = "".join(rnd.choices(["a", "b1", " ", "\n", "'ll", "!?", "é", " ", "9"], k=60))
         assert bpe.encode(text, enc, 3) == enc.encode_ordinary(text)
+
+
+def test_plain_words_need_no_text_functions(monkeypatch):
+    """Letters A to Z alone go straight to the merges, with the library's ids."""
+    from tokenizers import Tokenizer
+
+    from pyrogrid.llm.queries import tokenizer_file
+    file = tokenizer_file("byte_bpe_50k.json")
+    known, library = packing.PieceIds(Tokenizer.from_file(file)), Tokenizer.from_file(file)
+    monkeypatch.setattr(packing.PieceIds, "ids", None)
+    for word in ("the", "Thstinnt", "A", "x" * 90):
+        want = library.encode(" " + word, add_special_tokens=False).ids
+        assert np.frombuffer(known[word], "<u4").tolist() == want
