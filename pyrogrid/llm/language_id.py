@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyrogrid.llm.common import small_batches
+from pyrogrid.llm.common import small_batches, tidy
 
 BUCKETS = 8192
 UNDETERMINED = "und"
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Code
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at].astype("int64")})
 
-    table = (rows.mapInPandas(count, "lang string, bucket int, n long")
+    table = (rows.mapInPandas(tidy(count), "lang string, bucket int, n long")
              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     languages = sorted(table["lang"].unique())
     if not languages:
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Code
         yield pd.DataFrame([(n, b, right[n, b], seen[n]) for n in range(len(place))
                             for b in range(right.shape[1])], columns=["lang", "bit", "hits", "n"])
 
-    rates = (rows.mapInPandas(hits, "lang int, bit int, hits long, n long")
+    rates = (rows.mapInPandas(tidy(hits), "lang int, bit int, hits long, n long")
              .groupBy("lang", "bit").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).toPandas())
     if model.code.shape[1]:
         model.trust[rates["lang"], rates["bit"]] = (rates["hits"] + 1) / (rates["n"] + 2)

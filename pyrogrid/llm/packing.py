@@ -10,6 +10,7 @@ Pieces then find their place by their rank among the pieces of their length.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import zlib
 from array import array
@@ -21,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyrogrid.llm.common import small_batches
+from pyrogrid.llm.common import small_batches, tidy
 from pyrogrid.staging import checkpoint
 
 WIDTH = 2048
 END_ID = 1
-# Entries kept per worker; when full the cache starts anew.
-CACHE = 1_000_000
+# Words kept per worker. Frequent ones come early, so when full the later half goes.
+CACHE = 400_000
 # Letters alone are one match of the pattern; so are letters before a single mark.
 WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKED_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]")
@@ -64,27 +65,25 @@ class PieceIds(dict):
     def merged(self, signs: str) -> bytes:
         return array("I", [t.id for t in self.merges.tokenize(signs)]).tobytes()
 
+    def keep(self, word: str, found: bytes) -> bytes:
+        if len(word) <= 40:
+            if len(self) >= CACHE:
+                for late in list(itertools.islice(reversed(self), CACHE // 2)):
+                    del self[late]
+            self[word] = found
+        return found
+
     def __missing__(self, word: str) -> bytes | None:
         if word.isascii() and word.isalpha():
             # Letters A to Z stand for themselves; most words are such.
-            found = self.merged(BLANK + word)
-            if len(word) <= 40:
-                if len(self) >= CACHE:
-                    self.clear()
-                self[word] = found
-            return found
+            return self.keep(word, self.merged(BLANK + word))
         if not word or word[-1].isspace():
             return None
         line, newline, rest = word.rpartition("\n")
         if newline and line and not line[-1].isspace() and not rest[0].isspace():
             # A single line break between other characters is a match of its own.
             return self[line] + self.bare("\n") + self.bare(rest)
-        found = self[word[:-1]] + self.bare(word[-1]) if MARKED_WORD.fullmatch(word) else self.ids(" " + word)
-        if len(word) <= 40:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = found
-        return found
+        return self.keep(word, self[word[:-1]] + self.bare(word[-1]) if MARKED_WORD.fullmatch(word) else self.ids(" " + word))
 
     def bare(self, text: str) -> bytes:
         """Ids of a piece without a blank before it."""
@@ -121,16 +120,13 @@ class PieceIds(dict):
                         for p in pieces)
 
 
-_TOKENIZERS: dict = {}
-
-
-def piece_ids(tokenizer_file: str) -> PieceIds:
+def piece_ids(tokenizer_file: str, held: dict) -> PieceIds:
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    if tokenizer_file not in _TOKENIZERS:
-        _TOKENIZERS[tokenizer_file] = PieceIds(Tokenizer.from_file(tokenizer_file))
-    return _TOKENIZERS[tokenizer_file]
+    if tokenizer_file not in held:
+        held[tokenizer_file] = PieceIds(Tokenizer.from_file(tokenizer_file))
+    return held[tokenizer_file]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_file: str, width: int = WIDTH,
@@ -144,9 +140,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, width: int = WIDTH,
     with_ids adds the ids themselves.
     """
     extra = ", ids array<int>" if with_ids else ""
+    # A worker keeps a broadcast value from task to task and drops it when it turns to other work,
+    # so the tokenizer and its words go with it.
+    held = docs.sparkSession.sparkContext.broadcast({})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = piece_ids(tokenizer_file)
+        known = piece_ids(tokenizer_file, held.value)
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         end = np.asarray([END_ID], "<u4").tobytes()
@@ -167,7 +166,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, width: int = WIDTH,
     columns += ["ids"] if with_ids else []
     kind = docs.schema[id_col].dataType.simpleString()
     return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
+        tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
              f"part int, nth long{extra}")
 
 

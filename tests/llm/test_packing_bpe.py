@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from pyrogrid.llm import bpe, packing
+from pyrogrid.llm import bpe, common, packing
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 HARD = ["", None, " ", "a", "  two  blanks ", "tab\there \n\n line", "x" * 40000, "ab1" * 9000,
@@ -120,3 +120,31 @@ def test_plain_words_need_no_text_functions(monkeypatch):
     for word in ("the", "Thstinnt", "A", "x" * 90):
         want = library.encode(" " + word, add_special_tokens=False).ids
         assert np.frombuffer(known[word], "<u4").tolist() == want
+
+
+def test_word_cache_is_bounded_and_keeps_early_words():
+    known = packing.piece_ids(JSON, {})
+    assert packing.piece_ids(JSON, held := {}) is packing.piece_ids(JSON, held) is not known
+    limit, text = packing.CACHE, "the same words again"
+    packing.CACHE = 100
+    try:
+        ids = known.text_ids(text)
+        for n in range(1000):
+            known.text_ids(f"new word{n}")
+            assert len(known) <= 100
+    finally:
+        packing.CACHE = limit
+    assert {"same", "words", "again"} <= set(known)
+    assert list(np.frombuffer(known.text_ids(text), "<u4")) == list(np.frombuffer(ids, "<u4")) == whole_ids(text)
+
+
+def test_tokenizer_leaves_a_worker_that_turns_to_other_work(spark):
+    """Workers are reused; what packing holds must not stay beside the next step's memory."""
+    def held(batches):
+        import gc
+        for batch in batches:
+            yield batch.assign(id=sum(type(x).__name__ == "PieceIds" for x in gc.get_objects()))
+
+    texts = spark.range(16).repartition(16)
+    packing.tokenized_pieces(texts.selectExpr("id doc_id", "'some text' text"), JSON).collect()
+    assert sum(r["id"] for r in texts.mapInPandas(common.tidy(held), "id long").collect()) == 0
