@@ -197,3 +197,17 @@ def test_sets():
         assert len(nj.ngram_set(text)) == len(shingles(text))
     assert (nj.ngram_set("a B c d e") == nj.ngram_set("A b c d\r\ne ")).all()
     assert not np.isin(nj.ngram_set("a b c d"), nj.ngram_set("a b c d e")).any()
+
+
+def test_what_prefixes_need_of_the_order():
+    rnd = np.random.default_rng(5)
+    counts = rnd.integers(0, 3, nj.BUCKETS)
+    counts[rnd.integers(0, nj.BUCKETS, 50)] = rnd.integers(1, 9 * nj.GROUP, 50)
+    order = nj.Order(counts)
+    grams = np.concatenate([np.flatnonzero(counts > 3), np.arange(1000)]).astype("uint64") << np.uint64(42)
+    far = counts[nj.bucket(grams)] - 4 * int(counts.sum()) // nj.BUCKETS
+    assert order.is_frequent(grams).tolist() == (far > nj.FREQUENT).tolist()
+    assert order.parts_of(grams).tolist() == np.where(far > nj.GROUP, -(-far // nj.GROUP), 1).tolist()
+    held = order.without_fragments()
+    assert sum(getattr(x, "nbytes", 0) for x in vars(held).values()) < 5 * nj.BUCKETS
+    assert (held.prefix(grams) == order.prefix(grams)).all()

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -148,3 +149,21 @@ def test_tokenizer_leaves_a_worker_that_turns_to_other_work(spark):
     texts = spark.range(16).repartition(16)
     packing.tokenized_pieces(texts.selectExpr("id doc_id", "'some text' text"), JSON).collect()
     assert sum(r["id"] for r in texts.mapInPandas(common.tidy(held), "id long").collect()) == 0
+
+
+def test_task_lets_go_of_its_function():
+    """A worker that waits keeps the task function, but nothing that it worked with."""
+    class Held:
+        pass
+
+    def made(held):
+        def run(batches):
+            for batch in batches:
+                yield held and batch
+        return run
+
+    held = Held()
+    left, task = weakref.ref(held), common.tidy(made(held))
+    del held
+    assert list(task(iter([1, 2]))) == [1, 2]
+    assert left() is None

@@ -118,3 +118,10 @@ def test_stage_tables_are_removed(spark, folder):
     corpus_pipeline.run(spark, folder[0]).count()
     made = [x for x in set(os.listdir(work)) - before if x.startswith("pipeline-")]
     assert [os.listdir(f"{work}/{x}") for x in made] == [["4"]]
+
+
+def test_passages_are_cut_once(spark, folder):
+    """One evaluation, hence one worker for each task; texts without a repeat stay out of it."""
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    plan = corpus_pipeline.drop_repeated_passages(spark, docs, folder[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
