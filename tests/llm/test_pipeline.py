@@ -125,3 +125,16 @@ def test_passages_are_cut_once(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     plan = corpus_pipeline.drop_repeated_passages(spark, docs, folder[0])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_passages_of_51_words_go(spark, folder):
+    """Less than 400 bytes, but over 50 words."""
+    rnd = random.Random(5)
+    own = [" ".join(f"w{rnd.randint(0, 999)}" for _ in range(80)) for _ in range(4)]
+    passage = " ".join(f"p{k}" for k in range(51))
+    assert len(passage) < LENGTH
+    texts = [own[0] + " " + passage + " " + own[1], own[2] + "\n" + passage + "\n" + own[3]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+                                 spark.read.parquet(f"{folder[0]}/documents.parquet").schema)
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_passages(spark, docs, folder[0]).collect()}
+    assert found == {i: t.replace(passage, "") for i, t in enumerate(texts)}

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -87,3 +88,51 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert sd.repeated_passages(none).collect() == []
     assert sd.drop_passages(none).collect() == []
+
+
+def brute_words(rows, length, words):
+    """Kept texts when strings of bytes and strings of words go."""
+    spans = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", (t or "").encode())] for i, t in rows}
+    data = {i: (t or "").encode() for i, t in rows}
+    own = {i: [data[i][a:b] for a, b in s] for i, s in spans.items()}
+    counts = Counter(d[p:p + length] for d in data.values() for p in range(len(d) - length + 1))
+    in_words = Counter(tuple(w[p:p + words]) for w in own.values() for p in range(len(w) - words + 1))
+    out = {}
+    for i, d in data.items():
+        gone = np.zeros(len(d), bool)
+        for p in range(len(d) - length + 1):
+            if counts[d[p:p + length]] > 1:
+                gone[p:p + length] = True
+        for p in range(len(own[i]) - words + 1):
+            if in_words[tuple(own[i][p:p + words])] > 1:
+                gone[spans[i][p][0]:spans[i][p + words - 1][1]] = True
+        out[i] = bytes(np.frombuffer(d, "uint8")[~gone]).decode("utf-8", "ignore")
+    return out
+
+
+def test_passages_in_words(spark):
+    """Passages of few bytes but many words go, whatever the white space; shorter ones stay."""
+    rnd = random.Random(4)
+
+    def prose(n):
+        return "".join(rnd.choice(["a", "be", "Cé", "dog", "é"]) + str(rnd.randint(0, 99)) + rnd.choice([" ", "\n", "\t  "])
+                       for _ in range(n))
+
+    passages = [prose(n) for n in (50, 51, 52, 70)]
+    texts = [prose(rnd.randint(0, 120)) + p + prose(rnd.randint(1, 60)) for p in passages for _ in range(4)]
+    texts += [" ".join((prose(9) + passages[2] + prose(9)).split()), "x " * 49 + "x", "y " * 51, "z " * 60, passages[3]]
+    texts += [texts[0], texts[0], prose(3000), "w" * 3000 + " " + passages[1], "w" * 3000 + "\n" + prose(60), "", None]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = brute_words(rows, 400, 51)
+    assert sum(kept[i] != (t or "") for i, t in rows) >= 16
+    out = {r["doc_id"]: r["text"] for r in sd.drop_passages(df, words=51).collect()}
+    assert out == {i: None if t is None else kept[i] for i, t in rows}
+
+
+def test_word_names_by_stretches(monkeypatch):
+    monkeypatch.setattr(sd, "STRETCH", 50)
+    text = " ".join(random.Random(6).choices(["a", "bc", "d" * 49, "e" * 50, "f" * 51, "g" * 300, "g" * 301], k=400))
+    names = [int(x) for x in sd.word_names(f"\n{text} ".encode())]
+    assert len(names) == 400 and len(set(zip(names, text.split()))) == len(set(names)) == 7
+    assert len(sd.word_names(b"")) == len(sd.word_names(b" \n")) == 0
