@@ -1,7 +1,8 @@
 """From raw documents to packed sequences, in stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next stage's docs. All but the last return the columns of `documents`.
+read again as the next stage's docs. All but the last return the columns of `documents`. Stages that
+need much disk first have what earlier ones left there removed.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by word 5-grams at 0.8 or more, the smallest doc_id stays."""
+    forget(spark)
     return ngram_join.drop_near_duplicates(docs)
 
 
@@ -60,6 +62,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 2048 ids."""
+    forget(spark)
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 

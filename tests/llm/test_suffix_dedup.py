@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter
@@ -136,3 +137,14 @@ def test_word_names_by_stretches(monkeypatch):
     names = [int(x) for x in sd.word_names(f"\n{text} ".encode())]
     assert len(names) == 400 and len(set(zip(names, text.split()))) == len(set(names)) == 7
     assert len(sd.word_names(b"")) == len(sd.word_names(b" \n")) == 0
+
+
+def test_maps_travel_small(spark):
+    """Every map goes to every machine's disk, so its size there must follow what it holds."""
+    names = spark.range(1000).selectExpr("xxhash64(id) as name")
+    known = sd.Bits(names, "name", sd.MAP_BITS)
+    sent = pickle.dumps(known)
+    assert len(sent) < 200_000
+    there = pickle.loads(sent)
+    own = names.toPandas()["name"].to_numpy()
+    assert there.has(own).all() and (there.bits == known.bits).all() and not there.has(own + 1).all()
