@@ -1,64 +1,72 @@
 """Smoothing and grey morphology, tile by tile.
 
-A tile and a halo around it become one array; each operator is a few passes over it, in constant
-work per pixel whatever the kernel. A kernel size is a number or a column (the same for all pixels
-of a frame), so frames of different formats take one plan together. Only coordinates, value and
-kernel pass through Python; all other columns stay where they are.
+A tile and a halo around it become one array, and tiles of one shape are taken together; each
+operator is a few passes over them, in constant work per pixel whatever the kernel. A kernel size
+is a number or a column (the same for all pixels of a frame), so frames of different formats take
+one plan together. Rows pass through Python sorted by tile, so a worker holds the tiles of one
+batch of rows, or one larger tile.
 
 Windows are clipped at the frame edge. Frames must be dense (every pixel present).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from . import sliding
-from .tiles import own_pixels, with_halo
+from .tiles import integers, numbered, stacks, whole_tiles, with_halo
 
 TILE = 256
 _HALO = "_k"
+_ARROW = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64"}
 
 
 def _by_tile(pixels: DataFrame, k: int | str | Column, halo: Column, tile: int, source: str,
              steps, out: dict[str, str]) -> DataFrame:
-    """The pixels with new columns (name -> type) from steps(array, kernel, frame edge).
+    """The pixels with new columns (name -> type) from steps(array of tiles, kernel, frame edge).
 
     ``halo`` is how far a pixel's results see, as an expression of the kernel ``_k``.
     """
     kernel = F.lit(k) if isinstance(k, int) else F.col(k) if isinstance(k, str) else k
     rows = pixels.drop("ty", "tx", *out)
-    keys = [c for c in ("frame_id", "run_id") if c in rows.columns]
-    rest = [c for c in rows.columns if c not in keys]
-    near = with_halo(rows.withColumn(_HALO, kernel.cast("int")), halo, tile)
-    unit = [*keys, "ty", "tx"]
-    # One row per tile with its halo: the size is bounded by both.
-    cells = near.groupBy(*unit).agg(
-        F.collect_list(F.struct(*rest)).alias("cells"), F.max(_HALO).alias(_HALO),
-        F.max("height").alias("h"), F.max("width").alias("w"))
-
-    @F.pandas_udf("struct<" + ",".join(f"{name}:array<{kind}>" for name, kind in out.items()) + ">")
-    def run(ys: pd.Series, xs: pd.Series, vs: pd.Series, ks: pd.Series, heights: pd.Series,
-            widths: pd.Series) -> pd.DataFrame:
-        found = []
-        for y, x, v, size, height, width in zip(ys, xs, vs, ks, heights, widths):
-            top, left = int(y.min()), int(x.min())
-            values = np.zeros((int(y.max()) - top + 1, int(x.max()) - left + 1), v.dtype)
-            values[y - top, x - left] = v
-            edge = np.zeros(values.shape, bool)
-            for line, last, axis in ((top, height - 1, 0), (left, width - 1, 1)):
-                at = np.arange(values.shape[axis]) + line
-                ends = (at == 0) | (at == last)
-                edge |= ends[:, None] if axis == 0 else ends
-            found.append([np.ascontiguousarray(a[y - top, x - left]) for a in steps(values, int(size), edge)])
-        return pd.DataFrame({name: [f[n] for f in found] for n, name in enumerate(out)})
-
-    done = cells.withColumn("new", run("cells.y", "cells.x", f"cells.{source}", _HALO, "h", "w"))
-    zipped = F.explode(F.arrays_zip("cells", *[F.col(f"new.{name}").alias(name) for name in out]))
-    flat = done.select(*unit, zipped.alias("p")).select(
-        *unit, *[F.col(f"p.cells.{c}").alias(c) for c in rest], *[F.col(f"p.{name}").alias(name) for name in out])
-    return own_pixels(flat, tile).select(*rows.columns, *out)
+    unit = [*(c for c in ("frame_id", "run_id") if c in rows.columns), "ty", "tx"]
+    near = with_halo(rows.withColumn(_HALO, kernel.cast("int")), halo, tile).sortWithinPartitions(*unit)
+    names, kinds = rows.columns, {name: pa.type_for_alias(_ARROW.get(kind, kind)) for name, kind in out.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells, first in whole_tiles(batches, unit):
+            y, x, ty, tx, ks, height, width = integers(cells, "y", "x", "ty", "tx", _HALO, "height", "width")
+            v, number = cells.column(source).to_numpy(), numbered(first, len(y))
+            tops, lefts = (np.minimum.reduceat(at, first) for at in (y, x))
+            spans = [np.maximum.reduceat(at, first) - least + 1 for at, least in ((y, tops), (x, lefts))]
+            found: list = [None] * len(out)
+            # Tiles of one shape are one array.
+            for (high, wide, size), same in stacks(*spans, ks[first]):
+                place = np.full(len(first), -1)
+                place[same] = np.arange(len(same))
+                held = np.flatnonzero(place[number] >= 0)
+                at = place[number[held]], y[held] - tops[number[held]], x[held] - lefts[number[held]]
+                values = np.zeros((len(same), high, wide), v.dtype)
+                values[at] = v[held]
+                lines = [np.arange(high) + tops[same][:, None], np.arange(wide) + lefts[same][:, None]]
+                ends = [(line == 0) | (line == last[first][same][:, None] - 1) for line, last in zip(lines, (height, width))]
+                for n, a in enumerate(steps(values, size, ends[0][:, :, None] | ends[1][:, None, :])):
+                    if found[n] is None:
+                        found[n] = np.empty(len(y), a.dtype)
+                    found[n][held] = a[at]
+            own = pa.array((y // tile == ty) & (x // tile == tx))
+            done = cells.select(names).filter(own)
+            for name, column in zip(out, found):
+                done = done.append_column(name, pa.array(column, from_pandas=True).cast(kinds[name]).filter(own))
+            yield from done.to_batches()
+
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in out.items()))])
+    return near.mapInArrow(run, schema)
 
 
 def _kind(pixels: DataFrame, source: str) -> str:

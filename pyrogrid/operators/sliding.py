@@ -1,4 +1,5 @@
-"""Sliding extrema, means and elements on one tile's array, in constant work per cell."""
+"""Sliding extrema, means and elements on arrays of tiles (the last two axes are a tile's rows and
+columns), in constant work per cell."""
 
 from __future__ import annotations
 
@@ -35,7 +36,7 @@ def slide(values: np.ndarray, radius: int, pick, axis: int) -> np.ndarray:
 
 
 def square(values: np.ndarray, radius: int, pick) -> np.ndarray:
-    return slide(slide(values, radius, pick, 1), radius, pick, 0)
+    return slide(slide(values, radius, pick, -1), radius, pick, -2)
 
 
 def opened(values: np.ndarray, radius: int) -> np.ndarray:
@@ -48,9 +49,9 @@ def closed(values: np.ndarray, radius: int) -> np.ndarray:
 
 def blurred(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """3 x 3 means, truncated; cells on the frame's edge are copied."""
-    framed = np.pad(values.astype("int64"), 1)
-    rows = framed[:, :-2] + framed[:, 1:-1] + framed[:, 2:]
-    return np.where(edge, values, (rows[:-2] + rows[1:-1] + rows[2:]) // 9).astype(values.dtype)
+    framed = np.pad(values.astype("int64"), [(0, 0)] * (values.ndim - 2) + [(1, 1)] * 2)
+    rows = framed[..., :-2] + framed[..., 1:-1] + framed[..., 2:]
+    return np.where(edge, values, (rows[..., :-2, :] + rows[..., 1:-1, :] + rows[..., 2:, :]) // 9).astype(values.dtype)
 
 
 def chords(k: int) -> dict[int, int]:
@@ -62,12 +63,12 @@ def chords(k: int) -> dict[int, int]:
 
 def ellipse(values: np.ndarray, k: int, pick) -> np.ndarray:
     """Extreme over an elliptic element: one sliding row extreme for each distinct chord."""
-    size = len(values)
+    size = values.shape[-2]
     out = np.full(values.shape, neutral(values.dtype, pick), values.dtype)
     for chord in set(chords(k).values()):
-        rows = slide(values, chord, pick, 1)
+        rows = slide(values, chord, pick, -1)
         for dy, own in chords(k).items():
             if own == chord and abs(dy) < size:
                 low, high = max(0, -dy), min(size, size - dy)
-                out[low:high] = pick(out[low:high], rows[low + dy:high + dy])
+                out[..., low:high, :] = pick(out[..., low:high, :], rows[..., low + dy:high + dy, :])
     return out

@@ -1,11 +1,13 @@
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from frames import naive_labels, pixels
-from pyrogrid.operators import component_tree as ct, neighbourhood as nb, sliding
+from frames import naive_distance, naive_labels, pixels
+from pyrogrid.operators import component_tree as ct, distance as dst, neighbourhood as nb, sliding, tiles
 from pyrogrid.params import Params
 
 LOOSE = Params(sigma_k=1.0, tophat_factor=0.1, dist_erosion_factor=0.01, min_circularity=0.01,
@@ -86,3 +88,61 @@ def test_sliding_extremes_equal_slices():
                 wanted = np.array([plain(a[max(0, i - r):i + r + 1], axis=0) for i in range(size)])
                 assert (sliding.slide(a, r, pick, 0) == wanted).all()
                 assert (sliding.slide(a.T, r, pick, 1) == wanted.T).all()
+
+
+def test_many_tiles_are_taken_in_one_pass():
+    """The rows of a batch of small tiles come in two tables a level, whatever the number of tiles."""
+    draw, size, cells = np.random.default_rng(3), 4, []
+    for n in range(150):
+        level = draw.integers(0, 4, (size, size))
+        level[0, 0] = 3
+        floor = np.minimum.reduce([np.pad(level, 1)[a:a + size, b:b + size] for a, b in ((0, 1), (2, 1), (1, 0), (1, 2))])
+        y, x = np.nonzero(level)
+        cells.append({"frame_id": f"f{n % 3}" if n % 5 else None, "baseline": float(n % 7), "ty": n, "tx": 1, "height": 900,
+                      "width": 9, "y": y + n * size, "x": x + size, "level": level[y, x], "floor": floor[y, x],
+                      "v": draw.integers(0, 9, len(y)), "dist3": draw.integers(0, 9, len(y)), "mark": draw.integers(0, 2, len(y))})
+    grown, single = (ct._trees(["mark"], 4, size)(iter(parts)) for parts in (
+        [pd.DataFrame(cells)], [pd.DataFrame([cell]) for cell in cells]))
+    grown = list(grown)
+    assert len(grown) == 6
+    grown, single = (pd.concat(parts).fillna({"frame_id": ""}) for parts in (grown, single))
+    columns = list(grown.columns)
+    assert grown.sort_values(columns).values.tolist() == single.sort_values(columns).values.tolist()
+
+
+@pytest.mark.parametrize("tile", [2, 5, 64])
+def test_tiles_across_batches(spark, tile):
+    """Batches end anywhere in a tile; all but the three keys and the mask go along unread."""
+    draw = np.random.default_rng(tile)
+    frames = {"a": draw.random((23, 11)) < 0.97, "b": draw.random((4, 30)) < 0.9, "full": np.ones((7, 9), bool)}
+    px = spark.createDataFrame(
+        [(n, y, x, bool(fg[y, x]), *fg.shape, None if x % 3 else f"{y}", [y, x]) for n, fg in frames.items()
+         for y in range(fg.shape[0]) for x in range(fg.shape[1])],
+        "frame_id string, y int, x int, fg boolean, height int, width int, note string, place array<int>")
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(limit, "7")
+    try:
+        rows = dst.distance(px.repartition(3), tile).collect()
+        blurred = nb.box_blur(px.withColumn("v", F.col("y") * 7 % 11 + F.col("x")), tile=tile).collect()
+    finally:
+        spark.conf.unset(limit)
+    assert len(rows) == len(blurred) == sum(fg.size for fg in frames.values())
+    wanted = {n: naive_distance(fg) for n, fg in frames.items()}
+    assert all(r["dist3"] == wanted[r["frame_id"]][r["y"], r["x"]] and r["place"] == [r["y"], r["x"]]
+               and r["note"] == (None if r["x"] % 3 else str(r["y"])) for r in rows)
+    for r in blurred:
+        y, x, (h, w) = r["y"], r["x"], frames[r["frame_id"]].shape
+        near = [a * 7 % 11 + b for a in (y - 1, y, y + 1) for b in (x - 1, x, x + 1)]
+        assert r["blur"] == (near[4] if y in (0, h - 1) or x in (0, w - 1) else sum(near) // 9)
+
+
+def test_whole_tiles_keep_rows_of_null_keys_together():
+    keys = [(None, 0)] * 5 + [("a", 0)] * 4 + [("a", 1)] + [("b", 1)] * 6
+    for size in (1, 2, 3, 7, 20):
+        batches = [pa.RecordBatch.from_pydict({"frame_id": pa.array([k for k, _ in keys[n:n + size]], "string"),
+                                               "ty": [t for _, t in keys[n:n + size]]}) for n in range(0, 16, size)]
+        found = []
+        for table, first in tiles.whole_tiles(iter(batches), ["frame_id", "ty"]):
+            ends = [*first[1:], table.num_rows]
+            found += [[(r["frame_id"], r["ty"]) for r in table.slice(a, b - a).to_pylist()] for a, b in zip(first, ends)]
+        assert found == [[(None, 0)] * 5, [("a", 0)] * 4, [("a", 1)], [("b", 1)] * 6]
